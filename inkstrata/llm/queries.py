@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, quality_rules, secret_scan, token_counts, url_filters
+from . import decontaminate, language_id, mixing, prob_minhash, quality_rules, secret_scan, token_counts, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prob_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": op5_secret_scan,
         "op6_decontaminate": op6_decontaminate,
         "op7_quality_rules": op7_quality_rules,
+        "op8_prob_minhash": op8_prob_minhash,
     }
 
 
