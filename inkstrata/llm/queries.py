@@ -7,7 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, prob_minhash, quality_rules, secret_scan, token_counts, url_filters
+from . import (
+    cdc_dedup,
+    decontaminate,
+    language_id,
+    mixing,
+    prob_minhash,
+    quality_rules,
+    secret_scan,
+    suffix_array,
+    token_counts,
+    url_filters,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +63,14 @@ def op8_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op9_cdc_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.matches(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -62,6 +81,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontaminate": op6_decontaminate,
         "op7_quality_rules": op7_quality_rules,
         "op8_prob_minhash": op8_prob_minhash,
+        "op9_cdc_dedup": op9_cdc_dedup,
+        "op10_suffix_array": op10_suffix_array,
     }
 
 
