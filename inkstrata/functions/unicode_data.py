@@ -78,7 +78,7 @@ EMOJI = ((0x1F000, 0x1FAFF), (0x2600, 0x27FF), (0x2300, 0x23FF)) + tuple(
     (c, c) for c in (0x00A9, 0x00AE, 0x203C, 0x2049, 0x2122, 0x2139, 0x3030, 0x303D)
 )
 #: White space as Python's str.split and \s see it.
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def char_class(ranges) -> str:

@@ -115,12 +115,13 @@ def disposition(category: Column, ch: Column, position: Column, left: Column, ri
     )
 
 
-def occurrences(texts: DataFrame, key: str = "doc_id", column: str = "text", offsets: bool = True) -> DataFrame:
+def occurrences(texts: DataFrame, key: str = "doc_id", column: str = "text", offsets: bool = True, graphemes: bool = False) -> DataFrame:
     """One row for each flagged character of each text, with its context and disposition.
 
     key, position (code points), byte_offset, grapheme_index, ch, codepoint,
     category, action, safe_rule, token, disposition, context. Byte offsets and
-    grapheme indices cost a scan of the text each and are null without ``offsets``.
+    grapheme indices cost a scan of the text for each occurrence, and are null
+    without ``offsets`` and ``graphemes``.
     """
     flagged = f"[{U.flagged_class()}]"
     base = texts.where(F.col(column).rlike(flagged)).select(F.col(key).alias("key_"), F.col(column).alias("text_"))
@@ -147,10 +148,8 @@ def occurrences(texts: DataFrame, key: str = "doc_id", column: str = "text", off
             rf"^{tags}*\x{{E007F}}"
         )
         around = cut(F.greatest(F.lit(1), at + 1 - RTL_RADIUS), F.least(at, F.lit(RTL_RADIUS)) + RTL_RADIUS + 1)
-        extra = [
-            F.octet_length(before).alias("byte_offset"),
-            (F.regexp_count(F.concat(before, ch), F.lit(grapheme_pattern())) - 1).alias("grapheme_index"),
-        ]
+        unknown = F.lit(None).cast("int")
+        index = F.regexp_count(F.concat(before, ch), F.lit(grapheme_pattern())) - 1
         return F.struct(
             at.alias("position"),
             ch.alias("ch"),
@@ -160,7 +159,8 @@ def occurrences(texts: DataFrame, key: str = "doc_id", column: str = "text", off
             F.when(in_class(ch, BIDI), around).otherwise("").alias("around_"),
             F.when(letter, word).otherwise("").alias("word_"),
             F.when(cp.between(0xE0000, 0xE007F), tag).otherwise(False).alias("tag_"),
-            *(extra if offsets else [F.lit(None).cast("int").alias("byte_offset"), F.lit(None).cast("int").alias("grapheme_index")]),
+            (F.octet_length(before) if offsets else unknown).alias("byte_offset"),
+            (index if graphemes else unknown).alias("grapheme_index"),
         )
 
     hits = chars.withColumn("hits_", placed).select("key_", F.explode(F.transform("hits_", located)).alias("h"))
