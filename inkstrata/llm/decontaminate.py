@@ -121,20 +121,28 @@ def search(value: np.ndarray, owner: np.ndarray, n_docs: int, items: Items) -> s
     return found
 
 
+def links(batch: pa.RecordBatch, items: Items) -> list[tuple[int, int, int, int]]:
+    """Verified (row, item, shared, size of item) of a batch, in order."""
+    value, owner = shingled(batch.column("text"))
+    bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+    rows: list[tuple[int, int, int, int]] = []
+    have = (-1, None)
+    for doc, item in sorted(search(value, owner, batch.num_rows, items)):
+        if have[0] != doc:
+            have = (doc, np.unique(value[bounds[doc] : bounds[doc + 1]]))
+        wanted = items.sets[item]
+        shared = int(np.isin(wanted, have[1], assume_unique=True).sum())
+        if shared >= items.containment * len(wanted) - 1e-9:
+            rows.append((doc, item, shared, len(wanted)))
+    return rows
+
+
 def matcher(items: Items):
+    """Executor side of the search: one row a link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.blocks(batches, "text", BLOCK):
-            value, owner = shingled(batch.column("text"))
-            bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            rows: list[tuple[int, int, int, int]] = []
-            have = (-1, None)
-            for doc, item in sorted(search(value, owner, batch.num_rows, items)):
-                if have[0] != doc:
-                    have = (doc, np.unique(value[bounds[doc] : bounds[doc + 1]]))
-                wanted = items.sets[item]
-                shared = int(np.isin(wanted, have[1], assume_unique=True).sum())
-                if shared >= items.containment * len(wanted) - 1e-9:
-                    rows.append((doc, item, shared, len(wanted)))
+            rows = links(batch, items)
             if rows:
                 at = np.array(rows, np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -150,6 +158,18 @@ def matcher(items: Items):
     return run
 
 
+def dropper(items: Items):
+    """Executor side of cleaning: batches without the rows that have a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tb.blocks(batches, "text", BLOCK):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[r[0] for r in links(batch, items)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list]:
     """Rows (item_id, text) in blocks of bounded text, dealt by hash."""
     usable = items.where("item_id is not null and text is not null").select("item_id", "text")
@@ -180,11 +200,12 @@ def contaminated(
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
-def clean(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents without a contaminating item; rows with a null id stay."""
-    bad = contaminated(documents.where("doc_id is not null"), items, ["doc_id"])
-    texts = bad.select("doc_id").distinct()
-    return documents.join(texts, "doc_id", "left_anti")
+def clean(documents: DataFrame, items: DataFrame, containment: float = 0.8, miss: float = 1e-6, block_bytes: int = 16 << 20) -> DataFrame:
+    """Documents without a contaminating item, filtered in the pass that reads them; null texts stay."""
+    for rows in item_blocks(items, block_bytes):
+        block = Items([r["item_id"] for r in rows], [r["text"] for r in rows], containment, miss)
+        documents = documents.mapInArrow(dropper(block), documents.schema)
+    return documents
 
 
 #: Exact containment in DuckDB SQL, without the search.
