@@ -13,10 +13,11 @@ bring representatives together in buckets. In a bucket, members are compared
 with one centre, the member that meets most others over all its buckets, so a
 group of near copies needs one comparison each. Links are verified on the full
 shingle sets: the larger of Jaccard and probability Jaccard must reach
-``similarity``. After connected components over these links, members of a bucket
-that are in different components are compared with each other too, unless 4-bit
-signatures show them to be far below the threshold; so no link is lost to the
-choice of the centre, and no bucket is ever held by one task.
+``similarity``. After connected components over these links, members of buckets
+that hold several components are compared with each other where prefix
+filtering, which is exact for Jaccard, allows a link; so no link is lost to the
+choice of the centre, no bucket is ever held by one task, and large groups of
+copies that are not near each other do not meet.
 
 Defined results: null and wordless texts, and rows with a null id, are classes
 of their own (a null id has a null class). A class is named by its least doc_id.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -41,8 +42,6 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 BLOCK = 1 << 21
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Disagreeing 4-bit registers of 125 that a pair at similarity 0.8 passes but once in millions.
-FAR_APART = 48
 
 
 def registers(value: np.ndarray, owner: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
@@ -64,7 +63,7 @@ def registers(value: np.ndarray, owner: np.ndarray, weight: np.ndarray, n_docs:
 
 
 def sketch(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-    """Class digest, band keys, 4-bit signature and sorted shingles of each text."""
+    """Class digest, band keys and sorted shingles of each text."""
     n = batch.num_rows
     raw, offsets = tb.utf8(lowered(batch.column("text")))
     starts, ends, docs = tb.words(raw, offsets, tb.symbol_table())
@@ -91,24 +90,18 @@ def sketch(batch: pa.RecordBatch) -> dict[str, pa.Array]:
     for j in range(ROWS):
         keys = keys * tb.BASE + name.reshape(n, BANDS, ROWS)[:, :, j]
     keys = tb.mix(keys + np.arange(1, BANDS + 1, dtype=tb.U64) * tb.GOLDEN).view(np.int64)
-    nibbles = np.zeros((n, 128), np.uint8)
-    nibbles[:, :REGISTERS] = name & np.uint64(15)
-    bits = np.ascontiguousarray(nibbles[:, ::2] | nibbles[:, 1::2] << 4).view(np.int64)
     shingle_counts = np.bincount(owner, minlength=n)
     blob = (value >> np.uint64(32)).astype("<u4").tobytes()
     bounds = np.zeros(n + 1, np.int64)
     np.cumsum(4 * shingle_counts, out=bounds[1:])
     blank = pa.array(~filled)
-    lists = {
-        "keys": tb.lists(keys.ravel(), np.full(n, BANDS), pa.int64()),
-        "bits": tb.lists(bits.ravel(), np.full(n, 8), pa.int64()),
-    }
+    banded = tb.lists(keys.ravel(), np.full(n, BANDS), pa.int64())
     import pyarrow.compute as pc
 
     return {
         "d1": pa.array(digests[0], mask=~filled),
         "d2": pa.array(digests[1], mask=~filled),
-        **{k: pc.if_else(blank, pa.scalar(None, v.type), v) for k, v in lists.items()},
+        "keys": pc.if_else(blank, pa.scalar(None, banded.type), banded),
         "shingles": pa.array([blob[bounds[i] : bounds[i + 1]] for i in range(n)], pa.binary()),
     }
 
@@ -126,7 +119,7 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
 
-SKETCH = "rid long, doc_id long, d1 long, d2 long, keys array<long>, bits array<long>, shingles binary"
+SKETCH = "rid long, doc_id long, d1 long, d2 long, keys array<long>, shingles binary"
 
 
 def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -182,15 +175,66 @@ def verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
     )
 
 
-def distance(a: str, b: str):
-    """Number of 4-bit registers in which two signatures differ."""
-    total = F.lit(0)
-    for i in range(8):
-        x = F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))
-        folded = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        folded = folded.bitwiseOR(F.shiftrightunsigned(folded, 2))
-        total = total + F.bit_count(folded.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
+def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each distinct shingle of a document, with their number."""
+    for batch in batches:
+        sets = [np.unique(np.frombuffer(x, "<u4")) for x in batch.column("shingles").to_pylist()]
+        counts = np.array([len(x) for x in sets], np.int64)
+        every = np.concatenate(sets) if sets else np.zeros(0, np.uint32)
+        at = pa.array(np.repeat(np.arange(len(sets)), counts))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("rid").take(at),
+                batch.column("component").take(at),
+                pa.array(np.repeat(counts, counts)),
+                pa.array(every.view(np.int32)),
+            ],
+            names=["rid", "component", "n", "shingle"],
+        )
+
+
+def prefix_pairs(members: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components that can reach the Jaccard similarity: an exact filter.
+
+    With shingles in one global order, rarest first, two documents at similarity t
+    share one of the first n - ceil(t n) + 1 of each, and from the first that they
+    share enough must follow in both. Copies that differ much from all others start
+    with shingles of their own and so meet nobody, however large their group;
+    members of a shingle's largest component do not meet each other.
+    """
+    rows = store.shelve(
+        shingles.join(members, "rid").select("rid", "component", "shingles").mapInArrow(
+            shingle_rows, "rid long, component long, n long, shingle int"
+        ),
+        "tokens",
+    )
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("docs")).where("docs > 1")
+    shared = store.shelve(shared, "frequencies")
+    rank = F.row_number().over(Window.partitionBy("rid").orderBy(F.coalesce("docs", F.lit(1)), "shingle"))
+    head = store.shelve(
+        rows.join(shared, "shingle", "left")
+        .withColumn("rank", rank)
+        .where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1) & F.col("docs").isNotNull())
+        .select("rid", "component", "shingle", "n", "rank"),
+        "prefixes",
+    )
+    share = head.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    split = share.groupBy("shingle").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"))
+    split = store.shelve(split.where("parts > 1").select("shingle", F.col("top.component").alias("main")), "split")
+    apart = store.shelve(head.join(split, "shingle"), "heads")
+    side = lambda df, k, *more: df.select(
+        "shingle", F.col("rid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("component", "n", "rank")], *more
+    )
+    minor, other = side(apart.where("component <> main"), "x"), side(apart, "y", "main")
+    # Shingles in common, at most: this one, and what follows it in both.
+    most = 1 + F.least(F.col("n_x") - F.col("rank_x"), F.col("n_y") - F.col("rank_y"))
+    enough = most >= (F.col("n_x") + F.col("n_y")) * (similarity / (1 + similarity)) - 1e-9
+    return (
+        minor.join(other, "shingle")
+        .where(F.expr("component_x <> component_y and (component_y = main or x < y)") & enough)
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .distinct()
+    )
 
 
 def classes(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -198,18 +242,26 @@ def classes(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     drawn = store.shelve(source.mapInArrow(sketches, SKETCH), "sketches")
     usable = drawn.where("d1 is not null and doc_id is not null")
+    alone = drawn.where("d1 is null or doc_id is null").select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")
+    )
+    alone = store.shelve(alone, "alone")
     reps = store.shelve(usable.groupBy("d1", "d2").agg(F.min("rid").alias("rep")), "copies")
     members = store.shelve(usable.select("doc_id", "rid", "d1", "d2").join(reps, ["d1", "d2"]).select("doc_id", "rid", "rep"), "members")
     own = store.shelve(
-        drawn.select("rid", "keys", "bits").join(reps.select(F.col("rep").alias("rid")), "rid"), "representatives"
+        drawn.select("rid", "keys").join(reps.select(F.col("rep").alias("rid")).hint("merge"), "rid"), "representatives"
     )
+    store.discard(reps)
     banded = own.select("rid", F.explode("keys").alias("key"))
     met = store.shelve(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     bucket = store.shelve(banded.join(met, "key"), "met")
     centrality = store.shelve(bucket.groupBy("rid").agg(F.sum("n").alias("reach")), "reach")
+    store.discard(own)
+    # Ids by the document are joined by merging at every size, never broadcast.
     shingles = store.shelve(
-        drawn.select("rid", "shingles").join(centrality.select("rid"), "rid"), "shingles"
+        drawn.select("rid", "shingles").join(centrality.select("rid").hint("merge"), "rid"), "shingles"
     )
+    store.discard(drawn)
     centre = store.shelve(
         bucket.join(centrality, "rid")
         .groupBy("key")
@@ -223,28 +275,15 @@ def classes(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
     )
     links = store.shelve(verified(star, shingles, similarity), "links")
     named = store.shelve(store.components(links), "named")
-    # Members of a bucket that are still apart: those outside the bucket's largest component meet all others.
+    # Members of buckets that hold several components meet by prefix filtering.
     label = bucket.join(named.withColumnRenamed("node", "rid"), "rid", "left").select(
         "key", "rid", F.coalesce("component", "rid").alias("component")
     )
     label = store.shelve(label, "labels")
-    share = label.groupBy("key", "component").agg(F.count("*").alias("n"))
-    split = share.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"))
-    split = store.shelve(split.where("parts > 1").select("key", F.col("top.component").alias("main")), "split")
-    apart = store.shelve(
-        label.join(split, "key").join(own.select("rid", "bits"), "rid").select("key", "rid", "component", "main", "bits"), "apart"
-    )
-    minor = apart.where("component <> main").select("key", F.col("rid").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("ba"))
-    other = apart.select("key", F.col("rid").alias("b"), F.col("component").alias("cb"), F.col("main"), F.col("bits").alias("bb"))
-    near = (
-        minor.join(other, "key")
-        .where("ca <> cb and (cb = main or a < b)")
-        .where(distance("ba", "bb") <= FAR_APART)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
+    split = label.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    apart = store.shelve(label.join(split, "key", "left_semi").select("rid", "component").distinct(), "apart")
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    near = store.shelve(near.join(tried, ["a", "b"], "left_anti"), "near")
+    near = store.shelve(prefix_pairs(apart, shingles, similarity).join(tried, ["a", "b"], "left_anti"), "near")
     more = store.shelve(verified(near, shingles, similarity), "more")
     every = named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(
         more.join(named.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
@@ -261,9 +300,8 @@ def classes(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
     named_by = store.shelve(
         placed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "sizes"
     )
-    alone = drawn.where("d1 is null or doc_id is null").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")
-    )
+    for done in (members, met, bucket, centrality, shingles, centre, star, links, named, label, apart, near, more, final):
+        store.discard(done)
     return placed.join(named_by, "class").select("doc_id", "class_id", "class_size").unionByName(alone)
 
 
@@ -280,7 +318,7 @@ def deduplicate(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
         .agg((F.count("*") > 1).alias("repeated"))
     )
     stay = store.shelve(stay, "stay")
-    kept = documents.join(stay, documents.doc_id == stay.stay_id)
+    kept = documents.join(stay.hint("merge"), documents.doc_id == stay.stay_id)
     once = kept.where("not repeated").select(documents.columns)
     again = kept.where("repeated").select(documents.columns).dropDuplicates()
     return once.unionByName(again).unionByName(documents.where("doc_id is null"))

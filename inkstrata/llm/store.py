@@ -90,4 +90,4 @@ def components(edges: DataFrame) -> DataFrame:
         mark = after
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
         now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-    )
+    )  # reads the last table of edges, which stays
