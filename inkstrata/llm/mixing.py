@@ -84,18 +84,20 @@ def fit_targets(sizes: DataFrame, max_repeats: int) -> DataFrame:
 
 
 def knapsack(sizes: np.ndarray, spare: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each size (at most ``spare``) make the largest sum within ``budget``.
+    """How many of each size (at most ``spare``) make the sum nearest to ``budget``, the lower of two as near.
 
-    Reachable sums are flags by sum; an entry remembers the first step that
-    reached it, and the sum before that step was reached by an earlier one.
+    Reachable sums are flags by sum, up to twice the budget; an entry remembers
+    the first step that reached it, and the sum before that step was reached by
+    an earlier one.
     """
     taken = np.zeros(len(sizes), np.int64)
-    reached = np.zeros(budget + 1, bool)
+    most = 2 * budget
+    reached = np.zeros(most + 1, bool)
     reached[0] = True
-    step_of = np.full(budget + 1, -1, np.int32)
+    step_of = np.full(most + 1, -1, np.int32)
     steps: list[tuple[int, int]] = []
     for i in np.argsort(sizes, kind="stable"):
-        size, left, bundle = int(sizes[i]), int(min(spare[i], budget // sizes[i])), 1
+        size, left, bundle = int(sizes[i]), int(min(spare[i], most // sizes[i])), 1
         while left > 0 and not reached[budget]:
             n = min(bundle, left)
             shift = n * size
@@ -108,7 +110,8 @@ def knapsack(sizes: np.ndarray, spare: np.ndarray, budget: int) -> np.ndarray:
             left, bundle = left - n, bundle * 2
         if reached[budget]:
             break
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
         i, n = steps[step_of[at]]
         taken[i] += n
@@ -117,7 +120,7 @@ def knapsack(sizes: np.ndarray, spare: np.ndarray, budget: int) -> np.ndarray:
 
 
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take so that their words come to ``budget`` or just below."""
+    """How many documents of each size to take so that their words come near ``budget``."""
     total = int((sizes * counts).sum())
     taken = np.array([int(c) * budget // total for c in counts], np.int64)
     rest = budget - int((sizes * taken).sum())
@@ -127,7 +130,7 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         if taken[i] < counts[i] and sizes[i] <= rest:
             taken[i] += 1
             rest -= int(sizes[i])
-    open_ = np.flatnonzero((taken < counts) & (sizes <= rest))
+    open_ = np.flatnonzero((taken < counts) & (sizes <= 2 * rest))
     if rest and len(open_):
         taken[open_] += knapsack(sizes[open_], counts[open_] - taken[open_], rest)
     return taken
