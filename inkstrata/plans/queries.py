@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import covert, detect, inspect, localize, metrics, protocol, quality, sanitize, scan, spans
+from ..operators import closed_vocabulary, covert, detect, inspect, localize, metrics, protocol, quality, records, sanitize, scan, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,9 +116,10 @@ def strip_covert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planted(spark, sf_dir, "homoglyph").select("doc_id", covert.strip_covert(F.col("text")).alias("bare"))
 
 
-@query(f"""WITH {SQL_ZERO}, {SQL_CHARS}
+@query(f"""WITH {SQL_ZERO}, {SQL_CHARS}, placed AS (
+  SELECT *, sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY position) - strlen(ch) AS byte_offset FROM chars)
 SELECT doc_id, position, 'U+' || format('{{:04X}}', unicode(ch)) AS codepoint, 'zero_width' AS category, 'actionable' AS disposition,
-  strlen(substr(text, 1, position)) AS byte_offset FROM chars WHERE ch IN (chr(8203), chr(8204))""")
+  byte_offset::BIGINT AS byte_offset FROM placed WHERE ch IN (chr(8203), chr(8204))""")
 def inspect_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = inspect.occurrences(planted(spark, sf_dir, "zero_width"))
     return found.select("doc_id", "position", "codepoint", "category", "disposition", "byte_offset")
@@ -700,6 +701,63 @@ def span_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.merge(spans.select_top(token_scores(spark, sf_dir), 0.3), words)
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+SQL_LETTERS = """ids AS (
+  SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[a-z]'), lambda c: ascii(c) - 97) AS w FROM documents
+)"""
+
+
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sequences of letters, a closed vocabulary of 26 tokens."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]"), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("w"))
+
+
+@query(f"""WITH {SQL_LETTERS}, b AS (SELECT DISTINCT doc_id, w[i] AS a, w[i + 1] AS b FROM ids, unnest(range(1, len(w))) AS t(i)),
+s AS (SELECT doc_id, count(*) AS n, count_if((a * 7 + b * 3) % 4 = 0) AS h FROM b GROUP BY doc_id),
+z AS (SELECT d.doc_id, coalesce(n, 0) AS n, (h - 0.25::DOUBLE * n) / sqrt(n * 0.1875::DOUBLE) AS z FROM documents d LEFT JOIN s USING (doc_id))
+SELECT doc_id, n AS effective_tokens, CASE WHEN n >= 32 THEN round(z, 9) END AS score,
+  CASE WHEN n < 32 THEN 'insufficient_evidence' WHEN z > 4.0 THEN 'detected' ELSE 'not_detected' END AS status FROM z""")
+def detect_closed_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    green = [[(a * 7 + b * 3) % 4 == 0 for b in range(26)] for a in range(26)]
+    out = closed_vocabulary.transition_score(letters(spark, sf_dir), F.col("w"), LETTERS, green, 0.25)
+    return out.select("doc_id", "effective_tokens", F.round("score", 9).alias("score"), "status")
+
+
+@query(f"""WITH {SQL_LETTERS}, s AS (SELECT doc_id, len(list_distinct(w)) AS n, len(list_filter(list_distinct(w), lambda x: x % 2 = 0)) AS h FROM ids),
+z AS (SELECT doc_id, n, CASE WHEN n > 0 AND n < 26 THEN (h - 0.5::DOUBLE * n) / sqrt(0.25::DOUBLE * n) / sqrt(1 - (n - 1) / 25.0::DOUBLE) ELSE 0.0 END AS z FROM s)
+SELECT doc_id, n AS effective_tokens, CASE WHEN n >= 5 THEN round(z, 9) END AS score,
+  CASE WHEN n < 5 THEN 'insufficient_evidence' WHEN z > 2.3263478740408408::DOUBLE THEN 'detected' ELSE 'not_detected' END AS status FROM z""")
+def detect_closed_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = closed_vocabulary.mask_score(letters(spark, sf_dir), F.col("w"), LETTERS, [i % 2 == 0 for i in range(26)], minimum=5)
+    return out.select("doc_id", "effective_tokens", F.round("score", 9).alias("score"), "status")
+
+
+@query()
+def detect_ngram_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = letters(spark, sf_dir).select("doc_id", F.transform("w", lambda c: F.ascii(c).cast("long")).alias("ids"))
+    return closed_vocabulary.with_ngram_mean(ids, "ids", [11, 29, 47]).drop("ids")
+
+
+@query("""SELECT doc_id, '{"id":' || doc_id || ',"lang":"' || lang || '"}' AS canonical FROM documents""")
+def records_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    raw = F.concat(F.lit('{ "lang": "'), "lang", F.lit('", "id": '), F.col("doc_id").cast("string"), F.lit("}"))
+    return docs.select("doc_id", records.canonical_json(raw).alias("canonical"))
+
+
+@query(f"""WITH {SQL_WORDS} SELECT doc_id, token_id, start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY bits DESC, start, "end") AS r FROM toks) WHERE r <= 10""")
+def detect_top_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_scores(spark, sf_dir).withColumnRenamed("surprisal_bits", "score")
+    return closed_vocabulary.top_attributions(rows, 10).select("doc_id", "token_id", "start", "end")
+
+
+@query("""SELECT d AS detector, s AS scheme, 'false' AS calibrated FROM (VALUES ('reference-kgw', 'kgw-word-v1'),
+  ('reference-tournament', 'tournament-word-v1'), ('reference-unigram', 'unigram-word-v1')) AS t(d, s)""")
+def detect_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.capabilities(spark)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

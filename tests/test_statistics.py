@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from inkstrata.operators import detect, localize, metrics, protocol, quality, scan, spans
+from inkstrata.operators import closed_vocabulary, detect, localize, metrics, protocol, quality, records, scan, spans
 
 
 def test_threshold_and_rate(spark):
@@ -119,3 +119,45 @@ def test_changed_lines_and_suppression(spark):
 def test_length_bins(spark):
     rows = spark.createDataFrame([(n,) for n in (0, 63, 64, 511, 512)], "n int").select(protocol.length_bin(F.col("n")))
     assert [r[0] for r in rows.collect()] == ["under_64", "under_64", "64_127", "256_511", "512_up"]
+
+
+def test_ngram_mean_against_big_integers():
+    def wrap(x):
+        x &= (1 << 64) - 1
+        return x - (1 << 64) if x >> 63 else x
+
+    def fold(now, values):
+        for v in values:
+            now = wrap(wrap(wrap(now + v) * closed_vocabulary.MULTIPLIER) + 1)
+        return now
+
+    rng = random.Random(2)
+    ids, keys = [rng.randint(1, 9) for _ in range(120)] + [0, 3, 4, 5, 6, 7], [5, 17]
+    import struct
+
+    start = int.from_bytes(hashlib.sha256(struct.pack("<2q", *keys)).digest(), "big") % ((1 << 63) - 1)
+    seen, bits = [0] * 16, []
+    for i in range(len(ids) - 3):
+        context = fold(start, ids[i : i + 3])
+        if context not in seen and i + 3 < 120:
+            for k in keys:
+                v = fold(fold(start, ids[i : i + 4]), [k])
+                for _ in range(12):
+                    v = fold(v, [1]) >> 5
+                bits.append((v >> 30) % 2)
+        seen = [context, *seen[:-1]]
+    n, mean = closed_vocabulary.ngram_mean(ids, keys, 4, 16, 0)
+    assert n == len(bits) // 2 and math.isclose(mean, sum(bits) / len(bits))
+    assert closed_vocabulary.ngram_mean([1, 2], keys, 4, 16, 0) == (0, None)
+
+
+def test_closed_vocabulary_rejects_unknown_words(spark):
+    df = spark.createDataFrame([(1, ["a", "b"] * 40), (2, ["a", "?"])], "doc_id int, w array<string>")
+    got = closed_vocabulary.transition_score(df, F.col("w"), "ab", [[True, True], [True, True]], 0.25, minimum=2).collect()
+    assert {r.doc_id: (r.status, r.effective_tokens) for r in got} == {1: ("not_detected", 2), 2: ("unsupported", 0)}
+
+
+def test_strict_json(spark):
+    rows = [(1, '{"b": 1, "a": [null]}'), (2, '{"a": 1, "a": 2}'), (3, "[NaN]"), (4, None), (5, "nope")]
+    got = spark.createDataFrame(rows, "i int, t string").select("i", records.canonical_json("t").alias("c")).collect()
+    assert {r.i: r.c for r in got} == {1: '{"a":[null],"b":1}', 2: None, 3: None, 4: None, 5: None}
