@@ -20,14 +20,15 @@ def location(text: Column, position: Column) -> tuple[Column, Column]:
     return line, last + 1
 
 
-def line_text(text: Column, line: Column) -> Column:
-    """Line by all line ends that a text editor knows; null past the end."""
-    return F.get(F.split(text, LINE_ENDS), line - 1)
+def fingerprint(path: Column, category: Column, codepoint: Column, column: Column, line_head: Column) -> Column:
+    """Identity of a finding that survives moved lines; ``line_head`` is the start of its line's hash."""
+    return F.sha2(F.concat_ws("\u0000", path, category, codepoint, column.cast("string"), line_head).cast("binary"), 256)
 
 
-def fingerprint(path: Column, category: Column, codepoint: Column, column: Column, line: Column) -> Column:
-    head = F.substring(F.sha2(F.coalesce(line, F.lit("")).cast("binary"), 256), 1, 16)
-    return F.sha2(F.concat_ws("\u0000", path, category, codepoint, column.cast("string"), head).cast("binary"), 256)
+def line_heads(files: DataFrame) -> DataFrame:
+    """The first 16 hash digits of every line: path, line, head."""
+    cut = files.select("path", F.posexplode(F.split("text", LINE_ENDS)).alias("i", "row"))
+    return cut.select("path", (F.col("i") + 1).alias("line"), F.substring(F.sha2(F.col("row").cast("binary"), 256), 1, 16).alias("head"))
 
 
 def scan(files: DataFrame, dispositions: tuple[str, ...] = ("actionable",)) -> DataFrame:
@@ -35,10 +36,12 @@ def scan(files: DataFrame, dispositions: tuple[str, ...] = ("actionable",)) -> D
     found = inspect.occurrences(files, "path", "text").where(F.col("disposition").isin(*dispositions))
     met = found.join(files.select("path", "text"), "path")
     line, column = location(F.col("text"), F.col("position"))
-    placed = met.withColumn("line", line).withColumn("column", column)
-    mark = fingerprint(F.col("path"), F.col("category"), F.col("codepoint"), F.col("column"), line_text(F.col("text"), F.col("line")))
+    placed = met.withColumn("line", line).withColumn("column", column).drop("text", "ch", "action", "safe_rule")
+    placed = placed.join(line_heads(files), ["path", "line"], "left")
+    empty = F.substring(F.sha2(F.lit("").cast("binary"), 256), 1, 16)
+    mark = fingerprint(F.col("path"), F.col("category"), F.col("codepoint"), F.col("column"), F.coalesce("head", empty))
     risk = inspect.mapped(inspect.U.RISK, F.col("category"))
-    return placed.withColumn("fingerprint", mark).withColumn("risk", risk).drop("text", "ch", "action", "safe_rule")
+    return placed.withColumn("fingerprint", mark).withColumn("risk", risk).drop("head")
 
 
 def with_baseline(findings: DataFrame, baseline: DataFrame, new_only: bool = False) -> DataFrame:

@@ -44,10 +44,10 @@ SQL_ZERO = f"""zero AS (
   SELECT doc_id, text AS cover, list_transform({SQL_BITS}, lambda b: CASE WHEN b = 0 THEN chr(8203) ELSE chr(8204) END) AS h, p
   FROM (SELECT doc_id, text, 'zd-zero_width-' || doc_id AS p FROM documents)
 ), steps AS (
-  SELECT *, greatest(1, length(cover) // (len(h) + 1)) AS step FROM zero
+  SELECT *, string_split(cover, '') AS c, greatest(1, length(cover) // (len(h) + 1)) AS step FROM zero
 ), planted AS (
   SELECT doc_id, cover, p AS payload,
-    array_to_string(list_transform(range(1, length(cover) + 1), lambda i: cover[i] ||
+    array_to_string(list_transform(range(1, length(cover) + 1), lambda i: c[i] ||
       CASE WHEN i % step = 0 AND i // step <= len(h) THEN h[i // step] ELSE '' END), '')
     || array_to_string(h[length(cover) // step + 1:], '') AS text
   FROM steps
@@ -61,7 +61,7 @@ SQL_SPACE = f"""spaced AS (
   FROM spaced
 )"""
 SQL_CHARS = """chars AS (
-  SELECT doc_id, text, i - 1 AS position, text[i] AS ch FROM planted, unnest(range(1, length(text) + 1)) AS t(i)
+  SELECT doc_id, unnest(range(0, length(text))) AS position, unnest(string_split(text, '')) AS ch FROM planted
 )"""
 SQL_SCORES = """scores AS (
   SELECT d.doc_id, d.lang, d.source, l.toxic = 1 AS positive, d.n_chars::DOUBLE AS score
@@ -82,8 +82,8 @@ def plant_exotic_space(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH b AS (SELECT doc_id, text, """ + SQL_BITS + """ AS b FROM (SELECT doc_id, text, 'zd-homoglyph-' || doc_id AS p FROM documents)),
-c AS (SELECT doc_id, b, i, text[i] AS ch, text[i] IN ('A','B','C','E','H','K','M','O','P','T','a','c','e','i','o','p','x','y') AS ok
-  FROM b, unnest(range(1, length(text) + 1)) AS t(i)),
+u AS (SELECT doc_id, b, unnest(range(1, length(text) + 1)) AS i, unnest(string_split(text, '')) AS ch FROM b),
+c AS (SELECT *, ch IN ('A','B','C','E','H','K','M','O','P','T','a','c','e','i','o','p','x','y') AS ok FROM u),
 n AS (SELECT *, (count_if(ok) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS k FROM c)
 SELECT doc_id, string_agg(CASE WHEN ok AND b[(k - 1) % len(b) + 1] = 1
   THEN translate(ch, 'ABCEHKMOPTaceiopxy', 'АВСЕНКМОРТасеіорху') ELSE ch END, '' ORDER BY i) AS marked FROM n GROUP BY doc_id
@@ -194,15 +194,18 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
 
 
-SQL_SCAN = f"""{SQL_ZERO}, {SQL_CHARS}, located AS (
-  SELECT 'docs/' || doc_id || '.txt' AS path, position, 'U+' || format('{{:04X}}', unicode(ch)) AS codepoint,
-    len(string_split(substr(text, 1, position), chr(10))) AS line,
-    length(list_last(string_split(substr(text, 1, position), chr(10)))) + 1 AS "column",
-    string_split(text, chr(10))[len(string_split(substr(text, 1, position), chr(10)))] AS line_text
-  FROM chars WHERE ch IN (chr(8203), chr(8204))
+SQL_SCAN = f"""{SQL_ZERO}, {SQL_CHARS}, lines AS (
+  SELECT doc_id, k AS line, substr(sha256(p[k]), 1, 16) AS head
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM planted), unnest(range(1, len(p) + 1)) AS t(k)
+), walked AS (
+  SELECT doc_id, position, ch, 1 + count_if(ch = chr(10)) OVER w AS line,
+    position - coalesce(max(CASE WHEN ch = chr(10) THEN position END) OVER w, -1) AS "column"
+  FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY position)
 ), marked AS (
-  SELECT *, sha256(path || chr(0) || 'zero_width' || chr(0) || codepoint || chr(0) || "column" || chr(0) ||
-    substr(sha256(line_text), 1, 16)) AS fingerprint FROM located
+  SELECT 'docs/' || doc_id || '.txt' AS path, position, 'U+' || format('{{:04X}}', unicode(ch)) AS codepoint, line::BIGINT AS line, "column",
+    sha256('docs/' || doc_id || '.txt' || chr(0) || 'zero_width' || chr(0) || 'U+' || format('{{:04X}}', unicode(ch)) || chr(0) ||
+      "column" || chr(0) || head) AS fingerprint
+  FROM walked JOIN lines USING (doc_id, line) WHERE ch IN (chr(8203), chr(8204))
 )"""
 
 
