@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from . import textbatch as tb
 
 SIZES = (1, 2, 3)
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def grams(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,23 +73,26 @@ def counter(languages: list[str], buckets: int):
     return count
 
 
+def judge(column: pa.Array, languages: list[str], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each text has a letter, its arg-max language (an index) and the posterior of that."""
+    texts = lowered(column)
+    n = len(texts)
+    lettered = np.array([x is not None and any(map(str.isalpha, x)) for x in texts.to_pylist()], bool)
+    if not languages:
+        return np.zeros(n, bool), np.zeros(n, int), np.zeros(n)
+    bucket, owner = grams(*tb.utf8(texts), len(flat))
+    total = np.stack([np.bincount(owner, flat[bucket, k], n) for k in range(len(languages))], axis=1)
+    best = total.argmax(axis=1)
+    return lettered, best, 1 / np.exp(total - total[np.arange(n), best][:, None]).sum(axis=1)
+
+
 def scorer(languages: list[str], logs: np.ndarray, column: str):
-    """Executor side of prediction: the arg-max language and its posterior for each text."""
+    """Executor side of prediction: language and score of each row."""
     flat = np.ascontiguousarray(logs.T)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.blocks(batches, column, BLOCK):
-            texts = lowered(batch.column(column))
-            n = batch.num_rows
-            lettered = np.array([x is not None and any(map(str.isalpha, x)) for x in texts.to_pylist()], bool)
-            if languages:
-                bucket, owner = grams(*tb.utf8(texts), len(flat))
-                total = np.stack([np.bincount(owner, flat[bucket, k], n) for k in range(len(languages))], axis=1)
-                best = total.argmax(axis=1)
-                posterior = 1 / np.exp(total - total[np.arange(n), best][:, None]).sum(axis=1)
-            else:
-                lettered[:] = False
-                best, posterior = np.zeros(n, int), np.zeros(n)
+            lettered, best, posterior = judge(batch.column(column), languages, flat)
             names = [languages[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)]
             out = [batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(
@@ -100,6 +103,18 @@ def scorer(languages: list[str], logs: np.ndarray, column: str):
     return score
 
 
+def keeper(languages: list[str], logs: np.ndarray, column: str, min_score: float):
+    """Executor side of filtering: batches without the rows whose language is not known."""
+    flat = np.ascontiguousarray(logs.T)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tb.blocks(batches, column, BLOCK):
+            lettered, _, posterior = judge(batch.column(column), languages, flat)
+            yield batch.filter(pa.array(lettered & (posterior >= min_score)))
+
+    return keep
+
+
 class LanguageModel:
     """Log-probabilities by language and bucket."""
 
@@ -162,6 +177,4 @@ def keep_known(documents: DataFrame, min_score: float = 0.5) -> DataFrame:
     model = LanguageModel.fit(documents.where(~held_out()))
     if not model.languages:
         return documents
-    columns = documents.columns
-    scored = model.predict(documents.select(F.struct(*columns).alias("row"), F.col("text").alias("scored_text")), "scored_text")
-    return scored.where(f"lang_pred <> 'und' and score >= {min_score}").select("row.*")
+    return documents.mapInArrow(keeper(model.languages, model.logs, "text", min_score), documents.schema)
