@@ -31,7 +31,12 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. Texts in fewer splits than there are cores (one small file) are dealt out first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name == "documents" and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def planted(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
