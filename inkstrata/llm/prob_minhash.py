@@ -15,9 +15,10 @@ group of near copies needs one comparison each. Links are verified on the full
 shingle sets: the larger of Jaccard and probability Jaccard must reach
 ``similarity``. After connected components over these links, members of buckets
 that hold several components are compared with each other where prefix
-filtering, which is exact for Jaccard, allows a link; so no link is lost to the
-choice of the centre, no bucket is ever held by one task, and large groups of
-copies that are not near each other do not meet.
+filtering, by number for Jaccard and by weight for probability Jaccard, allows a
+link; both filters are exact, so no link is lost to the choice of the centre, no
+bucket is ever held by one task, and large groups of copies that are not near
+each other do not meet.
 
 Defined results: null and wordless texts, and rows with a null id, are classes
 of their own (a null id has a null class). A class is named by its least doc_id.
@@ -176,11 +177,17 @@ def verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
 
 
 def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each distinct shingle of a document, with their number."""
+    """One row for each distinct shingle of a document, with its weight, and their number and total weight."""
     for batch in batches:
-        sets = [np.unique(np.frombuffer(x, "<u4")) for x in batch.column("shingles").to_pylist()]
+        sets, times = [], []
+        for x in batch.column("shingles").to_pylist():
+            value, often = np.unique(np.frombuffer(x, "<u4"), return_counts=True)
+            sets.append(value)
+            times.append(1 + np.log(often))
         counts = np.array([len(x) for x in sets], np.int64)
+        total = np.array([x.sum() for x in times], np.float64)
         every = np.concatenate(sets) if sets else np.zeros(0, np.uint32)
+        weight = np.concatenate(times) if times else np.zeros(0)
         at = pa.array(np.repeat(np.arange(len(sets)), counts))
         yield pa.RecordBatch.from_arrays(
             [
@@ -188,34 +195,42 @@ def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("component").take(at),
                 pa.array(np.repeat(counts, counts)),
                 pa.array(every.view(np.int32)),
+                pa.array(weight),
+                pa.array(np.repeat(total, counts)),
             ],
-            names=["rid", "component", "n", "shingle"],
+            names=["rid", "component", "n", "shingle", "weight", "total"],
         )
 
 
 def prefix_pairs(members: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different components that can reach the Jaccard similarity: an exact filter.
+    """Pairs (a, b) of different components that can reach the similarity by either measure: an exact filter.
 
-    With shingles in one global order, rarest first, two documents at similarity t
+    With shingles in one global order, rarest first, two documents at Jaccard t
     share one of the first n - ceil(t n) + 1 of each, and from the first that they
-    share enough must follow in both. Copies that differ much from all others start
+    share enough must follow in both. Probability Jaccard is bounded likewise by
+    weight: if the first that they share starts the last shares p and q of their
+    total weights, it is at most 1 / (1 / p + 1 / q - 1), so p and q are at least t.
+    Without repeated shingles both measures are one. Copies that differ much from all others start
     with shingles of their own and so meet nobody, however large their group;
     members of a shingle's largest component do not meet each other.
     """
     rows = store.shelve(
         shingles.join(members, "rid").select("rid", "component", "shingles").mapInArrow(
-            shingle_rows, "rid long, component long, n long, shingle int"
+            shingle_rows, "rid long, component long, n long, shingle int, weight double, total double"
         ),
         "tokens",
     )
     shared = rows.groupBy("shingle").agg(F.count("*").alias("docs")).where("docs > 1")
     shared = store.shelve(shared, "frequencies")
-    rank = F.row_number().over(Window.partitionBy("rid").orderBy(F.coalesce("docs", F.lit(1)), "shingle"))
+    order = Window.partitionBy("rid").orderBy(F.coalesce("docs", F.lit(1)), "shingle")
+    upto = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    by_number = F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
     head = store.shelve(
         rows.join(shared, "shingle", "left")
-        .withColumn("rank", rank)
-        .where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1) & F.col("docs").isNotNull())
-        .select("rid", "component", "shingle", "n", "rank"),
+        .withColumn("rank", F.row_number().over(order))
+        .withColumn("share", 1 - (upto - F.col("weight")) / F.col("total"))
+        .where((by_number | (F.col("share") >= similarity - 1e-9)) & F.col("docs").isNotNull())
+        .select("rid", "component", "shingle", "n", "rank", "share", (F.col("total") > F.col("n")).alias("repeats")),
         "prefixes",
     )
     share = head.groupBy("shingle", "component").agg(F.count("*").alias("n"))
@@ -223,12 +238,14 @@ def prefix_pairs(members: DataFrame, shingles: DataFrame, similarity: float) ->
     split = store.shelve(split.where("parts > 1").select("shingle", F.col("top.component").alias("main")), "split")
     apart = store.shelve(head.join(split, "shingle"), "heads")
     side = lambda df, k, *more: df.select(
-        "shingle", F.col("rid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("component", "n", "rank")], *more
+        "shingle", F.col("rid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("component", "n", "rank", "share", "repeats")], *more
     )
     minor, other = side(apart.where("component <> main"), "x"), side(apart, "y", "main")
     # Shingles in common, at most: this one, and what follows it in both.
     most = 1 + F.least(F.col("n_x") - F.col("rank_x"), F.col("n_y") - F.col("rank_y"))
     enough = most >= (F.col("n_x") + F.col("n_y")) * (similarity / (1 + similarity)) - 1e-9
+    heavy = 1 / F.col("share_x") + 1 / F.col("share_y") <= 1 + 1 / similarity + 1e-9
+    enough = enough | ((F.col("repeats_x") | F.col("repeats_y")) & heavy)
     return (
         minor.join(other, "shingle")
         .where(F.expr("component_x <> component_y and (component_y = main or x < y)") & enough)

@@ -420,6 +420,57 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == classes_by_force(rows)
 
 
+def repeated_lines(rng):
+    """Groups that share lines repeated 2 to 9 times, each text with lines of its own."""
+    words, rows = [f"u{i}" for i in range(4000)], []
+    for group, own in enumerate((12, 50, 90, 30)):
+        lines = [" ".join(rng.choices(words, k=30)) for _ in range(5)]
+        for _ in range(14):
+            text = [x for x in lines for _ in range(2 + group * 2)] + [" ".join(rng.choices(words, k=rng.randint(own // 2, own + 30)))]
+            rows.append((len(rows), "\n".join(text)))
+    return rows
+
+
+def near_by_force(rows):
+    """Pairs of rows by the larger of Jaccard and probability Jaccard, from their definitions."""
+    bags, out = [], set()
+    for _, text in rows:
+        w = re.findall(r"[a-z0-9]+", text.lower())
+        bags.append({g: 1 + math.log(n) for g, n in Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)).items()})
+    for a, x in enumerate(bags):
+        for b, y in enumerate(bags[:a]):
+            both, every = x.keys() & y.keys(), x.keys() | y.keys()
+            if not both:
+                continue
+            wx, wy = (np.array([z.get(g, 0) for g in every]) for z in (x, y))
+            pj = sum(1 / np.maximum(wx / x[g], wy / y[g]).sum() for g in both)
+            if max(len(both) / len(every), pj) >= 0.8:
+                out.add((b, a))
+    return out
+
+
+def test_prefix_pairs_hold_all_links_of_repeated_lines(spark):
+    rows = repeated_lines(random.Random(20))
+    want = near_by_force(rows)
+    sets = [sh(t) for _, t in rows]
+    assert sum(len(sets[a] & sets[b]) < 0.8 * len(sets[a] | sets[b]) for a, b in want) > 20  # links by weight alone
+    blobs = prob_minhash.sketch(pa.RecordBatch.from_pydict({"text": [t for _, t in rows]}))["shingles"].to_pylist()
+    shingles = spark.createDataFrame(list(enumerate(blobs)), "rid long, shingles binary")
+    members = spark.createDataFrame([(i, i) for i, _ in rows], "rid long, component long")
+    got = {(r.a, r.b) for r in prob_minhash.prefix_pairs(members, shingles, 0.8).collect()}
+    assert want <= got
+
+
+def test_near_duplicates_of_repeated_lines_against_brute_force(spark):
+    rows = repeated_lines(random.Random(21))
+    root = list(range(len(rows)))
+    for a, b in sorted(near_by_force(rows)):
+        x, y = sorted((root[a], root[b]))
+        root = [x if r == y else r for r in root]
+    got = {r.doc_id: r.class_id for r in prob_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(3)
     x, y = rng.integers(0, 2**63, 400).astype(np.uint64), None
