@@ -12,9 +12,12 @@ alphabet that holds it) and computes
 
 joined by Bonferroni into ``p_random``: small for text that no generator of
 uniform symbols would produce. Runs that pass (``p_random >= 0.01``) get
-``p_text``, the chance that ordinary text of the same length and encoding looks
-as uniform (the lower tail of the same statistic under the letter mix below, so
-short runs cannot get a small value). Benjamini-Hochberg at ``rate`` within each
+``p_text``, a bound on the chance that ordinary text looks as random: the
+likelihood of the run as text over that as uniform symbols of its encoding, times
+the number of encodings it could have had (Markov's inequality on the likelihood
+ratio). Text is a chain of character classes (words, Capitals and camelCase, or
+all upper case; digits in groups) with letters by the mix below, vowels and
+consonants in turn; of the two chains the likelier counts. Benjamini-Hochberg at ``rate`` within each
 stratum of encoding and length over the whole corpus selects the ``random``
 spans. Strata are few and p-values are binned, so only a small histogram reaches
 the driver.
@@ -62,22 +65,51 @@ LETTERS = {
     "c": 2.8, "u": 2.8, "m": 2.4, "w": 2.4, "f": 2.2, "g": 2.0, "y": 2.0, "p": 1.9, "b": 1.5, "v": 1.0, "k": 0.8,
     "j": 0.15, "x": 0.15, "q": 0.1, "z": 0.07,
 }
+#: Classes of neighbouring characters in text, by mode: shares of lower, upper, digit and other after each of them
+#: and, last, at the start of a run.
+CHAINS = {
+    "words": {
+        "lower": (0.93, 0.02, 0.02, 0.03), "upper": (0.60, 0.30, 0.05, 0.05), "digit": (0.07, 0.05, 0.75, 0.13),
+        "other": (0.50, 0.20, 0.25, 0.05), "": (0.60, 0.20, 0.15, 0.05),
+    },
+    "capitals": {
+        "lower": (0.50, 0.42, 0.04, 0.04), "upper": (0.01, 0.92, 0.03, 0.04), "digit": (0.02, 0.10, 0.75, 0.13),
+        "other": (0.05, 0.65, 0.25, 0.05), "": (0.05, 0.75, 0.15, 0.05),
+    },
+}
+VOWELS = "aeiouy"
+#: Chance of a vowel after a vowel and after a consonant, and share of letters that follow no rule (names, other languages).
+AFTER_VOWEL, AFTER_CONSONANT, LOOSE = 0.22, 0.52, 0.2
 LENGTHS = (24, 32, 48, 80)
 BINS = 400
 
 
-def symbol_weight(c: str) -> float:
-    if c in LETTERS:
-        return 0.90 * LETTERS[c]
-    if c.lower() in LETTERS:
-        return 0.07 * LETTERS[c.lower()]
-    return 0.2 if c.isdigit() else 0.25
-
-
-def power_sums(alphabet: str) -> tuple[float, float]:
-    weights = [symbol_weight(c) for c in alphabet]
-    total = sum(weights)
-    return sum((w / total) ** 2 for w in weights), sum((w / total) ** 3 for w in weights)
+def letter_share(c: str, before: str) -> float:
+    """Share of the letter ``c`` (lower case) in text after the letter ``before``, or at the start of a word."""
+    kind = [x for x in LETTERS if (x in VOWELS) == (c in VOWELS)]
+    share = LETTERS[c] / sum(LETTERS[x] for x in kind)
+    vowel = AFTER_VOWEL if before in VOWELS else AFTER_CONSONANT
+    ruled = share * (vowel if c in VOWELS else 1 - vowel) if before else LETTERS[c] / sum(LETTERS.values())
+    return (1 - LOOSE) * ruled + LOOSE / 26
+
+
+def text_logs() -> list[dict[tuple[str, str], float]]:
+    """For each chain, the log likelihood in text of a character after another ('' at the start)."""
+    classes = {c: "digit" if c.isdigit() else "lower" if c.islower() else "upper" if c.isupper() else "other" for c in ALPHABETS["any"]}
+    names, out = ("lower", "upper", "digit", "other"), []
+    for chain in CHAINS.values():
+        logs = {}
+        for before, kind in [("", ""), *classes.items()]:
+            for c, now in classes.items():
+                share = chain[kind][names.index(now)]
+                if now in ("lower", "upper"):
+                    joined_on = before.isalpha() and not (kind == "lower" and now == "upper")
+                    share *= letter_share(c.lower(), before.lower() if joined_on else "")
+                else:
+                    share *= 1 / 10 if now == "digit" else 1 / 4
+                logs[before, c] = math.log(share)
+        out.append(logs)
+    return out
 
 
 def tail(z: float) -> float:
@@ -97,7 +129,7 @@ class Battery:
 
     def __init__(self):
         self.rank = {name: {c: i for i, c in enumerate(letters)} for name, letters in ALPHABETS.items()}
-        self.sums = {name: power_sums(letters) for name, letters in ALPHABETS.items()}
+        self.logs = text_logs()
         self.sets = {name: frozenset(letters) for name, letters in ALPHABETS.items()}
 
     def encoding(self, run: str) -> str:
@@ -126,8 +158,9 @@ class Battery:
         spread = sum((s - centre) ** 2 for s in symbols)
         lag = sum((a - centre) * (b - centre) for a, b in zip(symbols, symbols[1:])) / spread if spread else 1.0
         p_serial = min(1.0, 2 * tail(abs(lag) * math.sqrt(n)))
-        mean, deviation = collision_moments(n, *self.sums[name])
-        p_text = tail((mean - squares) / deviation)
+        pairs = list(zip(["", *run], run))
+        as_text = max(sum(logs[pair] for pair in pairs) for logs in self.logs)
+        p_text = min(1.0, len(ALPHABETS) * math.exp(min(0.0, as_text + n * math.log(k))))
         return name, min(1.0, 3 * min(p_uniform, p_runs, p_serial)), p_text
 
 
