@@ -7,8 +7,10 @@ suffixes, and any MIN_WORDS words in common hold one whose next HEAD words are
 common too. Kept suffixes are sorted by the hashes of their next HEAD words and
 of the NEXT words after them, then by document and position; range partitions
 make the sort distributed, and documents in the sort key split any hot passage.
-Neighbours with an equal head are matches; neighbours across partition seams are
-compared from the first and last row of each partition.
+Among suffixes with an equal head each is matched with the nearest ones of another
+document before and after it, so every occurrence of a passage has its match
+however often its document repeats it. Across partition seams the nearest ones
+come from four rows of each partition.
 
 Matches of two documents at one offset are chained where they overlap. A chain
 is then extended word by word to the left and to the right; minimisers lie so
@@ -18,7 +20,7 @@ contexts of bounded size come back.
 
 Defined results: null texts and texts of fewer than MIN_WORDS words have no
 matches, rows with a null id take no part; matches within one document id are
-not reported. Copies are matched with their neighbour in the order, so a group
+not reported. Copies are matched with their neighbours in the order, so a group
 of n copies gives about n matches. Empty tables give no rows.
 """
 
@@ -98,43 +100,90 @@ MATCH = "part int, edge int, k1 long, a long, a_pos int, b long, b_pos int"
 
 
 def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of rows with the row before (edge 0), and the first (1) and last (2) row of the partition."""
+    """Matches (edge 0) of rows with the nearest rows of another document and the same head, and the partition's edges.
+
+    A block is what stands together of one document and head. Edges are the first
+    (1) and last (2) row, the row after the first block (3) and before the last one
+    (4) where the head is the same, and the rows whose match lies in another
+    partition: those of the first block but its first (5) and of the last block (6).
+    A block has no more rows than its document has words.
+    """
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
     names = [x.split()[0] for x in MATCH.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
 
-    def rows(edge: int, k1, a, a_pos, b, b_pos) -> pa.RecordBatch:
-        n = len(k1)
-        columns = [np.full(n, part), np.full(n, edge), k1, a, a_pos, b, b_pos]
+    def rows(edge: int, table, i, j) -> pa.RecordBatch:
+        k1, did, pos = table
+        columns = [np.full(len(i), part), np.full(len(i), edge), k1[i], did[i], pos[i], did[j], pos[j]]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    last = None
+    # The open block, after the row before it (lead is 1) if there is one.
+    held, lead, one = None, 0, np.zeros(1, np.int64)
     for batch in batches:
         if not batch.num_rows:
             continue
-        k1, did, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "did", "pos"))
-        if last is None:
-            yield rows(1, k1[:1], did[:1], pos[:1], did[:1], pos[:1])
+        now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "did", "pos"))
+        if held is None:
+            yield rows(1, now, one, one)
         else:
-            k1, did, pos = (np.concatenate(x) for x in zip(last, (k1, did, pos), strict=True))
-        i = np.flatnonzero(k1[1:] == k1[:-1]) + 1
-        yield rows(0, k1[i], did[i], pos[i], did[i - 1], pos[i - 1])
-        last = (k1[-1:], did[-1:], pos[-1:])
-    if last is not None:
-        yield rows(2, last[0], last[1], last[2], last[1], last[2])
+            now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+        changed = [np.append(True, x[1:] != x[:-1]) for x in now]
+        fresh = changed[0] | changed[1] | changed[2]  # repeated rows count once
+        now = k1, did, pos = tuple(x[fresh] for x in now)
+        new = (changed[0] | changed[1])[fresh]
+        starts = np.flatnonzero(new)
+        if len(starts) - lead > 1:
+            block, last = np.cumsum(new) - 1, starts[-1]
+            i = np.arange(lead, last)
+            before, after = starts[block[i]] - 1, starts[np.minimum(block[i] + 1, len(starts) - 1)]
+            ok = (before >= 0) & (k1[before] == k1[i])
+            yield rows(0, now, i[ok], before[ok])
+            ok = (k1[after] == k1[i]) & (i < after - 1)  # a block's last row is what its successor is matched with
+            yield rows(0, now, i[ok], after[ok])
+            if not lead:
+                i = np.arange(1, starts[1])
+                yield rows(5, now, i, i)
+                if k1[starts[1]] == k1[0]:
+                    yield rows(3, now, starts[1:2], starts[1:2])
+            now, lead = tuple(x[last - 1 :] for x in now), 1
+        held = now
+    if held is not None:
+        i = np.arange(lead, len(held[0]))
+        if not lead:
+            yield rows(5, held, i[1:], i[1:])
+        elif held[0][0] == held[0][1]:
+            yield rows(0, held, i, np.zeros(len(i), np.int64))
+            yield rows(4, held, one, one)
+        yield rows(6, held, i, i)
+        yield rows(2, held, i[-1:], i[-1:])
+
+
+def reach(edges: list, back: bool = False) -> list[tuple]:
+    """For each partition's first row, the nearest row of another document and the same head in earlier partitions.
+
+    (part, a, a_pos, b, b_pos); with ``back`` for the last row, in later ones.
+    """
+    by: dict[int, dict] = {}
+    for r in edges:
+        by.setdefault(r["part"], {})[r["edge"]] = r
+    found, near, other = [], None, None
+    for part, at in sorted(by.items(), reverse=back):
+        first, last = (at[2], at[1]) if back else (at[1], at[2])
+        hit = None
+        if near is not None and near["k1"] == first["k1"]:
+            hit = near if near["a"] != first["a"] else other
+        if hit is not None:
+            found.append((part, first["a"], first["a_pos"], hit["a"], hit["a_pos"]))
+        one_block = 3 not in at and (first["k1"], first["a"]) == (last["k1"], last["a"])
+        near, other = last, hit if one_block else at.get(3 if back else 4)
+    return found
 
 
 def seams(edges: list) -> list[tuple]:
-    """Matches between the last row of a partition and the first of the next one that has rows."""
-    found, last = [], None
-    for r in sorted(edges, key=lambda r: (r["part"], r["edge"])):
-        if r["edge"] == 1 and last is not None and last["k1"] == r["k1"]:
-            found.append((r["a"], r["a_pos"], last["a"], last["a_pos"]))
-        if r["edge"] == 2:
-            last = r
-    return found
+    """Matches of the first row of each partition with a row of the ones before."""
+    return [r[1:] for r in reach(edges)]
 
 
 REQUEST = "array<struct<cid:long,side:int,lo:int,hi:int>>"
@@ -206,11 +255,23 @@ def matches(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     compared = store.shelve(
         kept.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(neighbours, MATCH), "neighbours"
     )
-    across = seams(compared.where("edge > 0").collect())  # two rows a partition
+    edges = compared.where("edge between 1 and 4").collect()  # four rows a partition at most
     pairs = compared.where("edge = 0").select("a", "a_pos", "b", "b_pos")
+    across = seams(edges)
     if across:
         pairs = pairs.unionByName(spark.createDataFrame(across, "a long, a_pos int, b long, b_pos int"))
-    pairs = pairs.where("a <> b").withColumn("offset", F.col("a_pos") - F.col("b_pos"))
+    for edge, found in ((5, reach(edges)), (6, reach(edges, back=True))):
+        if found:
+            near = spark.createDataFrame([(r[0], *r[3:]) for r in found], "part int, b long, b_pos int")
+            open_ = compared.where(F.col("edge") == edge).select("part", "a", "a_pos")
+            pairs = pairs.unionByName(open_.join(near, "part").drop("part"))
+    turned = F.col("a") > F.col("b")
+    pairs = pairs.select(
+        F.least("a", "b").alias("a"),
+        F.when(turned, F.col("b_pos")).otherwise(F.col("a_pos")).alias("a_pos"),
+        F.greatest("a", "b").alias("b"),
+        F.when(turned, F.col("a_pos")).otherwise(F.col("b_pos")).alias("b_pos"),
+    ).withColumn("offset", F.col("a_pos") - F.col("b_pos"))
     line = Window.partitionBy("a", "b", "offset").orderBy("a_pos")
     opens = F.coalesce(F.col("a_pos") - F.lag("a_pos").over(line) > HEAD, F.lit(True)).cast("int")
     chains = (

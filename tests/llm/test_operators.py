@@ -599,6 +599,54 @@ def test_suffix_matches(spark, passages, edges, empty):
     assert suffix_array.matches(edges).count() == 0 == suffix_array.matches(empty).count()
 
 
+@pytest.mark.parametrize("partitions", [1, 40])
+def test_suffix_matches_every_occurrence(spark, partitions):
+    """Passages that documents repeat: each word of each occurrence lies in a span of its document."""
+    rng = random.Random(23)
+    words = ["".join(rng.choices("abcdefghi", k=rng.randint(2, 9))) for _ in range(6000)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    rows, shared = [], [text(n) for n in (60, 80, 55)]
+    for i, times in enumerate((4, 1, 3, 7, 1, 1, 5, 2, 30)):
+        for k, passage in enumerate(shared[: 1 + i % 3]):
+            rows.append((10 * i + k, " ".join(f"{text(40)} {passage}" for _ in range(times)) + f" {text(30)}"))
+    rows += [rows[0], (500, " ".join([text(60)] * 3))]
+    where = defaultdict(set)
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 49):
+            where[tuple(w[i : i + 50])].add(d)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(old, (str(partitions), "false")):
+            spark.conf.set(k, v)
+        found = suffix_array.matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    spans, lookup = defaultdict(list), dict(rows)
+    for r in found:
+        assert lookup[r.doc_id][r.start : r.end] == lookup[r.other_doc_id][r.other_start : r.other_end]
+        spans[r.doc_id].append((r.start, r.end))
+    missing = set()
+    for d, t in rows:
+        at = [m.span() for m in WORD.finditer(t)]
+        for i in range(len(at) - 49):
+            if len(where[tuple(t[a:b] for a, b in at[i : i + 50])]) > 1:
+                begin, end = at[i][0], at[i + 49][1]
+                if not any(a <= begin and end <= b for a, b in spans[d]):
+                    missing.add((d, begin))
+    assert not missing and 500 not in spans
+
+
+def test_reach_across_partitions():
+    row = lambda part, edge, k1, a, pos=0: {"part": part, "edge": edge, "k1": k1, "a": a, "a_pos": pos}
+    # Partition 0 ends with document 2 after 1; 1 holds document 2 only; 3 begins with it and goes on with 4.
+    edges = [row(0, 1, 5, 9), row(0, 4, 7, 1), row(0, 2, 7, 2), row(1, 1, 7, 2, 1), row(1, 2, 7, 2, 8)]
+    edges += [row(3, 1, 7, 2, 9), row(3, 3, 7, 4, 3), row(3, 2, 8, 5)]
+    assert suffix_array.reach(edges) == [(1, 2, 1, 1, 0), (3, 2, 9, 1, 0)]
+    assert suffix_array.reach(edges, back=True) == [(1, 2, 8, 4, 3), (0, 2, 0, 4, 3)]
+
+
 def test_seams_between_partitions():
     row = lambda part, edge, k1, a: {"part": part, "edge": edge, "k1": k1, "a": a, "a_pos": 0}
     edges = [row(0, 1, 1, 10), row(0, 2, 7, 11), row(2, 1, 7, 12), row(2, 2, 9, 13), row(3, 1, 8, 14), row(3, 2, 8, 14)]
