@@ -9,9 +9,10 @@ score reaches the threshold; the threshold is the score below which lie at most
 is the same on every run. Ratios are whole millionths, so sums do not depend on
 their order.
 
-The trusted set is at most ``max_trusted`` labelled documents (those with the
+The target is fitted on at most ``max_trusted`` trusted documents (those with the
 least hash of their id), which bounds the broadcast; raw counts and scores cover
-every document.
+every document, and the threshold every trusted one: scores are kept in the
+shared folder and joined with the labels, so texts are scored once.
 
 Base rules fail texts under 50 words and texts where words in repeated 3-word
 windows make up more than half. Defined results: a null text counts as empty and
@@ -27,6 +28,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 SCALE = 1_000_000
@@ -83,9 +86,12 @@ def base_statistics(df: DataFrame, column: str = "text") -> DataFrame:
     )
 
 
+def all_trusted(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
+
+
 def trusted_ids(labels: DataFrame, max_trusted: int) -> DataFrame:
-    good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+    return all_trusted(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
 
 
 def fit(documents: DataFrame, labels: DataFrame, buckets: int, max_trusted: int, alpha: float = 1.0) -> list[int]:
@@ -123,11 +129,10 @@ def scored(documents: DataFrame, ratios: list[int]) -> DataFrame:
     return f.withColumn("llr", mean).drop("features_")
 
 
-def threshold(documents: DataFrame, labels: DataFrame, ratios: list[int], max_trusted: int, reject_share: float) -> int:
-    """The largest millesimal score with at most ``reject_share`` of the trusted documents below it."""
-    ids = trusted_ids(labels, max_trusted)
-    own = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    bins = scored(own, ratios).groupBy(F.floor(F.col("llr") / 1000).alias("bin")).count().collect()
+def threshold(scores: DataFrame, labels: DataFrame, reject_share: float) -> int:
+    """The largest millesimal score with at most ``reject_share`` of all trusted documents below it."""
+    own = scores.select("doc_id", "llr").join(all_trusted(labels).hint("merge"), "doc_id", "left_semi")
+    bins = own.groupBy(F.floor(F.col("llr") / 1000).alias("bin")).count().collect()
     total, below, found = sum(r["count"] for r in bins), 0, None
     for r in sorted(bins):
         if below > reject_share * total:
@@ -145,16 +150,12 @@ def judge(
 ) -> DataFrame:
     """Base columns, ``base_failed``, ``kept`` and the score of every document."""
     ratios = fit(documents, labels, buckets, max_trusted)
-    least = threshold(documents, labels, ratios, max_trusted, reject_share)
-    out = base_statistics(scored(documents.select("doc_id", "text"), ratios))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    out = base_statistics(scored(documents.select("doc_id", "text"), ratios)).select(*base, "llr")
+    out = store.shelve(out, "quality")
+    least = threshold(out, labels, reject_share)
     return out.select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        "base_failed",
+        *base,
         (~F.col("base_failed") & (F.col("llr") >= least)).alias("kept"),
         (F.col("llr") / SCALE).alias("llr"),
     )

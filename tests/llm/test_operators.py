@@ -402,6 +402,23 @@ def test_quality_without_labels(spark, docs, empty):
     assert quality_rules.judge(empty, labels).count() == 0
 
 
+def test_quality_threshold_covers_all_trusted(spark, docs):
+    """With a target fitted on few, the cut is the quantile of all trusted documents' scores."""
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    share = 0.1
+    rows = quality_rules.judge(docs, labels, buckets=512, max_trusted=5, reject_share=share).collect()
+    bins = sorted(math.floor(round(r.llr * 1e6) / 1000) for r in rows)
+    least = max(b for b in bins if sum(x < b for x in bins) <= share * len(bins))
+    assert all(r.kept == (not r.base_failed and round(r.llr * 1e6) >= least * 1000) for r in rows)
+    assert any(r.kept != (not r.base_failed) for r in rows)
+
+
+def test_quality_scores_and_counts_are_native(docs):
+    """What is kept between the passes is made without Python too."""
+    made = quality_rules.base_statistics(quality_rules.scored(docs.select("doc_id", "text"), [0] * 512))
+    assert not re.search("Python|Pandas|Arrow", made._jdf.queryExecution().executedPlan().toString())
+
+
 def test_quality_plan_is_native(spark, tiny, docs):
     labels = spark.read.parquet(f"{tiny}/labels.parquet")
     plan = quality_rules.judge(docs, labels)._jdf.queryExecution().executedPlan().toString()
