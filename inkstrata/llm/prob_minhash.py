@@ -178,7 +178,7 @@ def verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
 
 def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each distinct shingle of a document, with its weight, and their number and total weight."""
-    for batch in batches:
+    for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
         sets, times = [], []
         for x in batch.column("shingles").to_pylist():
             value, often = np.unique(np.frombuffer(x, "<u4"), return_counts=True)
