@@ -2,26 +2,40 @@
 
 Positions are words (runs without ASCII white space). A suffix is kept only where
 its five-word hash is the least of a window of WINDOW positions (a minimiser):
-the choice depends on the text alone, so copies of a passage keep the same
-suffixes, and any MIN_WORDS words in common hold one whose next HEAD words are
-common too. Kept suffixes are sorted by the hashes of their next HEAD words and
-of the NEXT words after them, then by document and position; range partitions
-make the sort distributed, and documents in the sort key split any hot passage.
-Among suffixes with an equal head each is matched with the nearest ones of another
-document before and after it, so every occurrence of a passage has its match
-however often its document repeats it. Across partition seams the nearest ones
-come from four rows of each partition.
-
-Matches of two documents at one offset are chained where they overlap. A chain
-is then extended word by word to the left and to the right; minimisers lie so
-close that REACH words on either side decide whether the match has MIN_WORDS.
-Only documents with matches take part: their ids and places go to the texts, and
-contexts of bounded size come back.
-
-Defined results: null texts and texts of fewer than MIN_WORDS words have no
-matches, rows with a null id take no part; matches within one document id are
-not reported. Copies are matched with their neighbours in the order, so a group
-of n copies gives about n matches. Empty tables give no rows.
+the choice depends on the text alone, so every copy of a passage of ``min_words``
+words keeps the same suffixes, one of them within its first WINDOW positions, and
+the ``min_words - WINDOW + 1`` words that follow it, its head, lie in the passage.
+
+Kept suffixes are sorted by the hash of their head, then by document and place;
+range partitions make the sort distributed, and documents in the sort key split
+any hot passage. Neighbours are compared in one pass over each sorted partition:
+suffixes with equal heads make a run, named by its first row, and runs that go on
+across partitions are joined from two rows of each partition.
+
+Matches of one document with one earlier place at one offset are chained where
+their heads overlap: in a chain both texts are equal word by word. Chains are then
+extended to the left and right: every passage of ``min_words`` words that reaches
+over the ends of a chain, here or in the text it is copied from, and could be
+common as the first suffix it must keep has a match, is hashed, sorted and compared
+with its neighbours in the same way. Passages that follow each other and have their
+first place at one offset become one span, so a span ends exactly where the common
+text ends or where another document holds the text first. However long the common
+text is, nothing is cut.
+
+Result: one row for each span and document that holds it, the first one included
+(``is_first``); ``first_doc_id`` and ``first_word`` name the class by its first
+place, the least document id, then word. The words of a span equal the words from
+there. Each passage of ``min_words`` words that occurs in two documents lies in a
+span of each of its occurrences, and no other passage does. With ``within``, this
+holds for passages that occur twice in one document as well. Whoever drops all
+spans that are not first keeps every passage's words at an earlier place.
+
+Defined results: null texts and texts of fewer than ``min_words`` words have no
+spans, rows with a null id take no part. Rows that repeat id and text are one
+document; rows that repeat an id with other texts share the id (matches between
+them count only ``within``). Texts of any length are read whole. Extra columns
+are ignored, whatever their names. Empty tables give no rows. Passages are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,7 +50,7 @@ from pyspark.sql import functions as F
 from . import store
 from . import textbatch as tb
 
-GRAM, WINDOW, HEAD, NEXT, REACH, MIN_WORDS = 5, 14, 32, 16, 20, 50
+GRAM, WINDOW, MIN_WORDS = 5, 14, 50
 BLOCK = 1 << 21
 
 
@@ -45,276 +59,338 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return tb.range_hashes(raw, starts, ends), starts, ends, docs
 
 
-def minimisers(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Word positions that hold the least gram of some window (the leftmost of equals)."""
+def least_grams(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word at which WINDOW grams begin in a row, and where the least of these lies (the leftmost of equals)."""
     at, value = tb.windows(hashes, docs, GRAM)
     n = len(at) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     whole = np.flatnonzero(docs[at[:n]] == docs[at[WINDOW - 1 :]])
     least, where = value[whole], whole.copy()
     for j in range(1, WINDOW):
         smaller = value[whole + j] < least
         least = np.where(smaller, value[whole + j], least)
         where = np.where(smaller, whole + j, where)
-    return at[np.unique(where)]
+    return at[whole], at[where]
 
 
-def text_keys(batch: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each row from its id and text."""
+def passages(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each position in ``at``."""
+    total = np.zeros(len(hashes) + 1, tb.U64)
+    np.cumsum(tb.mix(hashes) * tb.powers(len(hashes), tb.BASE), out=total[1:])
+    inverse = tb.powers(len(hashes), np.uint64(pow(int(tb.BASE), -1, 1 << 64)))
+    return tb.mix((total[at + size] - total[at]) * inverse[at]).view(np.int64)
+
+
+def names_of(batch: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Id of each row, and 32 bits of its text's hash to tell rows of one id apart."""
     whole = tb.range_hashes(raw, offsets[:-1], offsets[1:], 3) if len(raw) else np.zeros(len(offsets) - 1, tb.U64)
-    ids = np.array(batch.column("doc_id").to_pylist(), np.int64).astype(tb.U64)
-    return tb.mix(whole + tb.mix(ids * tb.GOLDEN)).view(np.int64)
+    return batch.column("doc_id").to_numpy(zero_copy_only=False), (whole >> tb.U64(32)).astype(np.uint32).view(np.int32)
 
 
-def span_hash(total: np.ndarray, inverse: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return tb.mix((total[end] - total[begin]) * inverse[begin]).view(np.int64)
+SUFFIX = "k long, doc_id long, dup int, at int"
 
 
-def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in tb.blocks(batches, "text", BLOCK):
-        raw, offsets = tb.utf8(batch.column("text"))
-        hashes, _, _, docs = word_hashes(raw, offsets)
-        stop = np.cumsum(np.bincount(docs, minlength=batch.num_rows))
-        at = minimisers(hashes, docs)
-        at = at[at + HEAD <= stop[docs[at]]]
-        total = np.zeros(len(hashes) + 1, tb.U64)
-        np.cumsum(tb.mix(hashes) * tb.powers(len(hashes), tb.BASE), out=total[1:])
-        inverse = tb.powers(len(hashes), np.uint64(pow(int(tb.BASE), -1, 1 << 64)))
-        end = np.minimum(at + HEAD + NEXT, stop[docs[at]])
-        tail = np.minimum(at + HEAD, len(hashes) - 1)
-        key = text_keys(batch, raw, offsets)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(span_hash(total, inverse, at, at + HEAD)),
-                pa.array(tb.mix((total[end] - total[at + HEAD]) * inverse[tail]).view(np.int64)),
-                pa.array(key[docs[at]]),
-                pa.array((at - np.append(0, stop)[docs[at]]).astype(np.int32)),
-            ],
-            names=["k1", "k2", "did", "pos"],
-        )
+def suffixes(min_words: int):
+    head = min_words - WINDOW + 1
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tb.blocks(batches, "text", BLOCK):
+            raw, offsets = tb.utf8(batch.column("text"))
+            hashes, _, _, docs = word_hashes(raw, offsets)
+            stop = np.cumsum(np.bincount(docs, minlength=batch.num_rows))
+            at = np.unique(least_grams(hashes, docs)[1])
+            at = at[at + head <= stop[docs[at]]]
+            owner = docs[at]
+            ids, dup = names_of(batch, raw, offsets)
+            place = (at - np.append(0, stop)[owner]).astype(np.int32)
+            columns = [pa.array(x) for x in (passages(hashes, at, head), ids[owner], dup[owner], place)]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "doc_id", "dup", "at"])
 
-SUFFIX = "k1 long, k2 long, did long, pos int"
-MATCH = "part int, edge int, k1 long, a long, a_pos int, b long, b_pos int"
+    return run
 
 
-def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches (edge 0) of rows with the nearest rows of another document and the same head, and the partition's edges.
+MATCH = "part int, edge int, k long, doc_id long, dup int, at int, start int, end int, fdoc long, fdup int, fat int"
+FIELDS = [x.split()[0] for x in MATCH.split(", ")]
+KINDS = [pa.int64() if x.endswith("long") else pa.int32() for x in MATCH.split(", ")]
 
-    A block is what stands together of one document and head. Edges are the first
-    (1) and last (2) row, the row after the first block (3) and before the last one
-    (4) where the head is the same, and the rows whose match lies in another
-    partition: those of the first block but its first (5) and of the last block (6).
-    A block has no more rows than its document has words.
+
+def runs(within: bool):
+    """One pass over a sorted partition: rows whose key another document has too, with the first row of their run.
+
+    Edge 0 rows are decided. Rows of the partition's first run (1) and of its last
+    run where that has one document so far (2) are decided by ``resolve`` from a
+    summary of the first (3) and last run (4): its first row, and in ``fat``
+    whether it has a match already. Rows that wait here are of one document and
+    key, so no more than the document has words.
     """
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    names = [x.split()[0] for x in MATCH.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-
-    def rows(edge: int, table, i, j) -> pa.RecordBatch:
-        k1, did, pos = table
-        columns = [np.full(len(i), part), np.full(len(i), edge), k1[i], did[i], pos[i], did[j], pos[j]]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    # The open block, after the row before it (lead is 1) if there is one.
-    held, lead, one = None, 0, np.zeros(1, np.int64)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "did", "pos"))
-        if held is None:
-            yield rows(1, now, one, one)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+
+        def out(edge: np.ndarray, own: list, first: list) -> pa.RecordBatch:
+            columns = [np.full(len(edge), part), edge, *own, *first[1:4]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS, strict=True)], names=FIELDS)
+
+        last = waiting = opened = lead = None  # opened: first row, matched, whether it is the partition's first run
+        for batch in batches:
+            now = [
+                batch.column(c).to_numpy(zero_copy_only=False) if c in batch.schema.names else np.zeros(batch.num_rows, np.int32)
+                for c in ("k", "doc_id", "dup", "at", "start", "end")
+            ]
+            fresh = np.zeros(batch.num_rows, bool)  # repeated rows count once
+            for c, x in enumerate(now[:4]):
+                fresh[1:] |= x[1:] != x[:-1]
+                fresh[:1] |= last is None or x[:1] != last[c]
+            now = [x[fresh] for x in now]
+            if not len(now[0]):
+                continue
+            last = [x[-1] for x in now[:4]]
+            if waiting is not None:
+                now = [np.concatenate(x) for x in zip(waiting, now, strict=True)]
+            k, doc = now[0], now[1]
+            new = np.append(True, k[1:] != k[:-1])
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(k)) - 1
+            first = [x[starts] for x in now]
+            matched = (doc[starts] != doc[ends]) | (within & (ends > starts))
+            goes_on = opened is not None and waiting is None and opened[0][0] == k[0]
+            if goes_on:
+                for x, y in zip(first, opened[0], strict=True):
+                    x[0] = y
+                matched[0] |= opened[1] or within or doc[ends[0]] != first[1][0]
+            leads = opened is None or (goes_on and opened[2])
+            run = np.cumsum(new) - 1
+            edge = np.where(matched[run], 0, -1)
+            if leads:
+                edge[run == 0] = 1
+                lead = [x[:1].copy() for x in first], bool(matched[0])
+            final = len(starts) - 1
+            waits = not matched[final] and not (leads and not final)
+            waiting = [x[starts[final] :] for x in now] if waits else None
+            opened = [x[final] for x in first], bool(matched[final]), leads and not final
+            keep = edge >= 0
+            yield out(edge[keep], [x[keep] for x in now], [x[run[keep]] for x in first])
+        if opened is not None:
+            yield out(np.array([3]), lead[0], [*lead[0][:3], np.array([lead[1]], np.int32)])
+            if waiting is not None:
+                yield out(np.full(len(waiting[0]), 2), waiting, [np.repeat(x[:1], len(waiting[0])) for x in waiting])
+            if not opened[2]:
+                row = [np.array([x]) for x in opened[0]]
+                yield out(np.array([4]), row, [*row[:3], np.array([opened[1]], np.int32)])
+
+    return scan
+
+
+def resolve(edges: list, within: bool) -> list[tuple]:
+    """(part, edge, fdoc, fdup, fat) of the open rows that have a match, from the partitions' summaries in order."""
+    found: list[tuple] = []
+    group, members, matched = None, [], False
+
+    def close() -> None:
+        if matched:
+            found.extend((*m, group["doc_id"], group["dup"], group["at"]) for m in members)
+
+    for r in sorted(edges, key=lambda r: (r["part"], r["edge"])):
+        if group is not None and group["k"] == r["k"]:
+            matched = matched or bool(r["fat"]) or within or r["doc_id"] != group["doc_id"]
         else:
-            now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-        changed = [np.append(True, x[1:] != x[:-1]) for x in now]
-        fresh = changed[0] | changed[1] | changed[2]  # repeated rows count once
-        now = k1, did, pos = tuple(x[fresh] for x in now)
-        new = (changed[0] | changed[1])[fresh]
-        starts = np.flatnonzero(new)
-        if len(starts) - lead > 1:
-            block, last = np.cumsum(new) - 1, starts[-1]
-            i = np.arange(lead, last)
-            before, after = starts[block[i]] - 1, starts[np.minimum(block[i] + 1, len(starts) - 1)]
-            ok = (before >= 0) & (k1[before] == k1[i])
-            yield rows(0, now, i[ok], before[ok])
-            ok = (k1[after] == k1[i]) & (i < after - 1)  # a block's last row is what its successor is matched with
-            yield rows(0, now, i[ok], after[ok])
-            if not lead:
-                i = np.arange(1, starts[1])
-                yield rows(5, now, i, i)
-                if k1[starts[1]] == k1[0]:
-                    yield rows(3, now, starts[1:2], starts[1:2])
-            now, lead = tuple(x[last - 1 :] for x in now), 1
-        held = now
-    if held is not None:
-        i = np.arange(lead, len(held[0]))
-        if not lead:
-            yield rows(5, held, i[1:], i[1:])
-        elif held[0][0] == held[0][1]:
-            yield rows(0, held, i, np.zeros(len(i), np.int64))
-            yield rows(4, held, one, one)
-        yield rows(6, held, i, i)
-        yield rows(2, held, i[-1:], i[-1:])
-
-
-def reach(edges: list, back: bool = False) -> list[tuple]:
-    """For each partition's first row, the nearest row of another document and the same head in earlier partitions.
-
-    (part, a, a_pos, b, b_pos); with ``back`` for the last row, in later ones.
-    """
-    by: dict[int, dict] = {}
-    for r in edges:
-        by.setdefault(r["part"], {})[r["edge"]] = r
-    found, near, other = [], None, None
-    for part, at in sorted(by.items(), reverse=back):
-        first, last = (at[2], at[1]) if back else (at[1], at[2])
-        hit = None
-        if near is not None and near["k1"] == first["k1"]:
-            hit = near if near["a"] != first["a"] else other
-        if hit is not None:
-            found.append((part, first["a"], first["a_pos"], hit["a"], hit["a_pos"]))
-        one_block = 3 not in at and (first["k1"], first["a"]) == (last["k1"], last["a"])
-        near, other = last, hit if one_block else at.get(3 if back else 4)
+            close()
+            group, members, matched = r, [], bool(r["fat"])
+        members.append((r["part"], r["edge"] - 2))
+    close()
     return found
 
 
-def seams(edges: list) -> list[tuple]:
-    """Matches of the first row of each partition with a row of the ones before."""
-    return [r[1:] for r in reach(edges)]
-
-
-REQUEST = "array<struct<cid:long,side:int,lo:int,hi:int>>"
-CONTEXT = "cid long, side int, doc_id long, lo int, hi int, before array<int>, after array<int>, starts array<int>, ends array<int>"
+def repeated(rows: DataFrame, within: bool, label: str) -> DataFrame:
+    """Rows (k, doc_id, dup, at, ...) whose key another document has too, with the first row that has it."""
+    spark = rows.sparkSession
+    order = ["k", "doc_id", "dup", "at"]
+    seen = store.shelve(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(runs(within), MATCH), label)
+    edges = seen.where("edge >= 3").collect()  # two rows a partition at most
+    columns = [c for c in FIELDS if c not in ("part", "edge", "k")]
+    open_ = resolve(edges, within)
+    decided = seen.where("edge = 0").select(*columns)
+    if open_:
+        named = spark.createDataFrame(open_, "part int, edge int, fdoc long, fdup int, fat int")
+        rest = seen.where("edge in (1, 2)").drop("fdoc", "fdup", "fat")
+        decided = decided.unionByName(rest.join(F.broadcast(named), ["part", "edge"]).select(*columns))
+    decided._shelf = seen._shelf  # noqa: SLF001
+    return decided
 
 
 def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in tb.blocks(batches, "text", BLOCK):
         raw, offsets = tb.utf8(batch.column("text"))
-        columns = [pa.array(text_keys(batch, raw, offsets)), batch.column("doc_id"), batch.column("text")]
-        yield pa.RecordBatch.from_arrays(columns, names=["did", "doc_id", "text"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(names_of(batch, raw, offsets)[1]), batch.column("text")], names=["doc_id", "dup", "text"]
+        )
 
 
-def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each request (lo, hi) of a document: word hashes and places of REACH words on either side."""
-    listed = pa.list_(pa.int32())
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), listed, listed, listed, listed]
-    names = [x.split()[0] for x in CONTEXT.split(", ")]
-    for batch in tb.blocks(batches, "text", BLOCK):
-        raw, offsets = tb.utf8(batch.column("text"))
-        hashes, starts, ends, docs = word_hashes(raw, offsets)
-        short = (hashes >> tb.U64(32)).astype(np.uint32).view(np.int32)
-        points = tb.code_points(raw)
-        count = np.bincount(docs, minlength=batch.num_rows)
-        first = np.cumsum(count) - count
-        ids = batch.column("doc_id").to_pylist()
-        out: list[tuple] = []
-        for doc, wanted in enumerate(batch.column("requests").to_pylist()):
-            begin, n, base = int(first[doc]), int(count[doc]), int(points[offsets[doc]])
-            for r in wanted:
-                lo, hi = r["lo"], r["hi"]
-                left, right = max(0, lo - REACH), min(n, hi + REACH)
-                out.append(
-                    (
-                        r["cid"],
-                        r["side"],
-                        ids[doc],
-                        lo,
-                        hi,
-                        short[begin + left : begin + lo][::-1],
-                        short[begin + hi : begin + right],
-                        (points[starts[begin + left : begin + lo + 1]] - base)[::-1].astype(np.int32),
-                        (points[ends[begin + hi - 1 : begin + right]] - base).astype(np.int32),
-                    )
-                )
-        for i in range(0, len(out), 4096):
-            columns = zip(*out[i : i + 4096], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-
-def common(a: str, b: str):
-    """Length of the common prefix of two array columns."""
-    same = F.zip_with(F.col(a), F.col(b), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    differs = F.array_position(same, F.lit(False))
-    return F.when(differs > 0, differs - 1).otherwise(F.size(same)).cast("int")
-
-
-def matches(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Maximal common passages of neighbouring suffixes, one row for each of the two documents.
-
-    doc_id, start, end (code points), n_words, and other_doc_id, other_start, other_end.
+def chains(batch: pa.RecordBatch, min_words: int, within: bool) -> tuple[list[np.ndarray], tuple[np.ndarray, ...]]:
+    """Matched heads of a batch (row, at, fdoc, fdup, fat) in order, and the chains that prove texts to be equal.
+
+    The second part is, for each chain of one other place, the index of its first
+    head, and the first and last word at which an equal passage begins; the last
+    comes before the first where the chain is shorter than a passage.
     """
-    spark = documents.sparkSession
+    head = min_words - WINDOW + 1
+    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+    dup = batch.column("dup").to_numpy(zero_copy_only=False)
+    listed = batch.column("heads")
+    flat = listed.flatten()
+    row = np.repeat(np.arange(batch.num_rows), np.diff(listed.offsets.to_numpy()))
+    columns = [row, *(flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))]
+    order = np.lexsort((columns[1], row))
+    columns = row, at, fdoc, fdup, fat = [x[order] for x in columns]
+    shift = at - fat
+    opens = np.ones(len(row), bool)
+    opens[1:] = (row[1:] != row[:-1]) | (fdoc[1:] != fdoc[:-1]) | (fdup[1:] != fdup[:-1])
+    opens[1:] |= (shift[1:] != shift[:-1]) | (at[1:] > at[:-1] + head)
+    a = np.flatnonzero(opens)
+    last = at[np.append(a[1:], len(row)) - 1] + head - min_words
+    other = fdoc[a] != ids[row[a]]
+    if within:
+        other |= (fdup[a] != dup[row[a]]) | (shift[a] != 0)
+    return columns, (a[other], at[a[other]], last[other])
+
+
+def copied(min_words: int, within: bool):
+    """For each chain, where it begins (end 0) and ends (1) in the document that holds the text first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (_, _, fdoc, fdup, fat), (a, lo, hi) = chains(batch, min_words, within)
+            first, last = fat[a], (fat[a] + hi - lo).astype(np.int32)
+            end = np.repeat(np.arange(2, dtype=np.int32), len(a))
+            columns = [np.tile(fdoc[a], 2), np.tile(fdup[a], 2), end, np.append(first, last), np.append(last, last)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "dup", "end", "at", "upto"])
+
+    return run
+
+
+def marked(n: int, lo: list[np.ndarray], hi: list[np.ndarray]) -> np.ndarray:
+    """Which of ``n`` positions lie between a ``lo`` and its ``hi``, both included."""
+    steps = np.zeros(n + 1, np.int64)
+    for x, y in zip(lo, hi, strict=True):
+        np.add.at(steps, np.clip(x, 0, n), 1)
+        np.add.at(steps, np.clip(y + 1, 0, n), -1)
+    return np.cumsum(steps[:n]) > 0
+
+
+PIECE = "k long, doc_id long, dup int, at int, upto int, start int, end int, fdoc long, fdup int, fat int"
+
+
+def extend(min_words: int, within: bool):
+    """Chains, and what they are copied from, as spans (k is null), and the passages at their ends that may be common."""
+    names = [x.split()[0] for x in PIECE.split(", ")]
+    kinds = [pa.int64() if x.endswith("long") else pa.int32() for x in PIECE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tb.blocks(batches, "text", BLOCK):
+            raw, offsets = tb.utf8(batch.column("text"))
+            hashes, starts, ends, docs = word_hashes(raw, offsets)
+            points = tb.code_points(raw)
+            count = np.bincount(docs, minlength=batch.num_rows)
+            stop = np.cumsum(count)
+            begin = stop - count
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            dup = batch.column("dup").to_numpy(zero_copy_only=False)
+            (row, at, fdoc, fdup, fat), (a, lo, hi) = chains(batch, min_words, within)
+            a, lo, hi = (x[hi >= lo] for x in (a, lo, hi))
+            lo, hi = begin[row[a]] + lo, begin[row[a]] + hi
+            matched = np.zeros(len(hashes), bool)
+            matched[begin[row] + at] = True
+            # What others copy from here, overlaps merged, and the passages about the ends of each copy.
+            listed = batch.column("known").fill_null([])
+            flat = listed.flatten()
+            end, first, last = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            of = np.repeat(begin, np.diff(listed.offsets.to_numpy()))
+            first, last = of + first, of + last
+            near = marked(len(hashes), [(first - WINDOW + 1)[end == 0], first[end == 1] + 1], [first[end == 0] - 1, (first + WINDOW - 1)[end == 1]])
+            whole = (end == 0) & (last >= first)
+            order = np.argsort(first[whole], kind="stable")
+            first, last = first[whole][order], np.maximum.accumulate(last[whole][order])
+            opens = np.append(True, first[1:] > last[:-1] + 1)[: len(first)]
+            own = first[opens]
+            own_last = last[np.append(np.flatnonzero(opens)[1:], len(first)) - 1] if len(first) else last
+            # Passages whose least gram begins a matched head, outside of these.
+            maybe, gram = least_grams(hashes, docs)
+            maybe = maybe[matched[gram] & (maybe + min_words <= stop[docs[maybe]])]
+            maybe = maybe[~marked(len(hashes), [lo], [hi])[maybe] & (near | ~marked(len(hashes), [own], [own_last]))[maybe]]
+            n = len(lo) + len(own)
+            word, upto = np.concatenate([lo, own, maybe]), np.concatenate([hi, own_last, maybe])
+            if not len(word):
+                continue
+            owner = docs[word]
+            base = points[offsets[owner]]
+            selves = owner[len(lo) :]
+            columns = [
+                pa.array(np.append(np.zeros(n, np.int64), passages(hashes, maybe, min_words)), mask=np.arange(len(word)) < n),
+                ids[owner],
+                dup[owner],
+                word - begin[owner],
+                upto - begin[owner],
+                points[starts[word]] - base,
+                points[ends[upto + min_words - 1]] - base,
+                np.append(fdoc[a], ids[selves]),
+                np.append(fdup[a], dup[selves]),
+                np.append(fat[a], word[len(lo) :] - begin[selves]),
+            ]
+            arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return run
+
+
+def matches(documents: DataFrame, min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
+    """Maximal common passages: doc_id, start, end (code points), n_words, word, first_doc_id, first_word, is_first."""
+    if min_words < WINDOW + GRAM - 1:
+        raise ValueError(f"min_words must be {WINDOW + GRAM - 1} or more")
     source = documents.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    kept = store.shelve(source.mapInArrow(suffixes, SUFFIX), "suffixes")
-    order = ["k1", "k2", "did", "pos"]
-    compared = store.shelve(
-        kept.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(neighbours, MATCH), "neighbours"
-    )
-    edges = compared.where("edge between 1 and 4").collect()  # four rows a partition at most
-    pairs = compared.where("edge = 0").select("a", "a_pos", "b", "b_pos")
-    across = seams(edges)
-    if across:
-        pairs = pairs.unionByName(spark.createDataFrame(across, "a long, a_pos int, b long, b_pos int"))
-    for edge, found in ((5, reach(edges)), (6, reach(edges, back=True))):
-        if found:
-            near = spark.createDataFrame([(r[0], *r[3:]) for r in found], "part int, b long, b_pos int")
-            open_ = compared.where(F.col("edge") == edge).select("part", "a", "a_pos")
-            pairs = pairs.unionByName(open_.join(near, "part").drop("part"))
-    turned = F.col("a") > F.col("b")
-    pairs = pairs.select(
-        F.least("a", "b").alias("a"),
-        F.when(turned, F.col("b_pos")).otherwise(F.col("a_pos")).alias("a_pos"),
-        F.greatest("a", "b").alias("b"),
-        F.when(turned, F.col("a_pos")).otherwise(F.col("b_pos")).alias("b_pos"),
-    ).withColumn("offset", F.col("a_pos") - F.col("b_pos"))
-    line = Window.partitionBy("a", "b", "offset").orderBy("a_pos")
-    opens = F.coalesce(F.col("a_pos") - F.lag("a_pos").over(line) > HEAD, F.lit(True)).cast("int")
-    chains = (
-        pairs.withColumn("opens", opens)
-        .withColumn("chain", F.sum("opens").over(line))
-        .groupBy("a", "b", "offset", "chain")
-        .agg(F.min("a_pos").alias("lo"), (F.max("a_pos") + HEAD).alias("hi"))
-        .select("a", "b", "offset", "lo", "hi", F.monotonically_increasing_id().alias("cid"))
-    )
-    chains = store.shelve(chains, "chains")
-    ask = lambda side, shift: F.struct(
-        "cid", F.lit(side).alias("side"), (F.col("lo") - shift).alias("lo"), (F.col("hi") - shift).alias("hi")
-    )
-    requests = (
-        chains.select(F.col("a").alias("did"), ask(0, F.lit(0)).alias("r"))
-        .unionByName(chains.select(F.col("b").alias("did"), ask(1, F.col("offset")).alias("r")))
-        .groupBy("did")
-        .agg(F.collect_list("r").alias("requests"))
-    )
+    kept = store.shelve(source.mapInArrow(suffixes(min_words), SUFFIX), "suffixes")
+    heads = repeated(kept, within, "heads")
+    store.discard(kept)
+    name = ["doc_id", "dup"]
+    requests = heads.groupBy(*name).agg(F.collect_list(F.struct("at", "fdoc", "fdup", "fat")).alias("heads"))
     requests = store.shelve(requests, "requests")
-    texts = source.mapInArrow(keyed, "did long, doc_id long, text string")
-    seen = store.shelve(texts.join(requests, "did").select("doc_id", "text", "requests").mapInArrow(contexts, CONTEXT), "contexts")
-    side = lambda k: seen.where(F.col("side") == k).select(
-        "cid", *[F.col(c).alias(f"{c}{k}") for c in ("doc_id", "lo", "hi", "before", "after", "starts", "ends")]
-    )
-    joined = (
-        side(0)
-        .join(side(1), "cid")
-        .where("doc_id0 <> doc_id1")
-        .withColumn("left", common("before0", "before1"))
-        .withColumn("right", common("after0", "after1"))
-        .withColumn("n_words", F.col("hi0") - F.col("lo0") + F.col("left") + F.col("right"))
-        .where(F.col("n_words") >= min_words)
+    # No more ends than a document has suffixes, however many copies there are.
+    known = requests.mapInArrow(copied(min_words, within), "doc_id long, dup int, end int, at int, upto int")
+    known = known.groupBy(*name, "end", "at").agg(F.max("upto").alias("upto"))
+    known = known.groupBy(*name).agg(F.collect_list(F.struct("end", "at", "upto")).alias("known"))
+    texts = source.mapInArrow(keyed, "doc_id long, dup int, text string")
+    met = texts.join(requests.hint("merge"), name).join(known.hint("merge"), name, "left")
+    met = met.select(*name, "text", "heads", "known")
+    pieces = store.shelve(met.mapInArrow(extend(min_words, within), PIECE), "pieces")
+    store.discard(heads)
+    store.discard(requests)
+    ends = repeated(pieces.where("k is not null").select("k", "doc_id", "dup", "at", "start", "end"), within, "ends")
+    known = pieces.where("k is null").drop("k").unionByName(ends.withColumn("upto", F.col("at")))
+    line = Window.partitionBy("doc_id", "dup").orderBy("at", "upto")
+    before = lambda c: F.lag(c).over(line)
+    same = (F.col("fdoc") == before("fdoc")) & (F.col("fdup") == before("fdup")) & (F.col("shift") == before("shift"))
+    reach = F.max("upto").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    follows = same & (F.col("at") <= reach + 1)
+    spans = (
+        known.withColumn("shift", F.col("at") - F.col("fat"))
+        .withColumn("opens", F.when(follows, 0).otherwise(1))
+        .withColumn("span", F.sum("opens").over(line))
+        .groupBy("doc_id", "dup", "span", "fdoc", "fdup", "shift")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("at").alias("word"), F.max("upto").alias("upto"))
     )
-    for k in (0, 1):
-        joined = joined.withColumn(f"from{k}", F.get(f"starts{k}", F.col("left"))).withColumn(f"to{k}", F.get(f"ends{k}", F.col("right")))
-    row = lambda x, y: F.struct(
-        F.col(f"doc_id{x}").alias("doc_id"),
-        F.col(f"from{x}").alias("start"),
-        F.col(f"to{x}").alias("end"),
-        F.col("n_words").cast("int").alias("n_words"),
-        F.col(f"doc_id{y}").alias("other_doc_id"),
-        F.col(f"from{y}").alias("other_start"),
-        F.col(f"to{y}").alias("other_end"),
+    return spans.select(
+        "doc_id",
+        "start",
+        "end",
+        (F.col("upto") - F.col("word") + min_words).cast("int").alias("n_words"),
+        "word",
+        F.col("fdoc").alias("first_doc_id"),
+        (F.col("word") - F.col("shift")).alias("first_word"),
+        ((F.col("fdoc") == F.col("doc_id")) & (F.col("fdup") == F.col("dup")) & (F.col("shift") == 0)).alias("is_first"),
     )
-    return joined.select(F.explode(F.array(row(0, 1), row(1, 0))).alias("r")).select("r.*").distinct()

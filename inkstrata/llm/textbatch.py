@@ -14,6 +14,8 @@ import pyarrow as pa
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
 BASE = U64(0xD6E8FEB86659FD93)
+#: Bytes hashed at once, about.
+PIECE = 1 << 22
 #: ASCII white space; everything else belongs to a word.
 SPACE_BYTES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 
@@ -95,14 +97,30 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
 
 
 def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit polynomial hash of each byte range, finalised."""
+    """A 64-bit polynomial hash of each byte range, finalised; it does not depend on where the range lies.
+
+    Ranges, in order of their starts, are taken in stretches of about PIECE bytes,
+    so a very long text costs no more memory than its longest range.
+    """
     if not len(starts):
         return np.zeros(0, U64)
     table = mix(np.arange(1, 257, dtype=U64) * GOLDEN + U64(seed))
     inverse = U64(pow(int(BASE), -1, 1 << 64))
+    if len(raw) <= 2 * PIECE:
+        return _range_hashes(raw, starts, ends, table, inverse)
+    out, i = np.empty(len(starts), U64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + PIECE)))
+        lo, hi = int(starts[i]), int(ends[i:j].max())
+        out[i:j] = _range_hashes(raw[lo:hi], starts[i:j] - lo, ends[i:j] - lo, table, inverse)
+        i = j
+    return out
+
+
+def _range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, inverse: np.uint64) -> np.ndarray:
     total = np.zeros(len(raw) + 1, U64)
     np.cumsum(table[raw] * powers(len(raw), BASE), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(len(raw), inverse)[starts] + (ends - starts).astype(U64))
+    return mix((total[ends] - total[starts]) * powers(len(raw) + 1, inverse)[starts] + (ends - starts).astype(U64))
 
 
 def windows(hashes: np.ndarray, docs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
