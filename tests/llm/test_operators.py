@@ -594,31 +594,114 @@ def _chunks(text):
     return start.tolist(), end.tolist()
 
 
+def chunk_spans_by_force(rows, least=100, within=False):
+    """Spans from their definition, chunk by chunk."""
+    cut = [(d, [(t.encode()[a:b].decode(), len(t.encode()[:a].decode())) for a, b in zip(*_chunks(t))]) for d, t in rows if d is not None and t]
+    holders, out = defaultdict(list), []
+    for d, cs in cut:
+        for c, _ in cs:
+            holders[c].append(d)
+    for d, cs in cut:
+        regions, seen = [], set()
+        for c, at in cs:
+            h = holders[c]
+            if len(h) > 1 and (within or len(set(h)) > 1):
+                key = (min(h), min(h) == d and not (within and c in seen))
+                if not regions or regions[-1][-1][1] != at:
+                    regions.append([])
+                if not regions[-1] or regions[-1][-1][3] != key:
+                    regions[-1].append([at, at, 0, key])
+                regions[-1][-1][1] = at + len(c)
+                regions[-1][-1][2] = max(regions[-1][-1][2], len(h))
+            seen.add(c)
+        for r in regions:
+            if r[-1][1] - r[0][0] >= least:
+                out += [(d, a, b, n, key[0], key[1]) for a, b, n, key in r]
+    return sorted(out)
+
+
 def test_repeated_spans(spark, passages, edges, empty):
     df = spark.createDataFrame(passages, "doc_id long, text string").repartition(3)
-    rows, lookup = cdc_dedup.repeated_spans(df).collect(), dict(passages)
-    assert {r.doc_id for r in rows} == repeats(passages, 50)
-    for r in rows:
-        piece = lookup[r.doc_id][r.start : r.end]
-        others = [t for k, t in passages if k != r.doc_id]
-        assert len(piece) >= 100 and any(piece[20:-20][:60] in t for t in others)
-    assert cdc_dedup.repeated_spans(edges).count() == 0 == cdc_dedup.repeated_spans(empty).count()
+    for within in (False, True):
+        rows = cdc_dedup.repeated_spans(df, within=within).collect()
+        assert sorted(map(tuple, rows)) == chunk_spans_by_force(passages, within=within)
+    assert {r.doc_id for r in cdc_dedup.repeated_spans(df).collect()} == repeats(passages, 50)
+    odd = edges.withColumn("place", F.lit(1)).withColumn("least", F.lit("x"))
+    assert cdc_dedup.repeated_spans(odd).count() == 0 == cdc_dedup.repeated_spans(empty).count()
+
+
+def test_dropping_repeated_spans_loses_no_text(spark):
+    """X; X Y; the tail of X with Y: every chunk stays in its keeper after all spans that are not first are dropped."""
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdefghié", k=rng.randint(2, 9))) for _ in range(4000)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    x, y = text(300), text(300)
+    rows = [(1, x), (2, f"{x} {y}"), (3, f"{x[900:]} {y}"), (4, f"{text(50)} {y[500:]} {y[200:]}"), (5, f"{y} {y}"), (6, y), (6, x)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for within in (False, True):
+        spans = [tuple(r) for r in cdc_dedup.repeated_spans(df, within=within).collect()]
+        assert sorted(spans) == chunk_spans_by_force(rows, within=within)
+        left = set()
+        for d, t in rows:
+            gone = [(a, b) for i, a, b, _, _, first in spans if i == d and not first] if d != 6 else []
+            for a, b in zip(*_chunks(t)):
+                at = len(t.encode()[:a].decode())
+                if not any(lo <= at < hi for lo, hi in gone):
+                    left.add(t.encode()[a:b])
+        assert left == {t.encode()[a:b] for _, t in rows for a, b in zip(*_chunks(t))}
+
+
+def spans_by_force(rows, size, within):
+    """Spans from their definition: passages of ``size`` words with two places, grouped by their first place."""
+    texts = {(d, t) for d, t in rows if d is not None and t is not None}
+    places = defaultdict(list)
+    for d, t in texts:
+        w = WORD.findall(t)
+        for i in range(len(w) - size + 1):
+            places[tuple(w[i : i + size])].append((d, t, i))
+    out = set()
+    first = {k: min(v, key=lambda p: (p[0], p[2])) for k, v in places.items() if len(v) > 1 and (within or len({p[0] for p in v}) > 1)}
+    for d, t in texts:
+        at = [m.span() for m in WORD.finditer(t)]
+        w, open_ = [t[a:b] for a, b in at], None
+        for i in range(len(w) - size + 2):
+            of = first.get(tuple(w[i : i + size])) if i <= len(w) - size else None
+            key = of and (of[0], of[1], i - of[2])
+            if open_ and key != open_[0]:
+                (f, u, shift), lo, hi = open_
+                out.add((d, at[lo][0], at[hi + size - 1][1], hi - lo + size, lo, f, lo - shift, (f, u, shift) == (d, t, 0)))
+                open_ = None
+            if key:
+                open_ = (key, open_[1] if open_ else i, i)
+    return sorted(out)
+
+
+def with_partitions(spark, partitions, action):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(old, (str(partitions), "false")):
+            spark.conf.set(k, v)
+        return action()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
-def test_suffix_matches(spark, passages, edges, empty):
+def test_suffix_spans_against_brute_force(spark, passages, edges, empty):
     df = spark.createDataFrame(passages, "doc_id long, text string").repartition(3)
-    rows, lookup = suffix_array.matches(df).collect(), dict(passages)
+    rows = suffix_array.matches(df).collect()
+    assert sorted(map(tuple, rows)) == spans_by_force(passages, 50, False)
     assert {r.doc_id for r in rows} == repeats(passages, 50)
-    for r in rows:
-        mine = lookup[r.doc_id][r.start : r.end]
-        theirs = lookup[r.other_doc_id][r.other_start : r.other_end]
-        assert WORD.findall(mine) == WORD.findall(theirs) and len(WORD.findall(mine)) == r.n_words >= 50
-    assert suffix_array.matches(edges).count() == 0 == suffix_array.matches(empty).count()
+    for odd in (edges.withColumn("k", F.lit(1)).withColumn("start", F.lit("x")), empty):
+        assert suffix_array.matches(odd).count() == 0 == suffix_array.matches(odd.where("doc_id is null")).count()
+    with pytest.raises(ValueError):
+        suffix_array.matches(df, min_words=17)
 
 
 @pytest.mark.parametrize("partitions", [1, 40])
-def test_suffix_matches_every_occurrence(spark, partitions):
-    """Passages that documents repeat: each word of each occurrence lies in a span of its document."""
+@pytest.mark.parametrize("within", [False, True])
+def test_suffix_spans_of_nested_and_repeated_passages(spark, partitions, within):
+    """Passages that documents repeat, that only some share whole, and that third documents hold in part."""
     rng = random.Random(23)
     words = ["".join(rng.choices("abcdefghi", k=rng.randint(2, 9))) for _ in range(6000)]
     text = lambda n: " ".join(rng.choices(words, k=n))
@@ -626,48 +709,25 @@ def test_suffix_matches_every_occurrence(spark, partitions):
     for i, times in enumerate((4, 1, 3, 7, 1, 1, 5, 2, 30)):
         for k, passage in enumerate(shared[: 1 + i % 3]):
             rows.append((10 * i + k, " ".join(f"{text(40)} {passage}" for _ in range(times)) + f" {text(30)}"))
-    rows += [rows[0], (500, " ".join([text(60)] * 3))]
-    where = defaultdict(set)
-    for d, t in rows:
-        w = t.split()
-        for i in range(len(w) - 49):
-            where[tuple(w[i : i + 50])].add(d)
-    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
-    try:
-        for k, v in zip(old, (str(partitions), "false")):
-            spark.conf.set(k, v)
-        found = suffix_array.matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
-    spans, lookup = defaultdict(list), dict(rows)
-    for r in found:
-        assert lookup[r.doc_id][r.start : r.end] == lookup[r.other_doc_id][r.other_start : r.other_end]
-        spans[r.doc_id].append((r.start, r.end))
-    missing = set()
-    for d, t in rows:
-        at = [m.span() for m in WORD.finditer(t)]
-        for i in range(len(at) - 49):
-            if len(where[tuple(t[a:b] for a, b in at[i : i + 50])]) > 1:
-                begin, end = at[i][0], at[i + 49][1]
-                if not any(a <= begin and end <= b for a, b in spans[d]):
-                    missing.add((d, begin))
-    assert not missing and 500 not in spans
-
-
-def test_reach_across_partitions():
-    row = lambda part, edge, k1, a, pos=0: {"part": part, "edge": edge, "k1": k1, "a": a, "a_pos": pos}
-    # Partition 0 ends with document 2 after 1; 1 holds document 2 only; 3 begins with it and goes on with 4.
-    edges = [row(0, 1, 5, 9), row(0, 4, 7, 1), row(0, 2, 7, 2), row(1, 1, 7, 2, 1), row(1, 2, 7, 2, 8)]
-    edges += [row(3, 1, 7, 2, 9), row(3, 3, 7, 4, 3), row(3, 2, 8, 5)]
-    assert suffix_array.reach(edges) == [(1, 2, 1, 1, 0), (3, 2, 9, 1, 0)]
-    assert suffix_array.reach(edges, back=True) == [(1, 2, 8, 4, 3), (0, 2, 0, 4, 3)]
-
-
-def test_seams_between_partitions():
-    row = lambda part, edge, k1, a: {"part": part, "edge": edge, "k1": k1, "a": a, "a_pos": 0}
-    edges = [row(0, 1, 1, 10), row(0, 2, 7, 11), row(2, 1, 7, 12), row(2, 2, 9, 13), row(3, 1, 8, 14), row(3, 2, 8, 14)]
-    assert suffix_array.seams(edges) == [(12, 0, 11, 0)]
+    rows += [rows[0], (500, " ".join([text(60)] * 3)), (501, text(90)), (501, rows[3][1]), (None, rows[1][1])]
+    whole = rng.choices(words, k=300)
+    for i in range(40):  # parts of one text: most overlap, few are equal
+        lo = rng.randrange(0, 240)
+        rows.append((600 + i, f"{text(rng.randrange(9))} {' '.join(whole[lo : lo + rng.randint(40, 160)])} {text(rng.randrange(9))}"))
+    rows += [(700, "same " * 400), (701, "same " * 120), (702, text(30000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = with_partitions(spark, partitions, lambda: suffix_array.matches(df, within=within).collect())
+    assert sorted(map(tuple, got)) == spans_by_force(rows, 50, within)
+
+
+def test_open_runs_are_resolved_across_partitions():
+    row = lambda part, edge, k, doc, matched=0: {"part": part, "edge": edge, "k": k, "doc_id": doc, "dup": 0, "at": part, "fat": matched}
+    # Partition 0 ends with document 2 only; 1 holds the same run; 3 begins with it, now in document 4.
+    edges = [row(0, 3, 5, 9), row(0, 4, 7, 2), row(1, 3, 7, 2), row(3, 3, 7, 4), row(3, 4, 8, 5), row(4, 3, 9, 5)]
+    want = [(0, 2, 2, 0, 0), (1, 1, 2, 0, 0), (3, 1, 2, 0, 0)]
+    assert suffix_array.resolve(edges, False) == want
+    alone = [row(0, 3, 5, 9), row(1, 3, 5, 9)]
+    assert suffix_array.resolve(alone, False) == [] and len(suffix_array.resolve(alone, True)) == 2
 
 
 # Pipeline ------------------------------------------------------------------------------------
