@@ -20,13 +20,20 @@ link; both filters are exact, so no link is lost to the choice of the centre, no
 bucket is ever held by one task, and large groups of copies that are not near
 each other do not meet.
 
+Bands and rows follow from ``similarity``: as many rows a band as MOST_REGISTERS
+allow while a pair at that similarity is missed less often than MISS.
+
 Defined results: null and wordless texts, and rows with a null id, are classes
 of their own (a null id has a null class). A class is named by its least doc_id.
-Repeated rows are copies of each other. Empty tables give no rows.
+Repeated rows are copies of each other; rows that repeat an id with other texts are
+documents of their own, of their own classes. Texts of any length are read whole.
+``classes`` ignores extra columns, ``deduplicate`` passes them through, whatever
+their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,15 +46,25 @@ from . import textbatch as tb
 from .decontaminate import SHINGLE
 from .language_id import lowered
 
-BANDS, ROWS = 25, 5
-REGISTERS = BANDS * ROWS
+MISS, MOST_REGISTERS = 5e-5, 160
 BLOCK = 1 << 21
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def registers(value: np.ndarray, owner: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
-    """Packed registers (arrival time, shingle) of each document, by vectorised arrival rounds."""
-    table = np.full(n_docs * REGISTERS, EMPTY, tb.U64)
+def banding(similarity: float, miss: float = MISS) -> tuple[int, int]:
+    """Bands and rows a band."""
+    found = (math.ceil(math.log(miss) / math.log1p(-min(similarity, 1 - 1e-9))), 1)
+    for rows in range(2, MOST_REGISTERS):
+        bands = math.ceil(math.log(miss) / math.log1p(-min(similarity**rows, 1 - 1e-9)))
+        if bands * rows > MOST_REGISTERS:
+            break
+        found = (bands, rows)
+    return found
+
+
+def registers(value: np.ndarray, owner: np.ndarray, weight: np.ndarray, n_docs: int, size: int = 125) -> np.ndarray:
+    """``size`` packed registers (arrival time, shingle) of each document, by vectorised arrival rounds."""
+    table = np.full(n_docs * size, EMPTY, tb.U64)
     name = tb.mix(value + tb.U64(0x5851F42D4C957F2D)) >> tb.U64(32)
     at, arrival, turn = np.arange(len(value)), np.zeros(len(value)), 0
     while len(at):
@@ -55,15 +72,15 @@ def registers(value: np.ndarray, owner: np.ndarray, weight: np.ndarray, n_docs:
         r = tb.mix(value[at] + tb.U64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         arrival = arrival - np.log(((r >> tb.U64(11)).astype(np.float64) + 0.5) / (1 << 53)) / weight[at]
         time = arrival.astype(np.float32).view(np.uint32).astype(tb.U64) << tb.U64(32)
-        slot = ((r & tb.U64(0xFFFF)) * tb.U64(REGISTERS) >> tb.U64(16)).astype(np.int64)
-        np.minimum.at(table, owner[at] * REGISTERS + slot, time | name[at])
-        last = table.reshape(n_docs, REGISTERS).max(axis=1)
+        slot = ((r & tb.U64(0xFFFF)) * tb.U64(size) >> tb.U64(16)).astype(np.int64)
+        np.minimum.at(table, owner[at] * size + slot, time | name[at])
+        last = table.reshape(n_docs, size).max(axis=1)
         open_ = time <= last[owner[at]]
         at, arrival = at[open_], arrival[open_]
-    return table.reshape(n_docs, REGISTERS)
+    return table.reshape(n_docs, size)
 
 
-def sketch(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+def sketch(batch: pa.RecordBatch, bands: int = 25, rows: int = 5) -> dict[str, pa.Array]:
     """Class digest, band keys and sorted shingles of each text."""
     n = batch.num_rows
     raw, offsets = tb.utf8(lowered(batch.column("text")))
@@ -85,18 +102,18 @@ def sketch(batch: pa.RecordBatch) -> dict[str, pa.Array]:
     new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
     times = np.diff(np.append(first, len(value)))
-    packed = registers(value[first], owner[first], 1 + np.log(times), n)
+    packed = registers(value[first], owner[first], 1 + np.log(times), n, bands * rows)
     name = packed & np.uint64(0xFFFFFFFF)
-    keys = np.zeros((n, BANDS), tb.U64)
-    for j in range(ROWS):
-        keys = keys * tb.BASE + name.reshape(n, BANDS, ROWS)[:, :, j]
-    keys = tb.mix(keys + np.arange(1, BANDS + 1, dtype=tb.U64) * tb.GOLDEN).view(np.int64)
+    keys = np.zeros((n, bands), tb.U64)
+    for j in range(rows):
+        keys = keys * tb.BASE + name.reshape(n, bands, rows)[:, :, j]
+    keys = tb.mix(keys + np.arange(1, bands + 1, dtype=tb.U64) * tb.GOLDEN).view(np.int64)
     shingle_counts = np.bincount(owner, minlength=n)
     blob = (value >> np.uint64(32)).astype("<u4").tobytes()
     bounds = np.zeros(n + 1, np.int64)
     np.cumsum(4 * shingle_counts, out=bounds[1:])
     blank = pa.array(~filled)
-    banded = tb.lists(keys.ravel(), np.full(n, BANDS), pa.int64())
+    banded = tb.lists(keys.ravel(), np.full(n, bands), pa.int64())
     import pyarrow.compute as pc
 
     return {
@@ -107,20 +124,24 @@ def sketch(batch: pa.RecordBatch) -> dict[str, pa.Array]:
     }
 
 
-def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def sketches(bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
+        for batch in tb.blocks(batches, "text", BLOCK):
+            out = {
+                "rid": pa.array(np.arange(row, row + batch.num_rows, dtype=np.int64)),
+                "doc_id": batch.column("doc_id").cast(pa.int64()),
+                "same": batch.column("same"),
+            } | sketch(batch, bands, rows)
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-    for batch in tb.blocks(batches, "text", BLOCK):
-        out = {
-            "rid": pa.array(np.arange(row, row + batch.num_rows, dtype=np.int64)),
-            "doc_id": batch.column("doc_id").cast(pa.int64()),
-        } | sketch(batch)
-        row += batch.num_rows
-        yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+    return run
 
 
-SKETCH = "rid long, doc_id long, d1 long, d2 long, keys array<long>, shingles binary"
+SKETCH = "rid long, doc_id long, same long, d1 long, d2 long, keys array<long>, shingles binary"
 
 
 def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -246,6 +267,7 @@ def prefix_pairs(members: DataFrame, shingles: DataFrame, similarity: float) ->
     enough = most >= (F.col("n_x") + F.col("n_y")) * (similarity / (1 + similarity)) - 1e-9
     heavy = 1 / F.col("share_x") + 1 / F.col("share_y") <= 1 + 1 / similarity + 1e-9
     enough = enough | ((F.col("repeats_x") | F.col("repeats_y")) & heavy)
+    store.discard(rows, shared, head, split)
     return (
         minor.join(other, "shingle")
         .where(F.expr("component_x <> component_y and (component_y = main or x < y)") & enough)
@@ -254,17 +276,19 @@ def prefix_pairs(members: DataFrame, shingles: DataFrame, similarity: float) ->
     )
 
 
-def classes(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """One row per document: doc_id, class_id and class_size."""
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    drawn = store.shelve(source.mapInArrow(sketches, SKETCH), "sketches")
-    usable = drawn.where("d1 is not null and doc_id is not null")
-    alone = drawn.where("d1 is null or doc_id is null").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")
+def placed_classes(documents: DataFrame, similarity: float) -> DataFrame:
+    """Every row's (doc_id, same, class): ``same`` is the hash of its text, classes are numbers (null: alone)."""
+    source = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.col("text").cast("string")).alias("same"),
     )
+    drawn = store.shelve(source.mapInArrow(sketches(*banding(similarity)), SKETCH), "sketches")
+    usable = drawn.where("d1 is not null and doc_id is not null")
+    alone = drawn.where("d1 is null or doc_id is null").select("doc_id", "same", F.lit(None).cast("long").alias("class"))
     alone = store.shelve(alone, "alone")
     reps = store.shelve(usable.groupBy("d1", "d2").agg(F.min("rid").alias("rep")), "copies")
-    members = store.shelve(usable.select("doc_id", "rid", "d1", "d2").join(reps, ["d1", "d2"]).select("doc_id", "rid", "rep"), "members")
+    members = store.shelve(usable.select("doc_id", "same", "d1", "d2").join(reps, ["d1", "d2"]).select("doc_id", "same", "rep"), "members")
     own = store.shelve(
         drawn.select("rid", "keys").join(reps.select(F.col("rep").alias("rid")).hint("merge"), "rid"), "representatives"
     )
@@ -291,7 +315,9 @@ def classes(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
         "star",
     )
     links = store.shelve(verified(star, shingles, similarity), "links")
-    named = store.shelve(store.components(links), "named")
+    found = store.components(links)
+    named = store.shelve(found, "named")
+    store.discard(found)
     # Members of buckets that hold several components meet by prefix filtering.
     label = bucket.join(named.withColumnRenamed("node", "rid"), "rid", "left").select(
         "key", "rid", F.coalesce("component", "rid").alias("component")
@@ -307,35 +333,49 @@ def classes(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
         .join(named.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     )
-    final = store.shelve(store.components(every), "classes")
+    found = store.components(every)
+    final = store.shelve(found, "classes")
+    store.discard(found)
     placed = store.shelve(
         members.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "doc_id", F.coalesce("component", "rep").alias("class")
+            "doc_id", "same", F.coalesce("component", "rep").alias("class")
         ),
         "placed",
     )
+    store.discard(members, met, bucket, centrality, shingles, centre, star, links, named, label, apart, near, more, final)
+    return placed.unionByName(alone)
+
+
+def classes(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """One row per document: doc_id, class_id and class_size."""
+    placed = placed_classes(documents, similarity)
     named_by = store.shelve(
-        placed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "sizes"
+        placed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")),
+        "sizes",
+    )
+    grouped = placed.where("class is not null").join(named_by, "class").select("doc_id", "class_id", "class_size")
+    alone = placed.where("class is null")
+    return grouped.unionByName(
+        alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     )
-    for done in (members, met, bucket, centrality, shingles, centre, star, links, named, label, apart, near, more, final):
-        store.discard(done)
-    return placed.join(named_by, "class").select("doc_id", "class_id", "class_size").unionByName(alone)
 
 
 def deduplicate(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Documents that name their class: one of each group, and all that are alone.
+    """One document of each class, the one of least id (of several texts of that id the one of least hash).
 
-    Rows that repeat the id of the document that stays are dropped where they
-    repeat it entirely.
+    Of rows that repeat id and text one stays, the first as JSON. Rows with a null id stay.
     """
-    found = classes(documents, similarity)
-    stay = (
-        found.where("doc_id = class_id")
-        .groupBy(F.col("doc_id").alias("stay_id"))
-        .agg((F.count("*") > 1).alias("repeated"))
-    )
-    stay = store.shelve(stay, "stay")
-    kept = documents.join(stay.hint("merge"), documents.doc_id == stay.stay_id)
-    once = kept.where("not repeated").select(documents.columns)
-    again = kept.where("repeated").select(documents.columns).dropDuplicates()
+    names = documents.columns
+    key, same, more = (store.fresh(names, x) for x in ("stay_id", "stay_text", "stay_more"))
+    placed = placed_classes(documents, similarity).where("doc_id is not null")
+    n = F.count("*").alias("n")
+    alone = placed.where("class is null").groupBy("doc_id", "same").agg(n)
+    grouped = placed.where("class is not null").groupBy("class", "doc_id", "same").agg(n)
+    first = grouped.groupBy("class").agg(F.min(F.struct("doc_id", "same", "n")).alias("first")).select("first.*")
+    stay = store.shelve(alone.unionByName(first).select("doc_id", "same", (F.col("n") > 1).alias("more")), "stay")
+    keyed = documents.withColumn(key, F.col("doc_id").cast("long")).withColumn(same, F.xxhash64(F.col("text").cast("string")))
+    kept = keyed.join(stay.toDF(key, same, more).hint("merge"), [key, same])
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    again = kept.where(F.col(more)).groupBy(key, same).agg(F.min_by(row, F.to_json(row)).alias(more)).select(f"{more}.*")
+    once = kept.where(~F.col(more)).select(*[f"`{c}`" for c in names])
     return once.unionByName(again).unionByName(documents.where("doc_id is null"))

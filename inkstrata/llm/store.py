@@ -2,7 +2,9 @@
 
 Intermediate results live as Parquet under the shared folder that the session
 names in ``spark.checkpoint.dir``: a lost executor costs a re-read, never a
-recomputation of the whole lineage.
+recomputation of the whole lineage. Operators delete tables that nothing reads
+any more; those that a returned frame reads stay until the caller is done with it:
+``mark`` before and ``sweep`` after, as the pipeline does, delete them.
 """
 
 from __future__ import annotations
@@ -16,6 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
+#: Folders of the tables that are still there, oldest first.
+_shelves: list[str] = []
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores until it clashes with none of ``columns`` (case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,18 +50,35 @@ def shelve(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._shelf = path  # noqa: SLF001
+    _shelves.append(path)
     return kept
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a shelved table that nothing reads any more."""
-    path = getattr(df, "_shelf", None)
-    if path:
-        spark = df.sparkSession
+def discard(*tables: DataFrame) -> None:
+    """Delete shelved tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, getattr(df, "_shelf", None))
+
+
+def _delete(spark: SparkSession, path: str | None) -> None:
+    if path in _shelves:
+        _shelves.remove(path)
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def mark() -> int:
+    """A point in time, for ``sweep``."""
+    return len(_shelves)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete all tables shelved after ``since`` but ``keep``'s; frames that read them are spent."""
+    for path in _shelves[since:]:
+        if keep is None or path != getattr(keep, "_shelf", None):
+            _delete(spark, path)
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
 
@@ -82,12 +111,13 @@ def components(edges: DataFrame) -> DataFrame:
         moved = large.join(roots, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         small = shelve(moved.unionByName(roots.select("hi", F.col("m").alias("lo"))).distinct(), "small")
         after = _mark(small)
-        for old in (now, least, large, roots):
-            discard(old)
+        discard(now, least, large, roots)
         now = small
         if after == mark:
             break
         mark = after
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
+    found = now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
         now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-    )  # reads the last table of edges, which stays
+    )
+    found._shelf = now._shelf  # noqa: SLF001  # the last table of edges, for the caller to discard
+    return found

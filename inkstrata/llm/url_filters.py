@@ -11,11 +11,16 @@ that holds an explicit allow passes no block on.
 
 Normalising drops the scheme, a leading ``www.`` or ``m.``, the fragment, query
 parameters that only track (``utm_*``, ``ref``), and a final ``/``, ``.html`` or
-``/index.html`` of the path. Links must be absolute, or start with ``/``.
+``/index.html`` of the path. Links are resolved against the page's url: absolute
+ones, ``//host``, ``/path``, ``?query`` and relative paths with their ``.`` and ``..``;
+``&amp;`` counts as ``&``. Links of other schemes without ``//`` are none.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no
 rule and no aliases, and is allowed. A url that a third of all pages share is one
-node. Repeated rows each get the verdict of their url; null html has no links.
+node. Repeated rows, and rows that repeat a page_id, each get the verdict of their
+url; null html has no links. Urls and pages of any length are read whole. Ties of
+rules cannot be: of two that fit, one is longer or they are equal. Extra columns are
+ignored, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -65,7 +70,7 @@ def node_of(url: Column) -> Column:
 
 
 def links_of(html: Column, url: Column) -> Column:
-    """Absolute urls of canonical links and refresh redirects."""
+    """Urls of canonical links and refresh redirects."""
     canonical = F.filter(
         F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0)),
         lambda tag: tag.rlike(r"""(?i)\brel\s*=\s*["']?canonical\b"""),
@@ -76,12 +81,32 @@ def links_of(html: Column, url: Column) -> Column:
     )
     href = F.transform(canonical, lambda tag: F.regexp_extract(tag, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
     target = F.transform(refresh, lambda tag: F.regexp_extract(tag, r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
+    return F.filter(
+        F.transform(F.concat(href, target), lambda x: resolved(F.replace(x, F.lit("&amp;"), F.lit("&")), url)), lambda x: x.isNotNull()
+    )
+
+
+def resolved(link: Column, url: Column) -> Column:
+    """The absolute url of a link in the page at ``url``; null where it names no page."""
     root = F.concat(F.lit("http://"), host_of(url))
-    whole = F.transform(
-        F.concat(href, target),
-        lambda x: F.when(F.instr(x, "://") > 0, x).when(x.startswith("/") & ~x.startswith("//"), F.concat(root, x)),
+    path = F.regexp_extract(link, r"^([^?#]*)", 1)
+    folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
+    steps = F.split(F.concat(F.when(folder == "", "/").otherwise(folder), path), "/")
+    left = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.lit(1), F.size(done) - 1)))
+        .when(x == ".", done)
+        .otherwise(F.concat(done, F.array(x))),
+    )
+    return (
+        F.when(F.instr(link, "://") > 0, link)
+        .when(link.startswith("//"), F.concat(F.lit("http:"), link))
+        .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?"), F.concat(root, path_of(url), link))
+        .when((link == "") | link.startswith("#") | link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .otherwise(F.concat(root, F.array_join(left, "/"), F.regexp_extract(link, r"^[^?#]*(.*)$", 1)))
     )
-    return F.filter(whole, lambda x: x.isNotNull())
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
@@ -111,7 +136,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFra
         .where("node is not null and ruled is not null")
         .distinct()
     )
-    grouped = facts.join(named, "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
+    grouped = facts.join(named.hint("merge"), "node", "left").groupBy(F.coalesce("component", "node").alias("component"))
     bad = store.shelve(
         grouped.agg(F.max(F.col("ruled") == "block").alias("b"), F.max(F.col("ruled") == "allow").alias("a"))
         .where("b and not a")
@@ -120,12 +145,13 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFra
     )
     blocked = store.shelve(
         bad.select(F.col("component").alias("node"))
-        .unionByName(named.join(bad, "component", "left_semi").select("node"))
+        .unionByName(named.join(bad.hint("merge"), "component", "left_semi").select("node"))
         .distinct()
         .withColumn("blocked", F.lit(True)),
         "aliases",
     )
-    met = seen.where("node is not null").join(blocked, "node", "left").unionByName(
+    store.discard(ends, bad, named)
+    met = seen.where("node is not null").join(blocked.hint("merge"), "node", "left").unionByName(
         seen.where("node is null").withColumn("blocked", F.lit(None).cast("boolean"))
     )
     return met.select(
@@ -153,9 +179,18 @@ WITH RECURSIVE urls AS (
   FROM pages p WHERE p.url LIKE '%://%' AND p.html IS NOT NULL
 ), links AS (
   SELECT url, CASE WHEN contains(l, '://') THEN l
-    WHEN l LIKE '/%' AND l NOT LIKE '//%'
-      THEN 'http://' || regexp_extract(url, '://([^/?#]*)', 1) || l END AS target
-  FROM raw_links
+    WHEN l LIKE '//%' THEN 'http:' || l
+    WHEN l LIKE '/%' THEN root || l
+    WHEN l LIKE '?%' THEN root || path || l
+    WHEN l = '' OR l LIKE '#%' OR regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    ELSE root || array_to_string(list_reduce(list_transform(string_split(folder || regexp_extract(l, '^([^?#]*)', 1), '/'), lambda x: [x]),
+      lambda a, b: CASE b[1] WHEN '..' THEN a[1:greatest(1, len(a) - 1)] WHEN '.' THEN a ELSE list_concat(a, b) END), '/')
+      || regexp_extract(l, '^[^?#]*(.*)$', 1) END AS target
+  FROM (SELECT url, replace(l, '&amp;', '&') AS l, 'http://' || regexp_extract(url, '://([^/?#]*)', 1) AS root,
+    regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
+    CASE WHEN regexp_extract(url, '://[^/?#]*([^?#]*)', 1) = '' THEN '/'
+      ELSE regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '[^/]*$', '') END AS folder
+    FROM raw_links)
 ), all_urls AS (
   SELECT url FROM urls UNION SELECT target FROM links WHERE target IS NOT NULL
 ), cut AS (
