@@ -24,7 +24,10 @@ the driver.
 
 Defined results: null counts as empty, empty texts have no spans; positions are
 code points with the end exclusive. Rows are independent except through the
-corpus-wide threshold; repeated rows each count.
+corpus-wide threshold; repeated rows each count. Texts of any length are read whole,
+in time in proportion to their length. Empty tables give no rows. Callers' columns
+pass through, whatever their names; ``find_secrets`` names its own ``base_spans`` and
+``spans``, so keys of those names are an error.
 """
 
 from __future__ import annotations
@@ -190,9 +193,13 @@ class Scanner:
     def candidates(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int]]:
         """Runs outside base spans that pass as random: start, end, stratum, bin; others have bin -1."""
         out = []
+        i, reach = 0, -1  # base spans that start before the run's end, and the last end among them
         for m in self.run.finditer(text):
             start, end = m.span()
-            if any(a < end and start < b for a, _, b in base):
+            while i < len(base) and base[i][0] < end:
+                reach = max(reach, base[i][2])
+                i += 1
+            if reach > start:
                 continue
             name, p_random, p_text = self.battery.test(m.group())
             out.append((start, end, stratum(name, end - start), log_bin(p_text) if p_random >= 0.01 else -1))
@@ -220,7 +227,7 @@ def scan(column: str, keep: bool):
             rest = [i for i, name in enumerate(batch.schema.names) if keep or name != column]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in rest), pa.array(base, span), pa.array(random, runs)],
-                names=[*(batch.schema.names[i] for i in rest), "base_spans", "runs"],
+                names=[*(batch.schema.names[i] for i in rest), "base_spans", "random_runs"],
             )
 
     return run
@@ -231,7 +238,7 @@ def thresholds(scanned: DataFrame, rate: float) -> dict[str, int]:
 
     A stratum's tests are all its runs; the histogram has at most strata x BINS rows.
     """
-    counts = scanned.select(F.explode("runs").alias("r")).groupBy("r.stratum", "r.bin").count().collect()
+    counts = scanned.select(F.explode("random_runs").alias("r")).groupBy("r.stratum", "r.bin").count().collect()
     by: dict[str, dict[int, int]] = {}
     for r in counts:
         by.setdefault(r["stratum"], {})[r["bin"]] = r["count"]
@@ -254,13 +261,13 @@ def find_secrets(df: DataFrame, keys: list[str], column: str = "text", rate: flo
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
     texts = df.select(*dict.fromkeys([*keys, column]))
     scanned = store.shelve(
-        texts.mapInArrow(scan(column, column in keys), f"{schema}, base_spans {SPANS}, runs {RUNS}"), "secrets"
+        texts.mapInArrow(scan(column, column in keys), f"{schema}, base_spans {SPANS}, random_runs {RUNS}"), "secrets"
     )
     least = thresholds(scanned, rate)
-    picked = F.filter("runs", lambda r: F.lit(False))
+    picked = F.filter("random_runs", lambda r: F.lit(False))
     if least:
         limit = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
-        picked = F.filter("runs", lambda r: r["bin"] >= F.coalesce(F.try_element_at(limit, r["stratum"]), F.lit(BINS)))
+        picked = F.filter("random_runs", lambda r: r["bin"] >= F.coalesce(F.try_element_at(limit, r["stratum"]), F.lit(BINS)))
     random = F.transform(picked, lambda r: F.struct(F.lit("random").alias("kind"), r["start"].alias("start"), r["end"].alias("end")))
     order = F.array_sort(
         F.transform(
@@ -300,12 +307,13 @@ def digest(documents: DataFrame) -> DataFrame:
     )
 
 
-def redactor(column: str, length_column: str | None):
+def redactor(column: str, length_column: str | None, spans_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             texts = batch.column(column).to_pylist()
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
+            listed = batch.column(spans_column).to_pylist()
+            for i, spans in enumerate(listed):
                 if spans and texts[i] is not None:
                     parts, at = [], 0
                     for s in spans:
@@ -313,13 +321,12 @@ def redactor(column: str, length_column: str | None):
                             parts += [texts[i][at : max(at, s["start"])], "[secret]" if s["start"] >= at else ""]
                             at = s["end"]
                     texts[i] = "".join(parts) + texts[i][at:]
-            out = {name: batch.column(i) for i, name in enumerate(names) if name != "spans"}
-            changed = [bool(s) for s in batch.column("spans").to_pylist()]
+            out = {name: batch.column(i) for i, name in enumerate(names) if name != spans_column}
             out[column] = pa.array(texts, out[column].type)
             if length_column in out:
                 old = out[length_column].to_pylist()
                 out[length_column] = pa.array(
-                    [len(t) if c and t is not None else o for t, c, o in zip(texts, changed, old, strict=True)],
+                    [len(t) if s and t is not None else o for t, s, o in zip(texts, listed, old, strict=True)],
                     out[length_column].type,
                 )
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
@@ -333,5 +340,9 @@ def redact(documents: DataFrame, column: str = "text", length_column: str = "n_c
     All rows stay, with their columns; overlapping spans become one mark.
     """
     columns = documents.columns
-    found = find_secrets(documents, columns, column).select(*columns, "spans")
-    return found.mapInArrow(redactor(column, length_column), documents.schema)
+    # The search names columns of its own, so the caller's go through under others.
+    inner = [f"c{i}_" for i in range(len(columns))]
+    found = find_secrets(documents.toDF(*inner), inner, inner[columns.index(column)])
+    spans = store.fresh(columns, "spans")
+    named = found.select(*inner, "spans").toDF(*columns, spans)
+    return named.mapInArrow(redactor(column, length_column, spans), documents.schema)
