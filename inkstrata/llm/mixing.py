@@ -17,8 +17,12 @@ the very most. Which documents of a hot size go in is found by hash range, so a
 size that a third of all rows share is never sorted in one task.
 
 Defined results: a null text has size 0; a null source is a source; sources
-without words have target 0. Repeated rows count as documents of their own. An
-empty table gives an empty result.
+without words have target 0. Repeated rows, and rows that repeat an id (null
+included), count as documents of their own; rows equal in all columns share what is
+taken of them as evenly as can be. Ties in size go by a seeded hash of the row. Texts
+of any length are counted whole. Extra columns pass through ``sample``, whatever their
+names, but one named ``copies``, which gives way to the result. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -154,29 +158,24 @@ def plan(histogram: DataFrame) -> DataFrame:
 
 
 def choose(sized: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
-    """``chosen`` for each (doc_id, source, size): the ``extra`` documents with the least hash.
+    """``sized`` with ``repeats`` and ``once``, how many of its ``rows`` equal documents go in once more.
 
-    A size's documents are dealt into hash ranges of about RANGE_ROWS; ranges
-    below the cut go in whole, and only the range at the cut is ranked.
+    Of a size, the ``extra`` documents with the least hash go in. They are dealt
+    into hash ranges of about RANGE_ROWS; ranges below the cut go in whole, and
+    only the range at the cut is ranked.
     """
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    key = F.xxhash64(F.lit(seed), F.col("row_key"))
     ranges = F.greatest(F.lit(1), F.floor(F.col("n") / RANGE_ROWS)).cast("long")
     dealt = store.shelve(
         sized.where("size > 0")
         .join(planned, sized.source.eqNullSafe(planned.source_) & (sized["size"] == planned.size_))
         .select(
-            "doc_id",
-            "source",
-            "size",
-            "repeats",
-            "extra",
-            key.alias("key"),
-            F.pmod(F.shiftrightunsigned(key, 20), ranges).alias("range"),
+            *sized.columns, "repeats", "extra", key.alias("key"), F.pmod(F.shiftrightunsigned(key, 20), ranges).alias("range")
         ),
         "dealt",
     )
     group = ["source", "size"]
-    partial = dealt.where("extra > 0").groupBy(*group, "range").agg(F.count("*").alias("n"), F.max("extra").alias("extra"))
+    partial = dealt.where("extra > 0").groupBy(*group, "range").agg(F.sum("rows").alias("n"), F.max("extra").alias("extra"))
     upto = F.sum("n").over(Window.partitionBy(*group).orderBy("range"))
     cuts = store.shelve(
         partial.withColumn("upto", upto)
@@ -193,33 +192,50 @@ def choose(sized: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
         cuts,
         dealt.source.eqNullSafe(cuts.source_) & (dealt["size"] == cuts.size_) & (dealt.range == cuts.range_),
         "left",
-    ).withColumn("whole", F.col("range_").isNotNull() & F.col("within").isNull())
-    rank = F.row_number().over(Window.partitionBy(*group, "range").orderBy("key", "doc_id"))
-    split = met.where("within is not null").withColumn("chosen", rank <= F.col("within"))
-    rest = met.where("within is null").withColumn("chosen", F.col("whole"))
-    columns = ["doc_id", "source", "size", "repeats", "chosen"]
+    )
+    before = F.sum("rows").over(Window.partitionBy(*group, "range").orderBy("key", "doc_id", "row_key")) - F.col("rows")
+    some = F.greatest(F.lit(0).cast("long"), F.least(F.col("rows"), F.col("within") - before))
+    split = met.where("within is not null").withColumn("once", some)
+    whole = F.when(F.col("range_").isNotNull(), F.col("rows")).otherwise(0)
+    rest = met.where("within is null").withColumn("once", whole)
+    columns = [*sized.columns, "repeats", "once"]
     return split.select(*columns).unionByName(rest.select(*columns))
 
 
-def mix(documents: DataFrame, max_repeats: int = 3, seed: int = 17) -> DataFrame:
-    """The query's contract: how many words of each document the mix takes.
+def row_key(documents: DataFrame):
+    """A hash of all columns of a row; maps, which have no order, by their JSON."""
+    text = lambda f: F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    return F.xxhash64(*[text(f) for f in documents.schema.fields])
 
-    Also returns ``source`` and ``copies``, how often the document is taken.
-    """
-    sized = store.shelve(documents.select("doc_id", F.col("source").cast("string"), word_count().alias("size")), "sized")
-    histogram = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
-    histogram = store.shelve(histogram, "histogram")
+
+def drawn(documents: DataFrame, max_repeats: int, seed: int) -> DataFrame:
+    """The plan of the mix: doc_id, row_key, source, size, rows (equal ones), repeats, once, source_size and target."""
+    sized = documents.select(
+        "doc_id", row_key(documents).alias("row_key"), F.col("source").cast("string").alias("source"), word_count().alias("size")
+    )
+    sized = store.shelve(sized.groupBy(*sized.columns).agg(F.count("*").alias("rows")), "sized")
+    histogram = store.shelve(sized.groupBy("source", "size").agg(F.sum("rows").alias("n")), "histogram")
     sizes = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = store.shelve(fit_targets(sizes, max_repeats), "targets")
     aimed = targets.select(F.col("source").alias("source_"), "source_size", "target")
     planned = store.shelve(
         plan(histogram.join(aimed, histogram.source.eqNullSafe(aimed.source_)).drop("source_")), "planned"
-    ).withColumnsRenamed({"source": "source_", "size": "size_"})
-    chosen = choose(sized, planned, seed)
-    empty = sized.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("repeats"), F.lit(False).alias("chosen"))
-    every = chosen.unionByName(empty)
-    every = every.join(aimed, every.source.eqNullSafe(aimed.source_)).drop("source_")
-    copies = F.col("repeats") + F.col("chosen").cast("long")
+    )
+    chosen = choose(sized, planned.withColumnsRenamed({"source": "source_", "size": "size_"}), seed)
+    store.discard(histogram, planned)
+    none = F.lit(0).cast("long")
+    every = chosen.unionByName(sized.where("size = 0").select("*", none.alias("repeats"), none.alias("once")))
+    return every.join(aimed, every.source.eqNullSafe(aimed.source_)).drop("source_")
+
+
+def mix(documents: DataFrame, max_repeats: int = 3, seed: int = 17) -> DataFrame:
+    """The query's contract: how many words of each document the mix takes.
+
+    Also returns ``source`` and ``copies``, how often the document is taken.
+    """
+    turn = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("turn")
+    every = drawn(documents, max_repeats, seed).select("*", turn)
+    copies = F.col("repeats") + (F.col("turn") <= F.col("once")).cast("long")
     return every.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "source", copies.alias("copies")
     )
@@ -228,16 +244,19 @@ def mix(documents: DataFrame, max_repeats: int = 3, seed: int = 17) -> DataFrame
 def sample(documents: DataFrame, max_repeats: int = 3, seed: int = 17) -> DataFrame:
     """The mix itself: documents that are taken, each with ``copies``, how often.
 
-    A document is found again by id, size and source; rows that share all three
-    take the mean of their copies, rounded down, so that reruns agree.
+    Documents are found again by a hash of the row. Equal rows become one, which
+    is given out as often as there are, with the copies of all of them dealt evenly.
     """
-    drawn = mix(documents, max_repeats, seed).groupBy("doc_id", "size", "source").agg(F.floor(F.avg("copies")).alias("copies"))
-    drawn = drawn.select(*[F.col(c).alias(f"mix_{c}") for c in drawn.columns])
-    sized = documents.drop("copies").withColumn("mix_words", word_count())
-    met = sized.join(
-        drawn.where("mix_copies > 0"),
-        sized.doc_id.eqNullSafe(drawn.mix_doc_id)
-        & (sized.mix_words == drawn.mix_size)
-        & sized.source.cast("string").eqNullSafe(drawn.mix_source),
-    )
-    return met.select(*[c for c in documents.columns if c != "copies"], F.col("mix_copies").cast("int").alias("copies"))
+    documents = documents.drop("copies")
+    names = documents.columns
+    key, rows, repeats, once, turn = (store.fresh(names, f"mix_{x}") for x in ("key", "rows", "repeats", "once", "turn"))
+    taken = drawn(documents, max_repeats, seed).where("repeats + once > 0")
+    taken = taken.select("row_key", "rows", "repeats", "once").toDF(key, rows, repeats, once)
+    met = documents.withColumn(key, row_key(documents)).join(taken, key)
+    columns = [F.col(f"`{c}`") for c in names]
+    single = met.where(F.col(rows) == 1).select(*columns, (F.col(repeats) + F.col(once)).cast("int").alias("copies"))
+    again = met.where(F.col(rows) > 1).groupBy(key, rows, repeats, once).agg(F.any_value(F.struct(*columns)).alias(turn + "row"))
+    again = again.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(rows))))
+    copies = F.col(repeats) + (F.col(turn) <= F.col(once)).cast("long")
+    again = again.select(f"{turn}row.*", copies.cast("int").alias("copies")).where(F.col("copies") > 0)
+    return single.unionByName(again)
