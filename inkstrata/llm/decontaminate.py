@@ -1,9 +1,11 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
 Texts are lower-cased; their words are runs of ASCII letters and digits and of
-non-ASCII characters, their shingles five consecutive words (a shorter text has
-one shingle of all its words). A document is contaminated by an item when it
-holds at least ``containment`` of the item's distinct shingles.
+non-ASCII characters, their shingles five consecutive words. A document is
+contaminated by an item when it holds at least ``containment`` of the item's
+distinct shingles. An item of fewer than five words is one shingle of all its words,
+and contaminates every document that holds these words in a row: such items are
+looked up exactly, by the hash of their words.
 
 Items are partitioned by size into powers of two. For items of up to L shingles
 a document is read in windows of 2L shingles that overlap by L, so a copied item
@@ -21,7 +23,10 @@ documents for each block, which bounds what travels with a task. An item of more
 text than that makes a block of its own.
 
 Defined results: null and wordless texts and items match nothing; repeated rows
-and repeated items each match; ties do not arise. Empty tables give no rows.
+and repeated items each match, items with a null id too; ties do not arise. Texts of
+any length are searched whole. Empty tables give no rows. ``clean`` passes all columns
+through; where a key of ``contaminated`` has the name of a result column, the latter
+gets an underscore more.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from . import textbatch as tb
 from .language_id import lowered
 
@@ -41,11 +47,11 @@ SHINGLE = 5
 BLOCK = 1 << 21
 
 
-def shingled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of a batch's texts and their documents, in text order."""
+def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """Word hashes of a batch's texts and their documents, in text order, and the number of texts."""
     raw, offsets = tb.utf8(lowered(column))
     starts, ends, docs = tb.words(raw, offsets, tb.symbol_table())
-    return tb.shingles(tb.range_hashes(raw, starts, ends), docs, SHINGLE, len(offsets) - 1)
+    return tb.range_hashes(raw, starts, ends), docs, len(offsets) - 1
 
 
 def functions(n: int) -> np.ndarray:
@@ -61,13 +67,23 @@ def values_needed(size: int, containment: float, miss: float) -> int:
 
 
 class Items:
-    """Items of one block: shingle sets, and MinHash values by size partition."""
+    """Items of one block: shingle sets, MinHash values by size partition, and short items by length."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], containment: float, miss: float):
-        self.ids = np.array(ids, np.int64)
-        value, owner = shingled(pa.array(texts, pa.string()))
+    def __init__(self, ids: list[int | None], texts: list[str | None], containment: float, miss: float):
+        self.ids = pa.array(ids, pa.int64())
+        hashes, docs, n = hashed_words(pa.array(texts, pa.string()))
         self.containment = containment
-        self.sets = [np.unique(value[owner == i]) for i in range(len(ids))]
+        at, value = tb.windows(hashes, docs, SHINGLE)
+        bounds = np.searchsorted(docs[at], np.arange(n + 1))
+        self.sets = [np.unique(value[bounds[i] : bounds[i + 1]]) for i in range(n)]
+        length = np.bincount(docs, minlength=n)
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for words in range(1, SHINGLE):
+            at, key = tb.windows(hashes, docs, words)
+            at, key = at[length[docs[at]] == words], key[length[docs[at]] == words]
+            if len(at):
+                order = np.argsort(key, kind="stable")
+                self.short[words] = key[order], docs[at][order]
         self.partitions: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         sizes = np.array([len(s) for s in self.sets])
         size = 1
@@ -121,39 +137,46 @@ def search(value: np.ndarray, owner: np.ndarray, n_docs: int, items: Items) -> s
     return found
 
 
-def links(batch: pa.RecordBatch, items: Items) -> list[tuple[int, int, int, int]]:
-    """Verified (row, item, shared, size of item) of a batch, in order."""
-    value, owner = shingled(batch.column("text"))
-    bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-    rows: list[tuple[int, int, int, int]] = []
+def exact(hashes: np.ndarray, docs: np.ndarray, items: Items) -> set[tuple[int, int]]:
+    """(document, item) of the short items whose words stand in a row in a document."""
+    found: set[tuple[int, int]] = set()
+    for words, (keys, members) in items.short.items():
+        at, value = tb.windows(hashes, docs, words)
+        lo, hi = np.searchsorted(keys, value), np.searchsorted(keys, value, side="right")
+        pairs = np.unique(np.stack([docs[at], lo, hi])[:, lo < hi], axis=1)
+        found.update((int(d), int(members[j])) for d, a, b in pairs.T for j in range(a, b))
+    return found
+
+
+def links(texts: pa.Array, items: Items) -> list[tuple[int, int, int, int]]:
+    """Verified (row, item, shared, size of item) of a batch's texts, in order."""
+    hashes, docs, n = hashed_words(texts)
+    at, value = tb.windows(hashes, docs, SHINGLE)
+    owner = docs[at]
+    bounds = np.searchsorted(owner, np.arange(n + 1))
+    rows = [(doc, item, 1, 1) for doc, item in exact(hashes, docs, items)]
     have = (-1, None)
-    for doc, item in sorted(search(value, owner, batch.num_rows, items)):
+    for doc, item in sorted(search(value, owner, n, items)):
         if have[0] != doc:
             have = (doc, np.unique(value[bounds[doc] : bounds[doc + 1]]))
         wanted = items.sets[item]
         shared = int(np.isin(wanted, have[1], assume_unique=True).sum())
         if shared >= items.containment * len(wanted) - 1e-9:
             rows.append((doc, item, shared, len(wanted)))
-    return rows
+    return sorted(rows)
 
 
-def matcher(items: Items):
-    """Executor side of the search: one row a link."""
+def matcher(items: Items, text: str, names: list[str]):
+    """Executor side of the search: one row a link, of all columns but ``text`` and the link's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tb.blocks(batches, "text", BLOCK):
-            rows = links(batch, items)
+        for batch in tb.blocks(batches, text, BLOCK):
+            rows = links(batch.column(text), items)
             if rows:
                 at = np.array(rows, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(i).take(pa.array(at[:, 0])) for i, n in enumerate(batch.schema.names) if n != "text"),
-                        pa.array(items.ids[at[:, 1]]),
-                        pa.array(at[:, 2]),
-                        pa.array(at[:, 3]),
-                    ],
-                    names=[*(n for n in batch.schema.names if n != "text"), "item_id", "n_shared", "n_item"],
-                )
+                keys = [batch.column(i).take(pa.array(at[:, 0])) for i, n in enumerate(batch.schema.names) if n != text]
+                own = [items.ids.take(pa.array(at[:, 1])), pa.array(at[:, 2]), pa.array(at[:, 3])]
+                yield pa.RecordBatch.from_arrays([*keys, *own], names=names)
 
     return run
 
@@ -164,7 +187,7 @@ def dropper(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.blocks(batches, "text", BLOCK):
             keep = np.ones(batch.num_rows, bool)
-            keep[[r[0] for r in links(batch, items)]] = False
+            keep[[r[0] for r in links(batch.column("text"), items)]] = False
             yield batch.filter(pa.array(keep))
 
     return run
@@ -172,13 +195,13 @@ def dropper(items: Items):
 
 def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list]:
     """Rows (item_id, text) in blocks of bounded text, dealt by hash."""
-    usable = items.where("item_id is not null and text is not null").select("item_id", "text")
+    usable = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(1.25 * size / block_bytes))
     for b in range(blocks):
         rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         if rows or blocks == 1:
-            yield sorted(rows)
+            yield sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))
 
 
 def contaminated(
@@ -190,14 +213,18 @@ def contaminated(
     block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """Every (document, item) link: ``keys`` of the document, item_id, n_shared, n_item, containment."""
-    texts = documents.where("text is not null").select(*keys, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keys).schema.fields)
+    own = ["item_id", "n_shared", "n_item", "containment"]
+    own = [store.fresh([*keys, *own[:i], *own[i + 1 :]], name) if name in keys else name for i, name in enumerate(own)]
+    text = store.fresh(keys, "text")
+    texts = documents.where("text is not null").select(*[f"`{k}`" for k in keys], F.col("text").cast("string").alias(text))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.drop(text).schema.fields)
+    schema += f", {own[0]} long, {own[1]} long, {own[2]} long"
     out = None
     for rows in item_blocks(items, block_bytes):
         block = Items([r["item_id"] for r in rows], [r["text"] for r in rows], containment, miss)
-        part = texts.mapInArrow(matcher(block), f"{schema}, item_id long, n_shared long, n_item long")
+        part = texts.mapInArrow(matcher(block, text, [*keys, *own[:3]]), schema)
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    return out.withColumn(own[3], F.col(own[1]) / F.col(own[2]))
 
 
 def clean(documents: DataFrame, items: DataFrame, containment: float = 0.8, miss: float = 1e-6, block_bytes: int = 16 << 20) -> DataFrame:
@@ -216,9 +243,13 @@ WITH words AS (
   SELECT 'i', item_id, regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\x00-\x7F])+') FROM benchmark
 ), grams AS (
   SELECT DISTINCT side, id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
-  FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0
-), sizes AS (SELECT id, count(*) AS n FROM grams WHERE side = 'i' GROUP BY id)
+  FROM words, unnest(range(1, len(w) - 3)) AS t(i) WHERE len(w) >= 5
+), sizes AS (SELECT id, count(*) AS n FROM grams WHERE side = 'i' GROUP BY id
+), short AS (SELECT id, array_to_string(w, ' ') AS g FROM words WHERE side = 'i' AND len(w) BETWEEN 1 AND 4)
 SELECT d.id AS doc_id, s.id AS item_id, count(*) AS n_shared, s.n AS n_item, count(*)::DOUBLE / s.n AS containment
 FROM grams d JOIN grams i ON d.side = 'd' AND i.side = 'i' AND d.g = i.g JOIN sizes s ON s.id = i.id
 GROUP BY d.id, s.id, s.n HAVING count(*) >= 0.8 * s.n - 1e-9
+UNION ALL
+SELECT d.id, s.id, 1, 1, 1.0
+FROM words d JOIN short s ON d.side = 'd' AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || s.g || ' ')
 """
