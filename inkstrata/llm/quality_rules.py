@@ -17,7 +17,9 @@ shared folder and joined with the labels, so texts are scored once.
 Base rules fail texts under 50 words and texts where words in repeated 3-word
 windows make up more than half. Defined results: a null text counts as empty and
 fails; without trusted documents the score is 0 and only base rules decide.
-Repeated rows each get a verdict.
+Repeated rows each get a verdict, ties at the threshold are kept. Texts of any length
+are judged whole; a text with repeated windows is sorted within its row. Extra columns
+are ignored, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations

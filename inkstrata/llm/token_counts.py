@@ -14,7 +14,10 @@ Distinct words of up to ``CACHED`` characters are segmented once a task and then
 looked up, so the work follows the number of distinct words.
 
 Defined results: null and empty texts have 0 tokens and score 0. Rows are
-independent; extra columns pass through.
+independent, so repeated rows each get a count, and empty tables give no rows. Ties
+between segmentations go by the rules above. Texts of any length are counted whole;
+a word costs its length times the longest piece. Extra columns pass through; those
+named ``n_tokens`` or ``best_score`` give way to the result.
 """
 
 from __future__ import annotations
