@@ -204,19 +204,31 @@ def resolve(edges: list, within: bool) -> list[tuple]:
     return found
 
 
+def decide(found: list[tuple]):
+    """Open rows whose run has a match, with its first row; ``found`` has two rows a partition at most."""
+    table = np.array(sorted((part * 4 + edge, *first) for part, edge, *first in found), np.int64).reshape(-1, 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, edge = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "edge"))
+            at = np.minimum(np.searchsorted(table[:, 0], part * 4 + edge), len(table) - 1)
+            keep = np.flatnonzero(table[at, 0] == part * 4 + edge)
+            kept = batch.take(pa.array(keep))
+            first = [pa.array(table[at[keep], 1 + i], t) for i, t in enumerate(KINDS[-3:])]
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in FIELDS[:-3]), *first], names=FIELDS)
+
+    return run
+
+
 def repeated(rows: DataFrame, within: bool, label: str) -> DataFrame:
     """Rows (k, doc_id, dup, at, ...) whose key another document has too, with the first row that has it."""
-    spark = rows.sparkSession
     order = ["k", "doc_id", "dup", "at"]
     seen = store.shelve(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(runs(within), MATCH), label)
-    edges = seen.where("edge >= 3").collect()  # two rows a partition at most
-    columns = [c for c in FIELDS if c not in ("part", "edge", "k")]
-    open_ = resolve(edges, within)
-    decided = seen.where("edge = 0").select(*columns)
-    if open_:
-        named = spark.createDataFrame(open_, "part int, edge int, fdoc long, fdup int, fat int")
-        rest = seen.where("edge in (1, 2)").drop("fdoc", "fdup", "fat")
-        decided = decided.unionByName(rest.join(F.broadcast(named), ["part", "edge"]).select(*columns))
+    found = resolve(seen.where("edge >= 3").collect(), within)  # two rows a partition at most
+    decided = seen.where("edge = 0")
+    if found:
+        decided = decided.unionByName(seen.where("edge in (1, 2)").mapInArrow(decide(found), MATCH))
+    decided = decided.drop("part", "edge", "k")
     decided._shelf = seen._shelf  # noqa: SLF001
     return decided
 
