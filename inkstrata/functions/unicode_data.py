@@ -74,6 +74,14 @@ LOOKALIKES = {
     "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "Օ": "O", "Ս": "U", "Տ": "S", "Լ": "L",
     "ı": "i", "ɑ": "a", "ɡ": "g", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "p", "ƒ": "f",
 }
+# Signs and digits that look like ASCII ones.
+SIGNS = {
+    "×": "x", "‘": "'", "’": "'", "‛": "'", "′": "'", "´": "'", "ˈ": "'", "՚": "'", "“": "''", "”": "''", "″": "''", "‟": "''",
+    "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "˗": "-", "۔": "-", "⁄": "/", "∕": "/", "⧸": "/", "∗": "*", "٭": "*", "∶": ":",
+    "ː": ":", "։": ":", "׃": ":", "‚": ",", "٫": ",", "․": ".", "܁": ".", "܂": ".", "∼": "~", "‹": "<", "˂": "<", "›": ">", "˃": ">",
+    "ǃ": "!", "∣": "l", "∖": "\\", "❨": "(", "❩": ")", "❴": "{", "❵": "}", "٠": ".", "١": "l", "٥": "o", "٧": "V", "۰": ".",
+    "۱": "l", "۵": "o", "۷": "V", "߀": "O", "०": "o", "০": "o", "੦": "o", "૦": "o", "๐": "o", "໐": "o", "၀": "o", "៰": "o",
+}
 EMOJI = ((0x1F000, 0x1FAFF), (0x2600, 0x27FF), (0x2300, 0x23FF)) + tuple(
     (c, c) for c in (0x00A9, 0x00AE, 0x203C, 0x2049, 0x2122, 0x2139, 0x3030, 0x303D)
 )
@@ -141,17 +149,38 @@ def scripts() -> dict[str, str]:
     return {script: char_class(runs) for script, runs in sorted(found.items())}
 
 
+_given: dict[str, str] = {}
+
+
+def use_confusables(path: str | None) -> int:
+    """Take the look-alikes from a file in the public ``confusables.txt`` format; None goes back to the lists here.
+
+    Kept are characters that look like ASCII text and do not decompose to ASCII,
+    as normalising deals with those that do. Returns how many there are.
+    """
+    _given.clear()
+    if path is not None:
+        with open(path, encoding="utf-8-sig") as lines:
+            for line in lines:
+                parts = [p.strip() for p in line.split("#")[0].split(";")]
+                if len(parts) < 2 or " " in parts[0]:
+                    continue
+                source, target = chr(int(parts[0], 16)), "".join(chr(int(x, 16)) for x in parts[1].split())
+                if target.isascii() and not unicodedata.normalize("NFKC", source).isascii():
+                    _given[source] = target
+    for made in (confusables, confusable_class, flagged_class, flagged_table):
+        made.cache_clear()
+    return len(confusables())
+
+
 @cache
 def confusables() -> dict[str, str]:
-    """Letters and their ASCII look-alikes: twins, listed letters, and styled forms of ASCII letters."""
-    table = {twin: letter for letter, twin in TWINS.items()} | LOOKALIKES
-    for cp, category in _facts():
-        form = unicodedata.decomposition(chr(cp)).split()
-        if category[0] == "L" and len(form) == 2 and form[0] in ("<font>", "<wide>"):
-            base = chr(int(form[1], 16))
-            if base.isascii() and base.isalpha():
-                table.setdefault(chr(cp), base)
-    return table
+    """Characters and the ASCII text that they look like: twins, listed letters and signs, or those of a file."""
+    return dict(_given) or {twin: letter for letter, twin in TWINS.items()} | LOOKALIKES | SIGNS
+
+
+def name_of(ch: str) -> str:
+    return unicodedata.name(ch, f"<unassigned U+{ord(ch):04X}>")
 
 
 @cache
@@ -162,6 +191,7 @@ def flagged_class() -> str:
 
 @cache
 def confusable_class() -> str:
+    """Letters among the look-alikes, which inspection reports."""
     known = confusables()
     return char_class(ranges_of(lambda cp, category: category[0] == "L" and chr(cp) in known))
 
@@ -185,8 +215,8 @@ def pair_of_script() -> str:
 
 
 @cache
-def flagged_table() -> list[tuple[str, str, str, str, str]]:
-    """Flagged characters: character, category, action, safe rule, marker."""
+def flagged_table() -> list[tuple[str, str, str, str, str, str]]:
+    """Flagged characters: character, category, action, safe rule, marker, name."""
     rows = []
     for first, last, category, action, token, rule in POLICY:
         for cp in range(first, last + 1):
@@ -194,9 +224,23 @@ def flagged_table() -> list[tuple[str, str, str, str, str]]:
                 token = f"VS{cp - 0xFE00 + 1 if cp <= 0xFE0F else cp - 0xE0100 + 17}"
             elif category == "tags_block":
                 token = f"TAG_{cp - 0xE0000:X}"
-            rows.append((chr(cp), category, action, rule, token))
+            rows.append((chr(cp), category, action, rule, token, name_of(chr(cp))))
     tags = {"CYRILLIC": "CYR", "GREEK": "GRK", "ARMENIAN": "ARM"}
     for ch, plain in confusables().items():
+        if unicodedata.category(ch)[0] != "L":
+            continue
         tag = next((t for name, t in tags.items() if unicodedata.name(ch, "").startswith(name)), "CONF")
-        rows.append((ch, "homoglyph", "homoglyph", "mixed_script", f"{tag}_{plain.upper()}"))
+        rows.append((ch, "homoglyph", "homoglyph", "mixed_script", f"{tag}_{plain.upper()}", name_of(ch)))
     return rows
+
+
+@cache
+def folds() -> dict[str, str]:
+    """Characters whose case folding is not their lower case alone, or whose lower case depends on what stands by."""
+    known = {chr(cp): chr(cp).casefold() for cp, category in _facts() if category[0] in "LMNS" and cp > 127}
+    return {c: f for c, f in known.items() if f != c.lower() or c in "Σς"}
+
+
+@cache
+def fold_class() -> str:
+    return char_class((ord(c), ord(c)) for c in sorted(folds()))

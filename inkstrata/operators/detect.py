@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import unicode_data as U
 from ..functions.bind import let
 
 GAMMA, THRESHOLD, MIN_TOKENS = 0.25, 4.0, 32
@@ -26,7 +27,15 @@ TOKEN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*|[^\p{L}\p{N}_\s\x1c-\x1f\x85\xa0
 def tokens(text: Column) -> Column:
     """Case-folded words (with inner apostrophes) and single punctuation characters."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    return F.transform(found, lambda t: F.replace(F.lower(t), F.lit("ß"), F.lit("ss")))
+    return F.transform(found, folded)
+
+
+def folded(word: Column) -> Column:
+    """Full case folding; only words with a character that folds by more than its lower case are taken apart."""
+    special = F.lit(f"[{U.fold_class()}]")
+    table = F.create_map(*[F.lit(x) for pair in sorted(U.folds().items()) for x in pair])
+    one = F.transform(F.split(word, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c)))
+    return F.when(F.rlike(word, special), F.array_join(one, "")).otherwise(F.lower(word))
 
 
 def uniform(key: str, scheme: str, *parts: Column) -> Column:

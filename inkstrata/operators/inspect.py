@@ -7,7 +7,7 @@ shuffled before occurrences are grouped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import unicode_data as U
@@ -115,13 +115,21 @@ def disposition(category: Column, ch: Column, position: Column, left: Column, ri
     )
 
 
-def occurrences(texts: DataFrame, key: str = "doc_id", column: str = "text", offsets: bool = True, graphemes: bool = False) -> DataFrame:
+#: Put before every grapheme while they are counted; neither is a character.
+BEGINS = "\uffff\ufffe"
+
+
+def occurrences(
+    texts: DataFrame, key: str = "doc_id", column: str = "text", offsets: bool = True, graphemes: bool = False, lines: bool = False
+) -> DataFrame:
     """One row for each flagged character of each text, with its context and disposition.
 
-    key, position (code points), byte_offset, grapheme_index, ch, codepoint,
-    category, action, safe_rule, token, disposition, context. Byte offsets and
-    grapheme indices cost a scan of the text for each occurrence, and are null
-    without ``offsets`` and ``graphemes``.
+    key, position (code points), byte_offset, grapheme_index, line, column, ch,
+    codepoint, name, category, action, safe_rule, token, disposition, context.
+    Byte offsets, grapheme indices and lines are running sums over what stands
+    between the flagged characters of a text, so they cost one pass and a shuffle
+    of the hits; they are null without ``offsets``, ``graphemes`` and ``lines``.
+    A key names one text.
     """
     flagged = f"[{U.flagged_class()}]"
     base = texts.where(F.col(column).rlike(flagged)).select(F.col(key).alias("key_"), F.col(column).alias("text_"))
@@ -130,9 +138,24 @@ def occurrences(texts: DataFrame, key: str = "doc_id", column: str = "text", off
         F.transform("chars_", lambda c, i: F.struct(c.alias("ch"), i.alias("position"))),
         lambda x: (F.ascii(x["ch"]) > 127) & x["ch"].rlike(flagged),
     )
+    whole = F.regexp_replace("text_", grapheme_pattern(), f"{BEGINS}$0") if graphemes else F.col("text_")
+    between = F.split(whole, flagged, -1) if offsets or graphemes or lines else F.array().cast("array<string>")
     text, parts, tags = F.col("text_"), f"[{U.word_parts()}]*", r"[\x{E0020}-\x{E007E}]"
     cut = lambda start, n: F.array_join(F.slice("chars_", start, n), "")
 
+    def facts(piece: Column, x: Column) -> Column:
+        """What stands between the hit before and this one: bytes (with this one's), graphemes, newlines, and where the last is."""
+        begun = (F.length(piece) - F.length(F.replace(piece, F.lit(BEGINS), F.lit("")))) / 2
+        plain = F.replace(piece, F.lit(BEGINS), F.lit("")) if graphemes else piece
+        ends = F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit("")))
+        last = x["position"] - F.length(F.substring_index(plain, "\n", -1)) - 1
+        return F.struct(
+            (F.octet_length(plain) + F.octet_length(x["ch"])).alias("bytes"),
+            begun.cast("int").alias("begun"),
+            ends.alias("ends"),
+            F.when(ends > 0, last).alias("last"),
+        )
+
     def located(x: Column) -> Column:
         """A hit with the contexts that its kind needs, computed inside the row."""
         at, ch = x["position"], x["ch"]
@@ -148,8 +171,6 @@ def occurrences(texts: DataFrame, key: str = "doc_id", column: str = "text", off
             rf"^{tags}*\x{{E007F}}"
         )
         around = cut(F.greatest(F.lit(1), at + 1 - RTL_RADIUS), F.least(at, F.lit(RTL_RADIUS)) + RTL_RADIUS + 1)
-        unknown = F.lit(None).cast("int")
-        index = F.regexp_count(F.concat(before, ch), F.lit(grapheme_pattern())) - 1
         return F.struct(
             at.alias("position"),
             ch.alias("ch"),
@@ -159,15 +180,27 @@ def occurrences(texts: DataFrame, key: str = "doc_id", column: str = "text", off
             F.when(in_class(ch, BIDI), around).otherwise("").alias("around_"),
             F.when(letter, word).otherwise("").alias("word_"),
             F.when(cp.between(0xE0000, 0xE007F), tag).otherwise(False).alias("tag_"),
-            (F.octet_length(before) if offsets else unknown).alias("byte_offset"),
-            (index if graphemes else unknown).alias("grapheme_index"),
         )
 
-    hits = chars.withColumn("hits_", placed).select("key_", F.explode(F.transform("hits_", located)).alias("h"))
-    located_hits = hits.select("key_", "h.*")
+    def joined(found: Column, pieces: Column) -> Column:
+        return F.transform(found, lambda x, i: F.struct(located(x).alias("h"), facts(F.get(pieces, i), x).alias("f")))
+
+    hits = chars.withColumn("hits_", placed).select("key_", F.explode(let(joined, F.col("hits_"), between)).alias("x"))
+    located_hits = hits.select("key_", "x.h.*", "x.f")
+    before = Window.partitionBy("key_").orderBy("position")
+    unknown = F.lit(None).cast("int")
+    running = lambda wanted, value: (value.cast("int") if wanted else unknown)
+    located_hits = located_hits.withColumns(
+        {
+            "byte_offset": running(offsets, F.sum("f.bytes").over(before) - F.octet_length("ch")),
+            "grapheme_index": running(graphemes, F.sum("f.begun").over(before) - 1),
+            "line": running(lines, F.sum("f.ends").over(before) + 1),
+            "column": running(lines, F.col("position") - F.coalesce(F.max("f.last").over(before), F.lit(-1))),
+        }
+    )
     # The table has a row for each flagged character: some thousands, fixed.
     table = texts.sparkSession.createDataFrame(
-        U.flagged_table(), "ch string, category string, action string, safe_rule string, token string"
+        U.flagged_table(), "ch string, category string, action string, safe_rule string, token string, name string"
     )
     named = located_hits.join(F.broadcast(table), "ch")
     judged = disposition(
@@ -178,8 +211,11 @@ def occurrences(texts: DataFrame, key: str = "doc_id", column: str = "text", off
         "position",
         "byte_offset",
         "grapheme_index",
+        "line",
+        "column",
         "ch",
         codepoint_label(F.col("ch")).alias("codepoint"),
+        "name",
         "category",
         "action",
         "safe_rule",

@@ -62,16 +62,27 @@ def localize(
     stride: int = 600,
     alpha: float = 0.05,
     key: str = "doc_id",
+    most_characters: int = 4_000_000,
+    most_spans: int = 4096,
 ) -> tuple[DataFrame, DataFrame]:
     """Spans and one report row a document.
 
+    Documents whose windows hold more than ``most_characters`` in all, or that have
+    more than ``most_spans`` spans, are refused: no spans, status failed, and the
+    reason in the report.
+
     ``detector(df, column)`` adds status, margin and p_value. Only documents that
     are detected as a whole are cut into windows. With p-values and calibration
     the windows of a document share ``alpha`` (Bonferroni), else the result is
     exploratory; a window without a decision fails its document.
     """
+    if window < 1 or not 1 <= stride <= window or not 0 < alpha < 1:
+        raise ValueError("window, stride or alpha is out of bounds")
     whole = detector(texts.select(key, "text"), "text").select(key, "text", F.col("status").alias("full_status"))
-    scored = detector(windows(whole.where("full_status = 'detected'"), window, stride, key), "window_text")
+    n = F.length("text")
+    cost = window_count(n, window, stride).cast("long") * F.least(n, F.lit(window))
+    whole = whole.withColumn("too_long", F.coalesce((F.col("full_status") == "detected") & (cost > most_characters), F.lit(False)))
+    scored = detector(windows(whole.where("full_status = 'detected' and not too_long"), window, stride, key), "window_text")
     document = Window.partitionBy(key)
     scored = scored.withColumn("n_windows", F.count("*").over(document)).withColumn(
         "inconclusive", F.max((~F.col("status").isin("detected", "not_detected")).cast("int")).over(document)
@@ -83,17 +94,25 @@ def localize(
     state = scored.groupBy(key).agg(
         F.max("n_windows").alias("windows_scored"), F.max("inconclusive").alias("inconclusive"), F.bool_and("controlled").alias("controlled")
     )
-    met = whole.select(key, "full_status").join(state, key, "left").join(spans.groupBy(key).agg(F.count("*").alias("n_spans")), key, "left")
+    counts = spans.groupBy(key).agg(F.count("*").alias("n_spans"))
+    met = whole.select(key, "full_status", "too_long").join(state, key, "left").join(counts, key, "left")
+    met = met.withColumn("too_many", F.coalesce(F.col("n_spans") > most_spans, F.lit(False)))
+    spans = spans.join(counts.where(F.col("n_spans") > most_spans), key, "left_anti")
+    reason = (
+        F.when((F.col("full_status") != "detected") & (F.col("full_status") != "not_detected"), "full_document_inconclusive")
+        .when(F.col("too_long"), "window_character_budget_exhausted")
+        .when(F.col("inconclusive") == 1, "window_inconclusive")
+        .when(F.col("too_many"), "span_limit_exceeded")
+    )
     status = (
         F.when(F.col("full_status") == "not_detected", "not_detected")
-        .when(F.col("full_status") != "detected", "failed")
-        .when(F.col("inconclusive") == 1, "failed")
+        .when(F.coalesce(reason.isNotNull(), F.lit(False)), "failed")
         .when(F.col("n_spans").isNull(), "not_localized")
         .when(F.col("controlled"), "localized")
         .otherwise("localized_exploratory")
     )
     method = (
-        F.when((F.col("full_status") != "detected") | (F.col("inconclusive") == 1), "none")
+        F.when((F.col("full_status") != "detected") | F.col("too_long") | (F.col("inconclusive") == 1), "none")
         .when(F.col("controlled"), "bonferroni_windows")
         .otherwise("exploratory_windows")
     )
@@ -102,7 +121,8 @@ def localize(
         status.alias("status"),
         method.alias("method"),
         F.coalesce("windows_scored", F.lit(0)).cast("long").alias("windows_scored"),
-        F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+        F.when(F.col("too_many"), 0).otherwise(F.coalesce("n_spans", F.lit(0))).alias("n_spans"),
+        reason.alias("reason"),
     )
     return spans, report
 

@@ -27,19 +27,31 @@ def wilson(successes: Column, total: Column, z: float = 1.96) -> tuple[Column, C
     return F.when(some, F.greatest(F.lit(0.0), middle - half)), F.when(some, F.least(F.lit(1.0), middle + half))
 
 
-def auroc(scores: DataFrame, by: list[str]) -> DataFrame:
+def ranged(scores: DataFrame, ranges: int) -> Column:
+    """The range of a score among ``ranges`` of about equal size; bounds are read once, so every use agrees."""
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = scores.agg(F.percentile_approx("score", shares, 1000)).first()[0] or []
+    distinct = sorted(set(bounds))
+    if not distinct:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, distinct)), lambda b: b < F.col("score")))
+
+
+def auroc(scores: DataFrame, by: list[str], ranges: int = 64) -> DataFrame:
     """Mann-Whitney AUROC with half credit for ties, by group; scores(by, positive boolean, score).
 
-    Equal scores are counted first, so the window runs over distinct scores only.
+    Equal scores are counted first. Nulls below a score are those of lower ranges,
+    from a table of one row a group and range, and those before it in its own
+    range, so a group is worked on by as many tasks as there are ranges.
     """
     finite = scores.where("score is not null and not isnan(score)")
-    distinct = finite.groupBy(*by, "score").agg(
-        F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n")
-    )
-    below = F.coalesce(
-        F.sum("n").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    won = distinct.withColumn("won", F.col("p") * (below + 0.5 * F.col("n")))
+    counts = finite.groupBy(*by, "score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
+    counts = counts.withColumn("range", ranged(finite, ranges))
+    upto = F.sum("m").over(Window.partitionBy(*by).orderBy("range"))
+    lower = counts.groupBy(*by, "range").agg(F.sum("n").alias("m")).select(*by, "range", (upto - F.col("m")).alias("lower"))
+    inside = Window.partitionBy(*by, "range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("lower") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    won = counts.join(lower, [*by, "range"]).withColumn("won", F.col("p") * (below + 0.5 * F.col("n")))
     return won.groupBy(*by).agg(
         F.sum("p").alias("n_positive"),
         F.sum("n").alias("n_null"),
@@ -47,13 +59,28 @@ def auroc(scores: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def order_statistic(scores: DataFrame, share: float, by: list[str], ranges: int = 64) -> DataFrame:
+    """The score at rank ceil(share n) of each group, and n: by, n, score.
+
+    The range that holds the rank is found from counts; only its scores are sorted.
+    """
+    finite = scores.where("score is not null and not isnan(score)").select(*by, "score")
+    counts = finite.groupBy(*by, "score").agg(F.count("*").alias("n")).withColumn("range", ranged(finite, ranges))
+    group = Window.partitionBy(*by)
+    sizes = counts.groupBy(*by, "range").agg(F.sum("n").alias("m"))
+    sizes = sizes.withColumn("upto", F.sum("m").over(group.orderBy("range"))).withColumn("total", F.sum("m").over(group))
+    rank = F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("total")))
+    held = sizes.withColumn("rank", rank).where("upto - m < rank and rank <= upto")
+    met = counts.join(held.select(*by, "range", "total", (F.col("rank") - F.col("upto") + F.col("m")).alias("rank")), [*by, "range"])
+    met = met.withColumn("seen", F.sum("n").over(group.orderBy("score"))).where("seen >= rank")
+    return met.groupBy(*by).agg(F.max("total").alias("n"), F.min("score").alias("score"))
+
+
 def thresholds(nulls: DataFrame, fpr: float, by: list[str]) -> DataFrame:
     """The null order statistic at 1 - fpr, null below the least number of nulls; flags are strictly above it."""
-    n = F.count("score")
-    q = F.expr(f"percentile_disc({1 - fpr}) within group (order by score)")
-    return nulls.where("score is not null and not isnan(score)").groupBy(*by).agg(
-        n.alias("null_samples"), F.when(n >= minimum_nulls(fpr), q).alias("threshold")
-    )
+    found = order_statistic(nulls, 1 - fpr, by)
+    enough = F.col("n") >= minimum_nulls(fpr)
+    return found.select(*by, F.col("n").alias("null_samples"), F.when(enough, F.col("score")).alias("threshold"))
 
 
 def tpr_at_fpr(scores: DataFrame, fpr: float, by: list[str]) -> DataFrame:
@@ -120,6 +147,7 @@ def outcome_label(cohort: Column, before: Column, after: Column) -> Column:
 def select_strength(scores: DataFrame, nulls: DataFrame, fpr: float, target: float) -> DataFrame:
     """The least strength whose share of scores above the null threshold reaches ``target``."""
     limit = thresholds(nulls.withColumn("all_", F.lit(1)), fpr, ["all_"])
+    # One row, and none without nulls.
     rates = scores.withColumn("all_", F.lit(1)).join(F.broadcast(limit), "all_").groupBy("strength").agg(
         F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("tpr")
     )
@@ -205,24 +233,6 @@ def combine_telemetry(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def cluster_bootstrap_mean(values: DataFrame, by: list[str], cluster: str, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """Percentile interval of a mean, resampling whole clusters with hash-seeded Poisson weights.
-
-    Clusters are summed first, so the replicate table has clusters x replicates rows.
-    Intervals follow the same estimator as a resampling loop, not its random numbers.
-    """
-    sums = values.groupBy(*by, cluster).agg(F.sum("value").alias("s"), F.count("*").alias("n"))
-    drawn = sums.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "replicate", cluster, *by), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    steps = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
-    weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
-    means = drawn.withColumn("w", weight).groupBy(*by, "replicate").agg(
-        (F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("mean")
-    )
-    disc = lambda q: F.expr(f"percentile_disc({q}) within group (order by mean)")
-    return means.groupBy(*by).agg(disc(0.025).alias("ci_low"), disc(0.975).alias("ci_high"))
-
-
 def interval_alpha(ratings: DataFrame, dimension: str = "dimension") -> DataFrame:
     """Krippendorff's interval alpha of ratings(dimension, unit, rating), from sums and squares alone."""
     unit = ratings.groupBy(dimension, "unit").agg(

@@ -21,13 +21,23 @@ def leaking_clusters(samples: DataFrame, cluster: str = "cluster_id", split: str
     return samples.groupBy(cluster).agg(F.countDistinct(split).alias("splits")).where("splits > 1")
 
 
-def missing_cells(samples: DataFrame, dimensions: list[str], values: dict[str, DataFrame]) -> DataFrame:
-    """Cells of the required matrix without a sample; ``values`` are the small dimension tables."""
-    matrix = None
-    for d in dimensions:
-        side = F.broadcast(values[d].select(d).distinct())
-        matrix = side if matrix is None else matrix.crossJoin(side)
-    return matrix.join(samples.select(*dimensions).distinct(), dimensions, "left_anti")
+def missing_cells(samples: DataFrame, outer: DataFrame, inner: dict[str, list[str]]) -> DataFrame:
+    """Cells of the required matrix without a sample.
+
+    ``outer`` holds the wanted values of one dimension, however many; ``inner`` the
+    registry's values of the others. Each outer value keeps the set of inner cells
+    that it has, no larger than the registry's, and only missing cells become rows.
+    """
+    (name,) = outer.columns
+    cells = [[]]
+    for values in inner.values():
+        cells = [[*c, v] for c in cells for v in values]
+    cell = lambda values: F.struct(*[v.alias(n) for n, v in zip(inner, values, strict=True)])
+    every = F.array(*[cell(map(F.lit, c)) for c in cells])
+    have = samples.select(name, *inner).distinct().groupBy(name).agg(F.collect_list(cell(map(F.col, inner))).alias("have_"))
+    met = outer.distinct().join(have, name, "left")
+    left = F.when(F.col("have_").isNull(), every).otherwise(F.array_except(every, F.col("have_")))
+    return met.select(name, F.explode(left).alias("cell_")).select(name, "cell_.*")
 
 
 def missing_observations(samples: DataFrame, observations: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,9 +88,19 @@ def blinded_order(pairs: DataFrame, seed: str) -> DataFrame:
 
 
 def score_table_digest(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Content address of a score table: the hash of its sorted rows' hashes."""
+    """Content address of a score table, whatever the order of its rows.
+
+    Row hashes are cut into four numbers and summed: equal multisets of rows, and
+    for all practical purposes only those, give equal sums. The digest is the hash
+    of the sums and the number of rows, so no group is ever collected.
+    """
     each = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}).cast("binary"), 256)
-    return rows.groupBy(*by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(each)), "").cast("binary"), 256).alias("digest"))
+    part = lambda i: F.conv(F.substring("row_", 16 * i + 1, 16), 16, 10).cast("decimal(38,0)")
+    sums = rows.select(*by, each.alias("row_")).groupBy(*by).agg(
+        F.count("*").alias("n"), *[F.sum(part(i)).alias(f"s{i}") for i in range(4)]
+    )
+    whole = F.concat_ws(":", *[F.col(c).cast("string") for c in ("n", "s0", "s1", "s2", "s3")])
+    return sums.select(*by, "n", F.sha2(whole.cast("binary"), 256).alias("digest"))
 
 
 def pending(planned: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

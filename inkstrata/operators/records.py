@@ -67,6 +67,15 @@ def resolve(name: str) -> Detector:
     return _registry[name][0]
 
 
+def facts(name: str) -> dict[str, str]:
+    """What was declared of a detector."""
+    return dict(_registry[name][1])
+
+
+def names() -> list[str]:
+    return sorted(_registry)
+
+
 def capabilities(spark: SparkSession) -> DataFrame:
     """One row for each registered detector."""
     rows = [(name, facts["scheme"], facts.get("calibrated", "false")) for name, (_, facts) in sorted(_registry.items())]

@@ -12,14 +12,6 @@ from . import inspect
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
-def location(text: Column, position: Column) -> tuple[Column, Column]:
-    """1-based line and column of a code-point position; only a newline ends a line."""
-    before = F.substring(text, F.lit(1), position)
-    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    last = F.length(F.substring_index(before, "\n", -1))
-    return line, last + 1
-
-
 def fingerprint(path: Column, category: Column, codepoint: Column, column: Column, line_head: Column) -> Column:
     """Identity of a finding that survives moved lines; ``line_head`` is the start of its line's hash."""
     return F.sha2(F.concat_ws("\u0000", path, category, codepoint, column.cast("string"), line_head).cast("binary"), 256)
@@ -32,12 +24,11 @@ def line_heads(files: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, dispositions: tuple[str, ...] = ("actionable",)) -> DataFrame:
-    """Located findings of files(path, text)."""
-    found = inspect.occurrences(files, "path", "text").where(F.col("disposition").isin(*dispositions))
-    met = found.join(files.select("path", "text"), "path")
-    line, column = location(F.col("text"), F.col("position"))
-    placed = met.withColumn("line", line).withColumn("column", column).drop("text", "ch", "action", "safe_rule")
-    placed = placed.join(line_heads(files), ["path", "line"], "left")
+    """Located findings of files(path, text): 1-based line and column; only a newline ends a line there."""
+    found = inspect.occurrences(files, "path", "text", lines=True).where(F.col("disposition").isin(*dispositions))
+    placed = found.drop("ch", "action", "safe_rule")
+    held = files.where(F.col("text").rlike(f"[{inspect.U.flagged_class()}]"))
+    placed = placed.join(line_heads(held), ["path", "line"], "left")
     empty = F.substring(F.sha2(F.lit("").cast("binary"), 256), 1, 16)
     mark = fingerprint(F.col("path"), F.col("category"), F.col("codepoint"), F.col("column"), F.coalesce("head", empty))
     risk = inspect.mapped(inspect.U.RISK, F.col("category"))

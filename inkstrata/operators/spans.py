@@ -70,28 +70,54 @@ def word_spans(texts: DataFrame) -> DataFrame:
     return placed.select("doc_id", "word_index", word.alias("word"), (end - F.length(word)).alias("start"), end.alias("end"))
 
 
+def touched(spans: DataFrame, words: DataFrame, keep: bool = False) -> DataFrame:
+    """The first and last word that each span touches: doc_id, from, to; with ``keep`` for each span, start and end.
+
+    The first is as many words in as end before the span, the last one less than
+    begin before its end: counts along the sorted places, not a join on ranges.
+    """
+    wide = spans.where("start < end").select("doc_id", "start", "end").distinct()
+    place = lambda df, at, kind: df.select("doc_id", F.col(at).alias("at"), F.lit(kind).alias("kind"))
+    order = Window.partitionBy("doc_id", "side").orderBy("at", "kind")
+    # Words come before spans where they end at a span's start, and after them where they begin at its end.
+    starts = place(words, "end", 0).withColumn("other", F.lit(None).cast("int")).unionByName(
+        wide.select("doc_id", F.col("start").alias("at"), F.lit(1).alias("kind"), F.col("end").alias("other"))
+    )
+    ends = place(words, "start", 1).withColumn("other", F.lit(None).cast("int")).unionByName(
+        wide.select("doc_id", F.col("end").alias("at"), F.lit(0).alias("kind"), F.col("start").alias("other"))
+    )
+    both = starts.withColumn("side", F.lit(0)).unionByName(ends.withColumn("side", F.lit(1)))
+    rows = F.count_if(F.col("other").isNull()).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = both.withColumn("rank", rows).where(F.col("other").isNotNull())
+    first, last = F.col("side") == 0, F.col("side") == 1
+    start, end = F.when(first, F.col("at")).otherwise(F.col("other")), F.when(first, F.col("other")).otherwise(F.col("at"))
+    found = (
+        seen.groupBy("doc_id", start.alias("start"), end.alias("end"))
+        .agg(F.max(F.when(first, F.col("rank"))).alias("from"), (F.max(F.when(last, F.col("rank"))) - 1).alias("to"))
+        .where(F.col("from") <= F.col("to"))
+    )
+    return found if keep else found.select("doc_id", "from", "to").distinct()
+
+
+def placed(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """Runs of words (doc_id, from, to) as spans."""
+    first = words.select("doc_id", F.col("word_index").alias("from"), "start")
+    last = words.select("doc_id", F.col("word_index").alias("to"), "end")
+    return runs.join(first, ["doc_id", "from"]).join(last, ["doc_id", "to"]).select("doc_id", "start", "end")
+
+
 def snap(spans: DataFrame, words: DataFrame) -> DataFrame:
     """Spans widened to the words that they touch."""
-    met = spans.alias("s").join(
-        words.alias("w"),
-        (F.col("s.doc_id") == F.col("w.doc_id")) & (F.col("s.start") < F.col("w.end")) & (F.col("s.end") > F.col("w.start")),
-    )
-    return met.groupBy("s.doc_id", "s.start", "s.end").agg(F.min("w.start").alias("lo"), F.max("w.end").alias("hi")).select(
-        "doc_id", F.col("lo").alias("start"), F.col("hi").alias("end")
-    ).distinct()
+    return placed(touched(spans, words), words).distinct()
 
 
 def merge(spans: DataFrame, words: DataFrame) -> DataFrame:
     """Word-snapped spans, merged over overlaps and over gaps of white space."""
-    numbered = words.select("doc_id", "start", "end", "word_index")
-    first = snap(spans, words).join(numbered.select("doc_id", "start", F.col("word_index").alias("from")), ["doc_id", "start"])
-    both = first.join(numbered.select("doc_id", "end", F.col("word_index").alias("to")), ["doc_id", "end"])
     order = Window.partitionBy("doc_id").orderBy("from", "to")
     reach = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.coalesce(F.col("from") > reach + 1, F.lit(True)).cast("int")).over(order)
-    return both.withColumn("island", island).groupBy("doc_id", "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end")
-    ).drop("island")
+    runs = touched(spans, words).withColumn("island", island).groupBy("doc_id", "island")
+    return placed(runs.agg(F.min("from").alias("from"), F.max("to").alias("to")).drop("island"), words)
 
 
 def template(texts: DataFrame, spans: DataFrame, blank: str = "[BLANK]") -> DataFrame:

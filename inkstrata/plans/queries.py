@@ -12,7 +12,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import closed_vocabulary, covert, detect, inspect, localize, metrics, protocol, quality, records, sanitize, scan, spans
+from ..operators import (
+    closed_vocabulary,
+    covert,
+    detect,
+    evaluation,
+    inspect,
+    intervals,
+    jobs,
+    localize,
+    metrics,
+    protocol,
+    quality,
+    records,
+    sanitize,
+    scan,
+    session,
+    spans,
+    strategies,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,11 +148,33 @@ def inspect_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "position", "codepoint", "category", "disposition", "byte_offset")
 
 
-@query("""SELECT item_id AS doc_id, 1 AS position, 1 AS grapheme_index FROM benchmark WHERE length(text) > 1""")
+@query(f"""WITH {SQL_ZERO}, {SQL_CHARS}, counted AS (
+  SELECT *, sum(CASE WHEN ch = chr(8204) AND position > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY position) - 1 AS g FROM chars)
+SELECT doc_id, position, g::BIGINT AS grapheme_index FROM counted WHERE ch IN (chr(8203), chr(8204))""")
 def inspect_graphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = F.concat(F.substring("text", 1, 1), F.lit("\u200b"), F.substring("text", 2, 1 << 30))
-    texts = table(spark, sf_dir, "benchmark").where("length(text) > 1").select(F.col("item_id").alias("doc_id"), marked.alias("text"))
-    return inspect.occurrences(texts, graphemes=True).select("doc_id", "position", "grapheme_index")
+    found = inspect.occurrences(planted(spark, sf_dir, "zero_width"), offsets=False, graphemes=True)
+    return found.select("doc_id", "position", F.col("grapheme_index").cast("long").alias("grapheme_index"))
+
+
+# Contexts in which a covert character is meant, and others in which the same one is not, spread over the corpus.
+CONTEXTS = (
+    ("\u05d0 a\u200fb", "bidi_control", "contextual"), ("ab\u202ec", "bidi_control", "actionable"),
+    ("\u06a9\u200c\u06cc", "zero_width", "informational"), ("k\u200cy", "zero_width", "actionable"),
+    ("\U0001f468\u200d\U0001f469", "zero_width", "informational"), ("1\ufe0f\u20e3", "variation_selector", "informational"),
+    ("a\ufe0f", "variation_selector", "actionable"), ("p\u0430y", "homoglyph", "actionable"), ("\u043c\u0430\u043c", "homoglyph", "informational"),
+    ("\U0001f3f4\U000e0067\U000e007f", "tags_block", "informational"), ("x\U000e0067", "tags_block", "actionable"),
+)
+SQL_CONTEXTS = ", ".join(f"({i}, '{c}', '{d}', {sum(1 for x in t if ord(x) in (0x200f, 0x202e, 0x200c, 0x200d, 0xfe0f, 0x430, 0xe0067, 0xe007f))})" for i, (t, c, d) in enumerate(CONTEXTS))
+
+
+@query(f"""SELECT doc_id, category, disposition, n::BIGINT AS n FROM documents JOIN (VALUES {SQL_CONTEXTS}) AS t(i, category, disposition, n)
+  ON doc_id % {len(CONTEXTS)} = i""")
+def inspect_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with one of eleven passages in front of them, by the number of the document."""
+    text = F.concat(F.get(F.array(*[F.lit(t) for t, *_ in CONTEXTS]), (F.col("doc_id") % len(CONTEXTS)).cast("int")), F.lit(" " * 80), F.col("text"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    found = inspect.occurrences(texts, offsets=False)
+    return found.groupBy("doc_id", "category", "disposition").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {SQL_SPACE}, {SQL_CHARS}
@@ -188,6 +228,28 @@ def sanitize_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitize.reverse(sanitize.apply_edits(texts, edits))
 
 
+@query(f"""WITH {SQL_ZERO}, {SQL_CHARS}, n AS (SELECT doc_id, count_if(ch IN (chr(8203), chr(8204))) AS n FROM chars GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS zero_width, 1::BIGINT AS normalization, sha256(text || ' ' || chr(233)) AS digest, n + 1 AS n_edits FROM n JOIN documents USING (doc_id)""")
+def sanitize_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covert marks and a letter with a combining accent: policy edits, an edit of normalising, counts."""
+    texts = planted(spark, sf_dir, "zero_width").select("doc_id", F.concat("text", F.lit(" e\u0301")).alias("text"))
+    out = sanitize.sanitize_with_edits(texts)
+    normal = F.size(F.filter("edits", lambda e: e["category"] == "normalization")).cast("long")
+    return out.select(
+        "doc_id", F.coalesce(F.try_element_at("counts", F.lit("zero_width")), F.lit(0)).cast("long").alias("zero_width"),
+        normal.alias("normalization"), F.sha2(F.col("cleaned").cast("binary"), 256).alias("digest"), F.size("edits").cast("long").alias("n_edits"),
+    )
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def sanitize_manifest_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the aggressive profile undone: the planted text again, with the look-alikes taken out by SQL's reading."""
+    texts = planted(spark, sf_dir, "homoglyph")
+    back = sanitize.reverse_edits(sanitize.sanitize_with_edits(texts, "aggressive"))
+    plain = covert.strip_covert(F.col("restored"))
+    return back.select("doc_id", F.sha2(plain.cast("binary"), 256).alias("digest"))
+
+
 @query("""SELECT f AS family, count(*) AS n, count(*) AS restored FROM documents,
   (VALUES ('zero_width'), ('variation_selector'), ('tags_block'), ('homoglyph'), ('exotic_space')) AS t(f) GROUP BY f""")
 def family_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,6 +301,24 @@ def scan_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("path", "level").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT 'docs/' || doc_id || '.txt' AS path, len(string_split(text, chr(10)))::BIGINT AS n, 3 AS first FROM documents""")
+def scan_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diffs that add each document as lines 3 and on of a file."""
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    body = F.concat(F.lit("--- a/x\n+++ b/"), path, F.lit("\n@@ -1,2 +1,9 @@\n kept\n-gone\n kept\n+"), F.replace("text", F.lit("\n"), F.lit("\n+")))
+    diffs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("diff_id"), body.alias("text"))
+    return scan.changed_lines(diffs).groupBy("path").agg(F.count("*").alias("n"), F.min("line").alias("first"))
+
+
+@query(f"""WITH {SQL_SCAN} SELECT path, count(*) AS n_results, 1::BIGINT AS n_rules FROM marked GROUP BY path""")
+def scan_sarif_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = jobs.sarif_logs(scan.scan(files(spark, sf_dir)))
+    run = lambda p: F.get_json_object("log", f"$.runs[0].{p}")
+    return logs.select(
+        "path", F.json_array_length(run("results")).cast("long").alias("n_results"), F.json_array_length(run("tool.driver.rules")).cast("long").alias("n_rules")
+    )
+
+
 SQL_TOKENS = r"""toks AS (
   SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*|[^\p{L}\p{N}_\s]'),
     lambda t: replace(lower(t), 'ß', 'ss')) AS w FROM documents
@@ -302,17 +382,77 @@ def detect_tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "effective_tokens", F.round("score", 6).alias("score"), "status")
 
 
-@query()
+SQL_EVIDENCE = f"""{SQL_KGW}, uni AS (
+  SELECT doc_id, len(w) AS n, list_sum(list_transform(w, lambda t: {SQL_GREEN.format("'public-fixture-key' || chr(31) || 'unigram-word-v1' || chr(31) || t")})) AS h FROM toks
+), uz AS (SELECT doc_id, n, CASE WHEN n > 0 THEN (h - 0.25::DOUBLE * n) / sqrt(n * 0.1875::DOUBLE) ELSE 0.0 END AS z FROM uni
+), tv AS (SELECT doc_id, ({SQL_DEPTHS}) / 4 AS g FROM toks, unnest(range(5, len(w) + 1)) AS t(i)
+), ts AS (SELECT doc_id, count(*) AS n, avg(g) AS m FROM tv GROUP BY doc_id
+), tz AS (SELECT d.doc_id, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN (m - 0.5) * sqrt(48.0::DOUBLE * n) ELSE 0.0 END AS z FROM documents d LEFT JOIN ts USING (doc_id))"""
+
+
+@query(f"""WITH {SQL_EVIDENCE}, every AS (
+  SELECT doc_id, 'kgw-word-v1' AS scheme, n, z FROM kz UNION ALL SELECT doc_id, 'unigram-word-v1', n, z FROM uz
+  UNION ALL SELECT doc_id, 'tournament-word-v1', n, z FROM tz)
+SELECT doc_id, scheme, {SQL_STATUS}, round(z, 6) AS score, 4.0::DOUBLE AS threshold, n AS effective_tokens FROM every
+UNION ALL SELECT doc_id, 'vendor-production', 'unsupported', NULL, NULL, NULL FROM documents""")
 def detect_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.evidence(table(spark, sf_dir, "documents"))
-    return found.withColumn("p_value", detect.normal_survival("score"))
+    return detect.evidence(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {SQL_KGW}, st AS (SELECT doc_id, {SQL_STATUS} FROM kz)
-SELECT doc_id, CASE WHEN status = 'detected' THEN 'residual' ELSE 'not_verifiable' END AS verification FROM st""")
+def judged(spark: SparkSession, sf_dir: str, share: float) -> DataFrame:
+    """Evidence by size: a document is detected from LO characters on, and says nothing below 100."""
+    score = F.col("n_chars") * share
+    status = F.when(F.col("n_chars") < 100, "insufficient_evidence").when(score >= LO, "detected").otherwise("not_detected")
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit("size").alias("scheme"), status.alias("status"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN n_chars < 100 THEN 'not_verifiable' WHEN n_chars * 0.5 >= {LO} THEN 'residual'
+  WHEN n_chars >= {LO} THEN 'verified_cleared' ELSE 'not_verifiable' END AS verification FROM documents""")
 def detect_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = scored(spark, sf_dir, "kgw-word-v1").withColumn("scheme", F.lit("kgw-word-v1"))
-    return detect.verify(before, before, calibrated=False, independent=False).select("doc_id", "verification")
+    out = detect.verify(judged(spark, sf_dir, 1.0), judged(spark, sf_dir, 0.5), calibrated=True, independent=True)
+    return out.select("doc_id", "verification")
+
+
+def held_out(spark: SparkSession, sf_dir: str, share: float) -> DataFrame:
+    """Evidence of a primary detector and two verifiers with limits of their own."""
+    rows = None
+    for name, limit in (("primary", LO), ("first", LO), ("second", 3 * LO // 4)):
+        score = F.col("n_chars") * share
+        status = F.when(F.col("n_chars") < 100, "insufficient_evidence").when(score >= limit, "detected").otherwise("not_detected")
+        part = table(spark, sf_dir, "documents").select(
+            "doc_id", F.lit(name).alias("detector"), F.lit("size").alias("scheme"), status.alias("status"), score.alias("score"),
+            F.lit(float(limit)).alias("threshold"), F.lit(">=").alias("operator"), F.lit(None).cast("string").alias("direction"),
+            F.lit(f"{limit:064x}"[:-1] + name[0].replace("p", "a").replace("s", "b")).alias("configuration_sha256"),
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    return session.normalized(rows)
+
+
+@query(f"""SELECT doc_id, CASE WHEN n_chars < 100 OR n_chars < {LO} THEN 'not_verifiable' WHEN n_chars * 0.7 >= {LO} THEN 'residual'
+    WHEN n_chars * 0.7 >= {3 * LO // 4} THEN 'residual' ELSE 'verified' END AS verification,
+  CASE WHEN n_chars < 100 OR n_chars < {LO} THEN 'primary_source_not_detected' WHEN n_chars * 0.7 >= {LO} THEN 'primary_residual'
+    WHEN n_chars * 0.7 >= {3 * LO // 4} THEN 'held_out_residual' END AS reason FROM documents""")
+def detect_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = spark.createDataFrame(
+        [(n, n == "primary", "size", "t", n, True, True) for n in ("primary", "first", "second")],
+        "detector string, primary boolean, scheme string, target_sha256 string, configuration_sha256 string, calibrated boolean, independent boolean",
+    )
+    return session.verify(held_out(spark, sf_dir, 1.0), held_out(spark, sf_dir, 0.7), registry)
+
+
+@query(f"""SELECT doc_id, n_chars >= {LO} AND n_chars >= 100 AS hit, CASE WHEN n_chars >= 100 THEN 'higher' END AS direction,
+  CASE WHEN n_chars >= 100 THEN (n_chars - {LO})::DOUBLE END AS margin FROM documents""")
+def detect_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = held_out(spark, sf_dir, 1.0).where("detector = 'primary'")
+    return rows.select("doc_id", (F.col("status") == "detected").alias("hit"), "direction", "margin")
+
+
+@query(f"SELECT doc_id, (n_chars >= {LO}) <> (doc_id % 2 = 0) AS mismatch FROM documents")
+def detect_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses told by the parity of the id against scores: contradictions are found."""
+    status = F.when(F.col("doc_id") % 2 == 0, "detected").otherwise("not_detected")
+    rows = table(spark, sf_dir, "documents").select("doc_id", status.alias("status"), F.col("n_chars").cast("double").alias("score"), F.lit(float(LO)).alias("threshold"))
+    return rows.select("doc_id", detect.decision_mismatch().alias("mismatch"))
 
 
 @query(f"WITH {SQL_KGW} SELECT doc_id, n AS effective_tokens, {SQL_STATUS} FROM kz")
@@ -352,7 +492,7 @@ SELECT d.doc_id, CASE WHEN w.n IS NULL THEN 'not_detected' WHEN s.k IS NULL THEN
   CASE WHEN w.n IS NULL THEN 'none' ELSE 'bonferroni_windows' END AS method, coalesce(w.n, 0) AS windows_scored, coalesce(s.k, 0) AS n_spans
 FROM documents d LEFT JOIN w USING (doc_id) LEFT JOIN s USING (doc_id)""")
 def localize_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return localize.localize(table(spark, sf_dir, "documents"), localize.contains_detector(HI), calibrated=True)[1]
+    return localize.localize(table(spark, sf_dir, "documents"), localize.contains_detector(HI), calibrated=True)[1].drop("reason")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -496,10 +636,19 @@ def metrics_paired_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.paired_comparison(obs, "none").select("condition", "wins", "losses")
 
 
-@query()
+@query(f"""WITH {SQL_OBS}, pr AS (
+  SELECT o.condition, o.cluster_id, avg(o.success::INT) AS s, avg(n.success::INT) AS c
+  FROM obs o JOIN obs n ON n.sample_id = o.sample_id AND n.condition = 'none' AND o.condition <> 'none' GROUP BY ALL),
+w AS (SELECT condition, count_if(s > c)::BIGINT AS wins, count_if(s < c)::BIGINT AS losses FROM pr GROUP BY condition),
+k AS (SELECT *, wins + losses AS n, least(wins, losses) AS k FROM w),
+p AS (SELECT condition, wins, losses, CASE WHEN n = 0 OR k = n // 2 THEN 1.0::DOUBLE ELSE least(1.0, 2 * list_sum(list_transform(range(0, k + 1),
+  lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0))))) END AS p FROM k),
+r AS (SELECT *, row_number() OVER (ORDER BY p, condition) AS i, count(*) OVER () AS m FROM p)
+SELECT condition, wins, losses, round(p, 6) AS p_value, round(max(least(1.0, (m - i + 1) * p)) OVER (ORDER BY i), 6) AS adjusted FROM r""")
 def metrics_sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir).withColumn("success", F.col("success").cast("double"))
-    return metrics.paired_comparison(obs, "none")
+    out = metrics.paired_comparison(obs, "none").withColumns({c: F.round(c, 6) for c in ("p_value", "adjusted")})
+    return out.select("condition", "wins", "losses", "p_value", "adjusted")
 
 
 @query(f"""WITH {SQL_OBS} SELECT condition, count(*) AS attempted, count_if(state = 'accepted') AS accepted, count_if(state = 'failed') AS failed,
@@ -528,19 +677,196 @@ def metrics_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.combine_telemetry(rows, ["source"])
 
 
-@query()
+REPLICATES = 60
+
+
+def sql_weight(parts: str, seed: int = 0) -> str:
+    u = f"(('0x' || substr(sha256('{seed}:' || replicate || ':' || {parts}), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE)"
+    return "(" + " + ".join(f"({u} > {s!r}::DOUBLE)::INT" for s in intervals.STEPS) + ")"
+
+
+def sql_auroc_replicates(rows: str, score: str, parts: str) -> str:
+    """AUROC by lang and replicate of rows(lang, source, positive, ``score``)."""
+    return f"""(SELECT lang, replicate, sum(p * (b + 0.5 * n)) / nullif(sum(p) * sum(n), 0) AS value FROM (
+      SELECT *, coalesce(sum(n) OVER (PARTITION BY lang, replicate ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (
+        SELECT lang, replicate, {score} AS s, sum(CASE WHEN positive THEN w ELSE 0 END) AS p, sum(CASE WHEN positive THEN 0 ELSE w END) AS n
+        FROM (SELECT *, {sql_weight(parts)} AS w FROM {rows}, range(1, {REPLICATES + 1}) AS t(replicate)) WHERE w > 0 GROUP BY ALL)) GROUP BY ALL)"""
+
+
+SQL_ENDS = "round(quantile_disc(value, 0.025), 9) AS ci_low, round(quantile_disc(value, 0.975), 9) AS ci_high"
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in ("ci_low", "ci_high")})
+
+
+@query(f"""WITH {SQL_SCORES}, c AS (SELECT lang, source, sum(positive::INT) AS s, count(*) AS n FROM scores GROUP BY lang, source),
+r AS (SELECT *, {sql_weight("source")} AS w FROM c, range(1, {REPLICATES + 1}) AS t(replicate)),
+v AS (SELECT lang, replicate, sum(w * s) / nullif(sum(w * n), 0) AS value FROM r WHERE w > 0 GROUP BY lang, replicate)
+SELECT lang, {SQL_ENDS} FROM v GROUP BY lang""")
 def metrics_cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = scores(spark, sf_dir).withColumn("value", F.col("positive").cast("double"))
-    return metrics.cluster_bootstrap_mean(values, ["lang"], "source")
+    return rounded(intervals.mean_interval(values, ["lang"], "source", REPLICATES))
+
+
+@query(f"""WITH {SQL_SCORES} SELECT lang, {SQL_ENDS} FROM {sql_auroc_replicates("scores", "score", "positive::INT || ':' || source")} WHERE value IS NOT NULL GROUP BY lang""")
+def metrics_auroc_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(intervals.auroc_interval(scores(spark, sf_dir), ["lang"], "source", replicates=REPLICATES))
+
+
+@query(f"""WITH {SQL_SCORES}, p AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN score * 0.5 ELSE score END AS after FROM scores),
+d AS (SELECT lang, replicate, a.value - b.value AS value FROM {sql_auroc_replicates("p", "score", "source")} b
+  JOIN {sql_auroc_replicates("p", "after", "source")} a USING (lang, replicate))
+SELECT lang, {SQL_ENDS} FROM d WHERE value IS NOT NULL GROUP BY lang""")
+def metrics_auroc_delta_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = F.when(F.col("doc_id") % 3 == 0, F.col("score") * 0.5).otherwise(F.col("score"))
+    both = scores(spark, sf_dir).withColumn("before", F.col("score")).withColumn("after", after)
+    return rounded(intervals.auroc_delta_interval(both, ["lang"], "source", replicates=REPLICATES))
+
+
+@query(f"""WITH c AS (SELECT lang, source, sum(CASE WHEN doc_id % 3 = 0 THEN -n_chars * 0.5 ELSE 0 END)::DOUBLE AS s, count(*) AS n FROM documents GROUP BY lang, source),
+r AS (SELECT *, {sql_weight("source")} AS w FROM c, range(1, {REPLICATES + 1}) AS t(replicate)),
+v AS (SELECT lang, replicate, sum(w * s) / nullif(sum(w * n), 0) AS value FROM r WHERE w > 0 GROUP BY lang, replicate)
+SELECT lang, {SQL_ENDS} FROM v GROUP BY lang""")
+def metrics_paired_delta_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_chars").cast("double")
+    both = table(spark, sf_dir, "documents").withColumn("source_id", F.col("source")).select(
+        "lang", "source_id", n.alias("source"), F.when(F.col("doc_id") % 3 == 0, n * 0.5).otherwise(n).alias("candidate")
+    )
+    return rounded(intervals.paired_delta_interval(both, ["lang"], "source_id", replicates=REPLICATES))
+
+
+def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as positives, test nulls and calibration nulls, with a score before and one after."""
+    role = F.when(F.col("positive"), "positive").when(F.col("doc_id") % 2 == 0, "test_null").otherwise("calibration_null")
+    after = F.when(F.col("doc_id") % 3 == 0, F.col("score") * 0.5).otherwise(F.col("score"))
+    return scores(spark, sf_dir).select("doc_id", "lang", "source", role.alias("role"), F.col("score").alias("before"), after.alias("after"))
+
+
+@query(f"""WITH {SQL_SCORES}, r AS (SELECT lang, source, CASE WHEN positive THEN 'positive' WHEN doc_id % 2 = 0 THEN 'test_null' ELSE 'calibration_null' END AS role,
+    score AS before, CASE WHEN doc_id % 3 = 0 THEN score * 0.5 ELSE score END AS after FROM scores),
+c AS (SELECT lang, CASE WHEN count(*) >= 10 AND count(DISTINCT source) >= 10 THEN quantile_disc(before, 0.9) END AS tb,
+  CASE WHEN count(*) >= 10 AND count(DISTINCT source) >= 10 THEN quantile_disc(after, 0.9) END AS ta FROM r WHERE role = 'calibration_null' GROUP BY lang),
+g AS (SELECT r.lang, any_value(tb) AS tb, any_value(ta) AS ta, count_if(role = 'positive') AS np, count_if(role = 'test_null') AS nn,
+  count(DISTINCT CASE WHEN role = 'test_null' THEN source END) AS nc,
+  count_if(role = 'positive' AND before > tb) AS pb, count_if(role = 'positive' AND after > ta) AS pa,
+  count_if(role = 'test_null' AND before > tb) AS fb, count_if(role = 'test_null' AND after > ta) AS fa,
+  count_if(role = 'positive' AND before > tb AND NOT after > ta) AS cl, count_if(role = 'test_null' AND NOT before > tb AND after > ta) AS fi
+  FROM r LEFT JOIN c USING (lang) WHERE role <> 'calibration_null' GROUP BY r.lang),
+e AS (SELECT *, tb IS NOT NULL AND ta IS NOT NULL AND nn >= 10 AND nc >= 10 AND np > 0 AS ok FROM g)
+SELECT lang, ok AS estimable, tb AS threshold_before, ta AS threshold_after, np AS positive_samples, nn AS test_null_samples, nc AS test_null_clusters,
+  CASE WHEN ok THEN round(pb / np, 9) END AS tpr_before, CASE WHEN ok THEN round(pa / np, 9) END AS tpr_after,
+  CASE WHEN ok THEN round(fb / nn, 9) END AS test_fpr_before, CASE WHEN ok THEN round(fa / nn, 9) END AS test_fpr_after,
+  CASE WHEN ok THEN cl END AS cleared, CASE WHEN ok THEN fi END AS false_inserted FROM e""")
+def metrics_fixed_fpr_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluation.fixed_fpr_report(cohort(spark, sf_dir), 0.1, ["lang"], "source")
+    shares = ("tpr_before", "tpr_after", "test_fpr_before", "test_fpr_after")
+    names = ("estimable", "threshold_before", "threshold_after", "positive_samples", "test_null_samples", "test_null_clusters")
+    return out.withColumns({c: F.round(c, 9) for c in shares}).select("lang", *names, *shares, "cleared", "false_inserted")
+
+
+@query(f"""WITH {SQL_SCORES}, r AS (SELECT lang, score > {LO} AS b, score * 0.5 > {LO} AS a, doc_id % 5 <> 0 AS q,
+  CASE doc_id % 4 WHEN 0 THEN 'failed' ELSE 'accepted' END AS state FROM scores)
+SELECT lang, count(*) AS attempted, count_if(b) AS initially_detected, count_if(b AND NOT a AND q AND state = 'accepted') AS successes FROM r GROUP BY lang""")
+def metrics_composite_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.when(F.col("doc_id") % 4 == 0, "failed").otherwise("accepted")
+    rows = scores(spark, sf_dir).select(
+        "lang", (F.col("score") > LO).alias("source_flag"), (F.col("score") * 0.5 > LO).alias("candidate_flag"), state.alias("state"),
+        (F.col("doc_id") % 5 != 0).alias("quality"),
+    )
+    return evaluation.composite_success(rows, ["lang"]).select("lang", "attempted", "initially_detected", "successes")
+
+
+def study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of labelled documents by two detectors, in the registry's schema, with up to three attempts each."""
+    rows = scores(spark, sf_dir).withColumn("detector_id", F.explode(F.array(F.lit("d1"), F.lit("d2"))))
+    n = F.col("doc_id") % 3 + 1
+    last = F.when(F.col("doc_id") % 4 == 0, "failed").otherwise("accepted")
+    history = F.transform(
+        F.sequence(F.lit(1).cast("long"), n),
+        lambda i: F.struct(
+            i.cast("int").alias("attempt_index"), F.when(i == n, last).otherwise("abstained").alias("state"),
+            F.when((i == n) & (last == "failed"), "timeout").alias("error_class"),
+        ),
+    )
+    return rows.select(
+        F.col("doc_id").alias("sample_id"), "detector_id", F.lit("c").alias("condition_id"),
+        F.when(F.col("detector_id") == "d1", F.col("score")).otherwise(F.col("score") + 100).alias("source_score"),
+        (F.col("score") * 0.5).alias("candidate_score"), last.alias("transformation_state"),
+        (F.col("doc_id") % 5 != 0).alias("quality_gate_passed"), F.lit(True).alias("task_check_passed"),
+        F.when(last == "failed", "timeout").alias("error_class"),
+        F.when(F.col("doc_id") % 2 == 0, history).alias("attempt_history"),
+        F.struct(
+            F.lit(1.0).alias("wall_time_seconds"), F.col("doc_id").alias("peak_rss_bytes"), F.lit(1).alias("remote_queries"), F.lit(2).alias("generated_tokens")
+        ).alias("telemetry"),
+    )
+
+
+@query(f"""WITH {SQL_SCORES}, o AS (SELECT doc_id, d, CASE WHEN doc_id % 2 = 0 THEN doc_id % 3 + 1 ELSE 1 END AS n, doc_id % 4 = 0 AS bad,
+  (CASE WHEN d = 'd1' THEN score ELSE score + 100 END) > {LO} AND NOT score * 0.5 > {LO} AND doc_id % 5 <> 0 AND doc_id % 4 <> 0 AS won
+  FROM scores, (VALUES ('d1'), ('d2')) AS t(d))
+SELECT d AS detector_id, sum(n)::BIGINT AS attempts, count_if(won) AS successes, count_if(bad) AS failed FROM o GROUP BY d""")
+def metrics_attempt_successes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = {"source_threshold": F.lit(LO), "candidate_threshold": F.lit(LO), "source_operator": ">", "candidate_operator": ">", "direction": "higher"}
+    rows = evaluation.attempt_successes(study(spark, sf_dir), **limits)
+    return rows.groupBy("detector_id").agg(
+        F.count("*").alias("attempts"), F.count_if("success").alias("successes"), F.count_if(F.col("state") == "failed").alias("failed")
+    )
+
+
+@query(f"""WITH {SQL_SCORES}, t AS (SELECT quantile_disc(score, 0.9) AS b1, quantile_disc(score + 100, 0.9) AS b2, quantile_disc(score * 0.5, 0.9) AS a
+  FROM scores WHERE NOT positive AND doc_id % 2 = 1),
+r AS (SELECT doc_id, 'd1' AS d, score > b1 AS b, score * 0.5 > a AS a, positive FROM scores, t WHERE positive OR doc_id % 2 = 0
+  UNION ALL SELECT doc_id, 'd2', score + 100 > b2, score * 0.5 > a, positive FROM scores, t WHERE positive OR doc_id % 2 = 0)
+SELECT d AS detector_id, count_if(positive) AS positive_samples, count_if(NOT positive) AS test_null_samples, count_if(positive AND b) AS detected,
+  count_if(positive AND b AND NOT a) AS cleared, round(count_if(NOT positive AND a) / count_if(NOT positive), 9) AS test_fpr_after FROM r GROUP BY d""")
+def metrics_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = scores(spark, sf_dir).select(
+        F.col("doc_id").alias("sample_id"), F.col("doc_id").alias("cluster_id"),
+        F.when(~F.col("positive") & (F.col("doc_id") % 2 == 1), "calibration").otherwise("final_test").alias("split"),
+        F.when(F.col("positive"), "positive").otherwise("null").alias("cohort"), F.lit("t").alias("task"), F.col("lang").alias("language"),
+        F.lit("b").alias("length_bin"), F.lit("k").alias("key_fingerprint"),
+    )
+    out = evaluation.aggregate_observations(study(spark, sf_dir), facts, 0.1)["paired"]
+    names = ("positive_samples", "test_null_samples", "detected", "cleared")
+    return out.select("detector_id", *names, F.round("test_fpr_after", 9).alias("test_fpr_after"))
+
+
+@query(f"""WITH {SQL_SCORES} SELECT doc_id AS sample_id, score > {LO} AS source_flag, score * 0.5 > {LO} AS candidate_flag,
+  CASE WHEN positive THEN 'positive' ELSE 'null' END || '_' || CASE WHEN score > {LO} THEN 'flagged' ELSE 'clear' END || '_'
+  || CASE WHEN score * 0.5 > {LO} THEN 'flagged' ELSE 'clear' END AS outcome FROM scores""")
+def metrics_score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scores(spark, sf_dir).select(
+        F.col("doc_id").alias("sample_id"), F.lit("size").alias("detector"), F.when(F.col("positive"), "positive").otherwise("null").alias("cohort"),
+        F.col("score").alias("source_score"), (F.col("score") * 0.5).alias("candidate_score"), F.lit("accepted").alias("state"),
+    )
+    return evaluation.score_table(rows, LO, LO).select("sample_id", "source_flag", "candidate_flag", "outcome")
+
+
+@query("""WITH h AS (SELECT source, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '"}') AS h FROM documents),
+p AS (SELECT source, count(*) AS n, sum(('0x' || substr(h, 1, 16))::UBIGINT::HUGEINT) AS a, sum(('0x' || substr(h, 17, 16))::UBIGINT::HUGEINT) AS b,
+  sum(('0x' || substr(h, 33, 16))::UBIGINT::HUGEINT) AS c, sum(('0x' || substr(h, 49, 16))::UBIGINT::HUGEINT) AS d FROM h GROUP BY source)
+SELECT source, n, sha256(n || ':' || a || ':' || b || ':' || c || ':' || d) AS digest FROM p""")
+def protocol_score_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return protocol.score_table_digest(table(spark, sf_dir, "documents"), ["source"], ["lang", "doc_id"])
+
+
+@query("""SELECT source, list_sort(list_distinct(list(b))) AS observed FROM (
+  SELECT source, CASE WHEN n_chars < 64 THEN 'under_64' WHEN n_chars < 128 THEN '64_127' WHEN n_chars < 256 THEN '128_255' WHEN n_chars < 512 THEN '256_511' ELSE '512_up' END AS b
+  FROM documents) GROUP BY source""")
+def protocol_covered_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("source", protocol.length_bin(F.col("n_chars")).alias("length_bin"))
+    return evaluation.covered_bins(rows, ["source"]).select("source", "observed")
 
 
-@query(f"""WITH strengths AS (SELECT doc_id % 4 + 1 AS strength, n_chars AS score FROM documents WHERE doc_id % 5 = 0),
-t AS (SELECT quantile_disc(n_chars, 0.9) AS q FROM documents WHERE doc_id % 5 = 1)
+@query(f"""WITH strengths AS (SELECT (doc_id // 2) % 4 + 1 AS strength, n_chars AS score FROM documents WHERE doc_id % 2 = 0),
+t AS (SELECT quantile_disc(n_chars, 0.9) AS q FROM documents WHERE doc_id % 2 = 1)
 SELECT min(strength) AS strength FROM (SELECT strength FROM strengths, t GROUP BY strength HAVING avg((score > q)::INT) >= 0.05)""")
 def metrics_select_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document has a part: nulls are the odd ids, the even ones are graded by four strengths."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("score"))
-    graded = docs.where("doc_id % 5 = 0").select((F.col("doc_id") % 4 + 1).alias("strength"), "score")
-    return metrics.select_strength(graded, docs.where("doc_id % 5 = 1"), 0.1, 0.05)
+    graded = docs.where("doc_id % 2 = 0").select((F.floor(F.col("doc_id") / 2) % 4 + 1).alias("strength"), "score")
+    return metrics.select_strength(graded, docs.where("doc_id % 2 = 1"), 0.1, 0.05)
 
 
 @query("""WITH r AS (SELECT doc_id AS unit, (n_chars + k * (doc_id % 3)) % 5 + 1 AS rating FROM documents, (VALUES (0), (1), (2)) AS t(k)),
@@ -595,11 +921,11 @@ def protocol_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SQL_SAMPLES} SELECT s.cluster_id, l.language, b.length_bin FROM (SELECT DISTINCT cluster_id FROM samples) s,
-  (SELECT DISTINCT language FROM samples) l, (SELECT DISTINCT length_bin FROM samples) b
+  (VALUES ('de'), ('en'), ('es'), ('fr')) AS l(language), (VALUES ('under_64'), ('64_127'), ('128_255'), ('256_511'), ('512_up')) AS b(length_bin)
 EXCEPT SELECT DISTINCT cluster_id, language, length_bin FROM samples""")
 def protocol_missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, names = samples(spark, sf_dir), ["cluster_id", "language", "length_bin"]
-    return protocol.missing_cells(rows, names, {n: rows for n in names})
+    rows, bins = samples(spark, sf_dir), [name for name, *_ in protocol.LENGTH_BINS]
+    return protocol.missing_cells(rows, rows.select("cluster_id"), {"language": ["de", "en", "es", "fr"], "length_bin": bins})
 
 
 @query(f"""WITH {SQL_SAMPLES} SELECT sample_id FROM samples WHERE sample_id NOT IN (SELECT doc_id FROM labels)""")
@@ -693,13 +1019,55 @@ def span_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select_top(token_scores(spark, sf_dir), 0.3).select("doc_id", "token_id", "start", "end")
 
 
-@query(f"""WITH {SQL_WORDS} SELECT doc_id, count(*) AS n_tokens, round(avg(bits), 2) AS mean_bits, round(avg((bits >= 8.0)::INT), 2) AS heavy_share FROM toks GROUP BY doc_id""")
+@query(f"""WITH {SQL_WORDS} SELECT doc_id, count(*) AS n_tokens, round_even(avg(bits), 3) AS mean_bits, round_even(avg((bits >= 8.0)::INT), 3) AS heavy_share FROM toks GROUP BY doc_id""")
 def span_score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = token_scores(spark, sf_dir)
-    return rows.groupBy("doc_id").agg(
-        F.count("*").alias("n_tokens"), F.round(F.avg("surprisal_bits"), 2).alias("mean_bits"),
-        F.round(F.avg((F.col("surprisal_bits") >= 8.0).cast("double")), 2).alias("heavy_share"),
-    )
+    return spans.score_summary(token_scores(spark, sf_dir))
+
+
+@query(f"""WITH {SQL_WORDS}, g AS (SELECT doc_id, token_id, bits, row_number() OVER (PARTITION BY doc_id ORDER BY bits) - 1 AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM toks),
+c AS (SELECT doc_id, max(CASE WHEN r = least(n - 1, floor(n * 0.9)) THEN bits END) AS cut FROM g GROUP BY doc_id)
+SELECT DISTINCT doc_id, token_id FROM g JOIN c USING (doc_id) WHERE bits >= cut""")
+def span_green_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strategies.estimate_green(token_scores(spark, sf_dir), 0.9)
+
+
+@query(f"""WITH {SQL_TOP}, isl AS (SELECT doc_id, token_id, start, "end", token_id - row_number() OVER (PARTITION BY doc_id ORDER BY token_id) AS g FROM top),
+m AS (SELECT doc_id, max("end") - min(start) AS n FROM isl GROUP BY doc_id, g), c AS (SELECT doc_id, count(*) AS k, sum(n) AS n FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_blanks, (length(text) - coalesce(n, 0) + 7 * coalesce(k, 0))::BIGINT AS n_chars FROM documents d LEFT JOIN c USING (doc_id)""")
+def span_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    merged = spans.merge(spans.select_top(token_scores(spark, sf_dir), 0.3), spans.word_spans(docs))
+    out = spans.template(docs.select("doc_id", "text"), merged)
+    return out.select("doc_id", F.col("n_blanks").cast("long").alias("n_blanks"), F.length("template").cast("long").alias("n_chars"))
+
+
+def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that begin with a sentence of the lexicon's words."""
+    text = F.concat(F.lit("However, they Utilize NUMEROUS tools; perhaps iPad approximately. "), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+@query("""SELECT doc_id, e.rank, e.original, e.replacement FROM documents, (VALUES (1, 'NUMEROUS', 'MANY'), (2, 'Utilize', 'Use'), (3, 'perhaps', 'maybe')) AS e(rank, original, replacement)""")
+def strategy_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A signal on one word: its own replacement comes first, then those of words two away, by size and place."""
+    texts = lexical(spark, sf_dir)
+    signal = texts.select(
+        "doc_id", F.lit(22).alias("start"), F.lit(30).alias("end"), F.lit(5.0).alias("score"), F.lit(0.01).alias("p_value"), F.lit(4.0).alias("threshold")
+    )
+    found = strategies.ranked_edits(texts, signal)
+    return found.select("doc_id", "rank", "original", "replacement")
+
+
+@query("""SELECT doc_id, i AS candidate_index, n AS n_edits, sha256('However, they ' || u || ' ' || m || ' tools; ' || p || ' iPad approximately. ' || text) AS digest
+FROM documents, (VALUES (0, 1, 'Utilize', 'MANY', 'perhaps'), (1, 2, 'Use', 'MANY', 'perhaps'), (2, 3, 'Use', 'MANY', 'maybe'), (3, 1, 'Use', 'NUMEROUS', 'perhaps'),
+  (4, 1, 'Utilize', 'NUMEROUS', 'maybe'), (5, 2, 'Utilize', 'MANY', 'maybe'), (6, 2, 'Use', 'NUMEROUS', 'maybe')) AS t(i, n, u, m, p)""")
+def strategy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = lexical(spark, sf_dir)
+    signal = texts.select(
+        "doc_id", F.lit(22).alias("start"), F.lit(30).alias("end"), F.lit(5.0).alias("score"), F.lit(0.01).alias("p_value"), F.lit(4.0).alias("threshold")
+    )
+    out = strategies.candidates(texts, signal)
+    return out.select("doc_id", "candidate_index", "n_edits", F.sha2(F.col("candidate").cast("binary"), 256).alias("digest"))
 
 
 @query(f"""WITH {SQL_TOP}, isl AS (SELECT doc_id, token_id, start, "end", token_id - row_number() OVER (PARTITION BY doc_id ORDER BY token_id) AS g FROM top)

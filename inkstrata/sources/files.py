@@ -13,12 +13,23 @@ EXTENSIONS = (".txt", ".md", ".py", ".js", ".ts", ".json", ".csv", ".html", ".xm
 def text_files(
     spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, exclude: tuple[str, ...] = (), most_bytes: int = 2_000_000
 ) -> DataFrame:
-    """Text files below a folder: path, text, error. Files over the limit are left out; bad UTF-8 is an error row."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    wanted = raw.where(scan.selected(F.col("path"), extensions, list(exclude)) & (F.col("length") <= most_bytes))
+    """Text files below a folder: path, text, error.
+
+    A file over the limit, or one that is not UTF-8, is a row with an error and
+    without text; the contents of files over the limit are never read.
+    """
+    fields = "path string, modificationTime timestamp, length long, content binary"
+    raw = spark.read.format("binaryFile").schema(fields).option("recursiveFileLookup", True).load(root)
+    wanted = raw.where(scan.selected(F.col("path"), extensions, list(exclude)))
+    large = wanted.where(F.col("length") > most_bytes).select(
+        "path", F.lit(None).cast("string").alias("text"), F.lit("over the size limit").alias("error")
+    )
     text = F.col("content").cast("string")
     valid = F.is_valid_utf8(text)
-    return wanted.select("path", F.when(valid, text).alias("text"), F.when(~valid, "not valid UTF-8").alias("error"))
+    read = wanted.where(F.col("length") <= most_bytes).select(
+        "path", F.when(valid, text).alias("text"), F.when(~valid, "not valid UTF-8").alias("error")
+    )
+    return read.unionByName(large)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str = "doc_id long, text string") -> DataFrame:
