@@ -260,3 +260,25 @@ def sample(documents: DataFrame, max_repeats: int = 3, seed: int = 17) -> DataFr
     copies = F.col(repeats) + (F.col(turn) <= F.col(once)).cast("long")
     again = again.select(f"{turn}row.*", copies.cast("int").alias("copies")).where(F.col("copies") > 0)
     return single.unionByName(again)
+
+
+#: Sizes and targets in DuckDB SQL: each round caps the sources above their limit and shares the rest by weight.
+ORACLE_TARGETS = r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), sizes AS (
+  SELECT source, sum(size)::BIGINT AS s, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM sized GROUP BY source
+), walk(i, source, s, w, capped) AS (
+  SELECT 0, source, s, w, false FROM sizes
+  UNION ALL
+  SELECT i + 1, source, s, w, capped OR w * level > 3 * s + 1e-9 FROM (
+    SELECT *, (sum(s) OVER () - sum(CASE WHEN capped THEN 3 * s ELSE 0 END) OVER ())::DOUBLE
+      / nullif(sum(CASE WHEN capped THEN 0 ELSE w END) OVER (), 0) AS level FROM walk
+  ) WHERE i < (SELECT count(*) FROM sizes)
+), last AS (SELECT * FROM walk WHERE i = (SELECT count(*) FROM sizes)
+), targets AS (
+  SELECT source, s, CASE WHEN capped THEN 3.0 * s ELSE w * (sum(s) OVER () - sum(CASE WHEN capped THEN 3 * s ELSE 0 END) OVER ())::DOUBLE
+    / nullif(sum(CASE WHEN capped THEN 0 ELSE w END) OVER (), 0) END AS target FROM last
+)
+SELECT doc_id, size, s AS source_size, round(target::DOUBLE, 4) AS target FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+"""

@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
     cdc_dedup,
@@ -71,6 +72,23 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.matches(table(spark, sf_dir, "documents"))
 
 
+def contract_op4_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that its rules fix: sizes and targets."""
+    return op4_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def contract_op5_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that its rules fix and SQL can count."""
+    return op5_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def contract_op7_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7 that its rules fix, and that no document is kept that they fail."""
+    out = op7_quality_rules(spark, sf_dir)
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return out.select("doc_id", *base, (F.col("kept") & F.col("base_failed")).alias("kept_though_failed"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -83,6 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_prob_minhash": op8_prob_minhash,
         "op9_cdc_dedup": op9_cdc_dedup,
         "op10_suffix_array": op10_suffix_array,
+        "contract_op4_targets": contract_op4_targets,
+        "contract_op5_base": contract_op5_base,
+        "contract_op7_base": contract_op7_base,
     }
 
 
@@ -90,4 +111,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filters": url_filters.ORACLE,
         "op6_decontaminate": decontaminate.ORACLE,
+        "contract_op4_targets": mixing.ORACLE_TARGETS,
+        "contract_op5_base": secret_scan.ORACLE_BASE,
+        "contract_op7_base": quality_rules.ORACLE_BASE,
     }

@@ -346,3 +346,13 @@ def redact(documents: DataFrame, column: str = "text", length_column: str = "n_c
     spans = store.fresh(columns, "spans")
     named = found.select(*inner, "spans").toDF(*columns, spans)
     return named.mapInArrow(redactor(column, length_column, spans), documents.schema)
+
+
+#: How many base spans of each kind there are, in DuckDB SQL.
+ORACLE_BASE = r"""
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access,
+  len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
