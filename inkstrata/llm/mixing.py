@@ -40,6 +40,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 #: Documents of one source and size per hash range, about.
 RANGE_ROWS = 2000
+#: Parts that documents of one source and size are dealt into when they meet their plan.
+SALTS = 16
 #: Remaining budget that is left to dynamic programming (or less than one document, if that is more).
 TABLE_WORDS = 1 << 15
 
@@ -141,19 +143,19 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
 
 
 def plan(histogram: DataFrame) -> DataFrame:
-    """``extra``, the documents to take once more, for each row (source, size, n, target, source_size)."""
+    """Adds ``repeats`` and ``extra``, the documents to take once more, to each row (source, size, n, source_size, target)."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         total = int(rows.source_size.iloc[0])
         repeats = int(rows.target.iloc[0] // total)
         budget = int(round(rows.target.iloc[0] - repeats * total))
         extra = fit_budget(rows["size"].to_numpy(), rows.n.to_numpy(), min(budget, total))
-        return rows[["source", "size", "n"]].assign(repeats=repeats, extra=extra)
+        return rows[["source", "size", "n", "source_size", "target"]].assign(repeats=repeats, extra=extra)
 
     return (
         histogram.where("size > 0")
         .groupBy("source")
-        .applyInPandas(one, "source string, size long, n long, repeats long, extra long")
+        .applyInPandas(one, "source string, size long, n long, source_size long, target double, repeats long, extra long")
     )
 
 
@@ -166,11 +168,19 @@ def choose(sized: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
     """
     key = F.xxhash64(F.lit(seed), F.col("row_key"))
     ranges = F.greatest(F.lit(1), F.floor(F.col("n") / RANGE_ROWS)).cast("long")
+    # Both tables grow with the corpus, so they are merged; a size that many documents share is dealt by salt.
+    salted = sized.where("size > 0").withColumn("salt", F.pmod("row_key", F.lit(SALTS)).cast("int"))
+    copies = planned.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    same = salted.source.eqNullSafe(copies.source_) & (salted["size"] == copies.size_) & (salted.salt == copies.salt_)
     dealt = store.shelve(
-        sized.where("size > 0")
-        .join(planned, sized.source.eqNullSafe(planned.source_) & (sized["size"] == planned.size_))
-        .select(
-            *sized.columns, "repeats", "extra", key.alias("key"), F.pmod(F.shiftrightunsigned(key, 20), ranges).alias("range")
+        salted.join(copies, same).select(
+            *sized.columns,
+            "repeats",
+            "extra",
+            "source_size",
+            "target",
+            key.alias("key"),
+            F.pmod(F.shiftrightunsigned(key, 20), ranges).alias("range"),
         ),
         "dealt",
     )
@@ -189,7 +199,7 @@ def choose(sized: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
         "cuts",
     )
     met = dealt.join(
-        cuts,
+        cuts.hint("merge"),
         dealt.source.eqNullSafe(cuts.source_) & (dealt["size"] == cuts.size_) & (dealt.range == cuts.range_),
         "left",
     )
@@ -198,7 +208,7 @@ def choose(sized: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
     split = met.where("within is not null").withColumn("once", some)
     whole = F.when(F.col("range_").isNotNull(), F.col("rows")).otherwise(0)
     rest = met.where("within is null").withColumn("once", whole)
-    columns = [*sized.columns, "repeats", "once"]
+    columns = [*sized.columns, "repeats", "once", "source_size", "target"]
     return split.select(*columns).unionByName(rest.select(*columns))
 
 
@@ -219,13 +229,13 @@ def drawn(documents: DataFrame, max_repeats: int, seed: int) -> DataFrame:
     targets = store.shelve(fit_targets(sizes, max_repeats), "targets")
     aimed = targets.select(F.col("source").alias("source_"), "source_size", "target")
     planned = store.shelve(
-        plan(histogram.join(aimed, histogram.source.eqNullSafe(aimed.source_)).drop("source_")), "planned"
+        plan(histogram.join(aimed.hint("merge"), histogram.source.eqNullSafe(aimed.source_)).drop("source_")), "planned"
     )
     chosen = choose(sized, planned.withColumnsRenamed({"source": "source_", "size": "size_"}), seed)
     store.discard(histogram, planned)
     none = F.lit(0).cast("long")
-    every = chosen.unionByName(sized.where("size = 0").select("*", none.alias("repeats"), none.alias("once")))
-    return every.join(aimed, every.source.eqNullSafe(aimed.source_)).drop("source_")
+    empty = sized.where("size = 0").select("*", none.alias("repeats"), none.alias("once"))
+    return chosen.unionByName(empty.join(aimed.hint("merge"), empty.source.eqNullSafe(aimed.source_)).drop("source_"))
 
 
 def mix(documents: DataFrame, max_repeats: int = 3, seed: int = 17) -> DataFrame:
