@@ -341,3 +341,18 @@ def claim_eligibility(records: DataFrame) -> DataFrame:
     return records.groupBy("claim_id").agg(listed.alias("qualifying")).withColumns(
         {c: F.lit(False) for c in ("verified_claim_eligible", "public_claim_eligible")}
     )
+
+
+def blinded_packet(pairs: DataFrame, seed: str, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What reviewers see, and the key that they do not: pairs(pair_id, source, candidate).
+
+    The packet has an assignment id that tells nothing, and both sides in an order
+    by hash, as digests, or as texts if that is allowed. The key joins it back.
+    """
+    placed = protocol.blinded_order(pairs, seed)
+    name = F.substring(F.sha2(F.concat_ws("\x1f", F.lit("assignment"), F.lit(seed), F.col("pair_id").cast("string")).cast("binary"), 256), 1, 24)
+    side = lambda first: F.when(F.col("first_is_source") == first, F.col("source")).otherwise(F.col("candidate"))
+    rows = placed.select(name.alias("assignment_id"), "pair_id", "first_is_source", side(True).alias("a"), side(False).alias("b"))
+    shown = {f"{c}_sha256": F.sha2(F.col(c).cast("binary"), 256) for c in "ab"}
+    packet = rows.withColumns(shown).select("assignment_id", *shown, *(["a", "b"] if with_text else []))
+    return packet, rows.select("assignment_id", "pair_id", "first_is_source")

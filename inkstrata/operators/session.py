@@ -272,3 +272,11 @@ def claim_problems(registry: DataFrame) -> DataFrame:
     )
     found = F.filter(F.array(*[F.when(test, why) for test, why in rules]), lambda x: x.isNotNull())
     return registry.select("detector", F.explode(found).alias("problem"))
+
+
+VECTORS = "name string, scheme string, text string, expected_status string, expected_score double, expected_effective_tokens int"
+
+
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """Vectors from JSON lines; a record that does not read as one stops the load."""
+    return spark.read.schema(VECTORS).option("mode", "FAILFAST").json(path)

@@ -34,6 +34,12 @@ def chunk(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, F.array(text)).otherwise(F.aggregate(pieces, start, step, end))
 
 
+def split(text: Column, most: int, cutter=None) -> Column:
+    """Chunks by ``cutter`` (text and size to an array), or the built-in ones; null where they do not make the text again."""
+    parts = (cutter or chunk)(text, most)
+    return F.when(F.array_join(parts, "") == text, parts)
+
+
 def unprotected(token: Column) -> Column:
     """Tokens that may be selected: with a letter and without a digit."""
     return token.rlike(r"\p{L}") & ~token.rlike(r"\p{Nd}")

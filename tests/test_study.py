@@ -15,11 +15,13 @@ from inkstrata.operators import (
     bundles,
     detect,
     evaluation,
+    gates,
     intervals,
     jobs,
     localize,
     metrics,
     quality,
+    removal,
     sanitize,
     scan,
     session,
@@ -436,3 +438,73 @@ def test_engine(spark):
     shapes = engine.schemas()
     assert e.sanitize(texts).schema.simpleString() == shapes["sanitized"].simpleString()
     assert e.detect(texts).count() == 6 and quality.evaluate is not None
+
+
+# Gates and the whole way ---------------------------------------------------------------------
+
+
+def test_gates(spark):
+    import pandas as pd
+
+    pairs = spark.createDataFrame(
+        [(1, "one two three", "one two three"), (2, "has 5 items", "has items now"), (3, "a b c low", "a b c low"), (4, "a b c odd", "a b c odd")],
+        "doc_id long, source string, candidate string",
+    )
+    seen = gates.Gate("first", lambda f: pd.DataFrame({"score": [0.1 if "low" in c else 7.0 if "odd" in c else 0.9 for c in f.candidate], "items": 3}), 0.5)
+    second = gates.Gate("second", lambda f: pd.DataFrame({"score": 0.2, "items": [2] * len(f)}), 0.5, required=False)
+    out = {r.doc_id: r for r in gates.evaluate_candidate(pairs, [seen, second]).collect()}
+    assert {k: r.outcome for k, r in out.items()} == {1: "passed", 2: "rejected", 3: "rejected", 4: "abstained"}
+    assert [d.decision for d in out[1].decisions] == ["passed", "failed"] and [d.decision for d in out[3].decisions] == ["failed", "skipped"]
+
+    def broken(frame):
+        raise RuntimeError("offline")
+
+    out = {r.doc_id: r.outcome for r in gates.evaluate_candidate(pairs, [gates.Gate("x", broken, 0.5)]).collect()}
+    assert out == {1: "abstained", 2: "rejected", 3: "abstained", 4: "abstained"}
+    with pytest.raises(ValueError):
+        gates.evaluate_candidate(pairs, [gates.Gate("Bad name", broken, 2.0)])
+    assert gates.deterministic_pass(pairs).where("passed").count() == 3
+    vectors = lambda texts: pd.DataFrame({"x": [float(len(t)) for t in texts], "y": 1.0})
+    assert gates.similarity(pairs, "doc_id", vectors).where("abs(cosine - 1) < 1e-9").count() == 3
+    assert gates.similarity(pairs, "doc_id").where("method = 'words'").count() == 4
+    found = gates.outside_detector("x", lambda t: pd.DataFrame({"score": [None if "odd" in x else float(len(x)) for x in t], "p_value": 0.5}), 12.0)
+    got = {r.doc_id: r.status for r in found(pairs, "source").collect()}
+    assert got == {1: "detected", 2: "not_detected", 3: "not_detected", 4: "detector_error"}
+
+
+def test_removal_and_profiles(spark):
+    texts = spark.createDataFrame([(1, "he\u200bllo to all of the world"), (2, None), (3, "we meet at 5 today in town")], TEXTS)
+    plain = {r.doc_id: r for r in removal.remove(texts).collect()}
+    assert plain[1].text == "hello to all of the world" and plain[1].outcome == "sanitized" and plain[2].error == "no text" and plain[1].receipt.n_edits == 1
+    found = localize.contains_detector("hello")
+    rewrite = lambda d: d.withColumn("candidate", F.regexp_replace(F.replace("text", F.lit("hello"), F.lit("greetings")), "5 ", ""))
+    out = {r.doc_id: r for r in removal.remove(texts, rewrite=rewrite, detector=found).collect()}
+    assert out[1].outcome == "rewritten" and out[1].receipt.detector_before == "not_detected" and out[1].receipt.detector_after == "not_detected"
+    assert out[3].outcome == "rewrite_rejected" and out[3].text == "we meet at 5 today in town" and out[2].outcome == "refused"
+    profile = removal.build_profile("p", "d", ["v"], ["s"], {"rounds": 1, "beam": 2})
+    assert removal.profile_problems(profile, ("d", "v", "s")) == []
+    assert len(removal.profile_problems(profile | {"detector": "v"}, ("d", "v"))) == 3
+    marked = spark.createDataFrame([(1, "People often meet here and they utilize tools every day of the long week.")], TEXTS)
+    hit = localize.contains_detector("utilize")
+
+    def edits(rows):
+        at = F.locate("utilize", F.col("text")) - 1
+        signal = rows.where(at >= 0).select("doc_id", at.alias("start"), (at + 7).alias("end"), F.lit(5.0).alias("score"), F.lit(0.01).alias("p_value"), F.lit(4.0).alias("threshold"))
+        return strategies.candidates(rows, signal)
+
+    parts = {"d": hit, "v": localize.contains_detector("utilize"), "s": edits}
+    assert removal.mitigate_with_profile(marked, profile, parts, consent=True).first().outcome == "cleared"
+    with pytest.raises(PermissionError):
+        removal.mitigate_with_profile(marked, profile, parts)
+    packet, key = evaluation.blinded_packet(spark.createDataFrame([(1, "a", "b")], "pair_id long, source string, candidate string"), "s")
+    assert packet.columns == ["assignment_id", "a_sha256", "b_sha256"] and key.join(packet, "assignment_id").count() == 1
+    cut = marked.select(spans.split(F.col("text"), 20).alias("c"), spans.split(F.col("text"), 20, lambda t, n: F.array(F.substring(t, 1, n))).alias("d")).first()
+    assert "".join(cut.c) == marked.first().text and cut.d is None
+
+
+def test_vectors_are_read_strictly(spark, tmp_path):
+    (tmp_path / "v.json").write_text('{"name":"n","scheme":"s","text":"t","expected_status":"detected","expected_score":1.0,"expected_effective_tokens":3}\n')
+    assert session.load_vectors(spark, str(tmp_path / "v.json")).first().expected_score == 1.0
+    (tmp_path / "w.json").write_text("{broken\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        session.load_vectors(spark, str(tmp_path / "w.json")).collect()
