@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import (
@@ -576,11 +576,13 @@ def metrics_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SQL_SCORES}, s AS (SELECT source, count(*) AS n, count_if(positive) AS k FROM scores GROUP BY source)
-SELECT source, round(greatest(0.0, (k / n + 1.96 * 1.96 / (2.0 * n)) / (1 + 1.96 * 1.96 / n) - 1.96 * sqrt((k / n * (1 - k / n) + 1.96 * 1.96 / (4.0 * n)) / n) / (1 + 1.96 * 1.96 / n)), 6) AS low
+SELECT source, round(greatest(0.0, (k / n + 1.96 * 1.96 / (2.0 * n)) / (1 + 1.96 * 1.96 / n) - 1.96 * sqrt((k / n * (1 - k / n) + 1.96 * 1.96 / (4.0 * n)) / n) / (1 + 1.96 * 1.96 / n)), 6) AS low,
+  round(least(1.0, (k / n + 1.96 * 1.96 / (2.0 * n)) / (1 + 1.96 * 1.96 / n) + 1.96 * sqrt((k / n * (1 - k / n) + 1.96 * 1.96 / (4.0 * n)) / n) / (1 + 1.96 * 1.96 / n)), 6) AS high
 FROM (SELECT source, n::DOUBLE AS n, k::DOUBLE AS k FROM s)""")
 def metrics_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = scores(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.count_if("positive").alias("k"))
-    return counts.select("source", F.round(metrics.wilson(F.col("k"), F.col("n"))[0], 6).alias("low"))
+    low, high = metrics.wilson(F.col("k"), F.col("n"))
+    return counts.select("source", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
 @query(f"""WITH {SQL_SCORES}, p AS (SELECT *, score * 0.9 AS after FROM scores)
@@ -1128,6 +1130,27 @@ def detect_top_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closed_vocabulary.top_attributions(rows, 10).select("doc_id", "token_id", "start", "end")
 
 
+@query(f"""WITH {SQL_WORDS} SELECT doc_id, token_id FROM toks WHERE token_id % 3 = 1 AND token_id > 0""")
+def detect_overlapping_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third span is drawn out over the blank and into the next word, which then begins before it ends."""
+    rows = token_scores(spark, sf_dir).select("doc_id", "token_id", "start", "end")
+    longer = rows.withColumn("end", F.when(F.col("token_id") % 3 == 0, F.lead("start").over(Window.partitionBy("doc_id").orderBy("token_id")) + 1))
+    drawn = rows.drop("end").join(longer.select("doc_id", "token_id", F.col("end").alias("long_")), ["doc_id", "token_id"])
+    drawn = drawn.join(rows.select("doc_id", "token_id", "end"), ["doc_id", "token_id"]).withColumn("end", F.coalesce("long_", "end"))
+    return closed_vocabulary.overlapping_spans(drawn.drop("long_")).select("doc_id", "token_id")
+
+
+SQL_SCRIPTS = ", ".join(f"({i}, '{c}', '{s}')" for i, (c, s) in enumerate((("a", "Latin"), ("ж", "Cyrillic"), ("λ", "Greek"), ("א", "Hebrew"), ("中", "Han"), ("́", "Inherited"), ("1", "Common"))))
+
+
+@query(f"SELECT doc_id, s AS script FROM documents JOIN (VALUES {SQL_SCRIPTS}) AS t(i, c, s) ON doc_id % 7 = i")
+def inspect_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One character of seven scripts for each document, by its number."""
+    chars = F.array(*map(F.lit, ("a", "ж", "λ", "א", "中", "\u0301", "1")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.get(chars, (F.col("doc_id") % 7).cast("int")).alias("c"))
+    return docs.select("doc_id", inspect.script_of(F.col("c")).alias("script"))
+
+
 @query("""SELECT d AS detector, s AS scheme, 'false' AS calibrated FROM (VALUES ('reference-kgw', 'kgw-word-v1'),
   ('reference-tournament', 'tournament-word-v1'), ('reference-unigram', 'unigram-word-v1')) AS t(d, s)""")
 def detect_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
