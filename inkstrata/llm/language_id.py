@@ -2,7 +2,7 @@
 
 Training counts n-grams of one to three characters, hashed into ``buckets``
 columns, on at most ``train_per_language`` labelled documents of each language
-(those with the least hash of their id; whole texts). The smoothed
+(those with the least hash of id and text; whole texts). The smoothed
 log-probability matrix (languages x buckets) is a closure broadcast to the
 executors; scoring gathers its columns for each n-gram of a batch and sums them
 by document, a sparse product done by numpy in blocks of bounded size.

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from inkstrata.llm import (
     token_counts,
     url_filters,
 )
+from inkstrata.llm import textbatch as tb
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PAIR = "doc_id long, text string"
@@ -186,8 +188,8 @@ def test_very_long_texts(spark, tiny):
     """One text above the block size of every operator, found and judged whole."""
     rng = random.Random(17)
     words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(5000)]
-    text = " ".join(rng.choices(words, k=900_000))
-    assert len(text) > 5_000_000
+    text = " ".join(rng.choices(words, k=480_000))
+    assert len(text) > 3_000_000  # blocks are of 2 MB
     item = text[-400:].split(" ", 1)[1]
     key = "password=abcdef0123456789 "
     rows = [(1, text, "en"), (2, text + " end", "en"), (3, key + text, "fr"), (4, item, "fr"), (5, "short", "en")]
@@ -207,3 +209,14 @@ def test_very_long_texts(spark, tiny):
     assert {r.doc_id: r.n_words for r in quality_rules.judge(df.where("doc_id in (1, 4)"), labels).collect()} == {1: n, 4: m}
     assert mixing.mix(df).agg(F.sum("size")).first()[0] == 3 * n + m + 3
     assert token_counts.count_tokens(df.where("doc_id = 1"), VOCABULARY).first().n_tokens > n
+
+
+def test_hashes_by_pieces_are_those_of_the_whole(monkeypatch):
+    rng = random.Random(18)
+    raw = np.frombuffer(bytes(rng.choices(b"abc  ", k=5000)) + b"x" * 3000 + b" end", np.uint8)
+    starts, ends, _ = tb.words(raw, np.array([0, len(raw)]), tb.space_table())
+    whole = tb.range_hashes(raw, starts, ends)
+    monkeypatch.setattr(tb, "PIECE", 64)
+    assert (tb.range_hashes(raw, starts, ends) == whole).all()
+    own = [tb.range_hashes(raw[a:b], np.array([0]), np.array([b - a]))[0] for a, b in zip(starts, ends)]
+    assert (np.array(own) == whole).all()
