@@ -205,17 +205,19 @@ def resolve(edges: list, within: bool) -> list[tuple]:
 
 
 def decide(found: list[tuple]):
-    """Open rows whose run has a match, with its first row; ``found`` has two rows a partition at most."""
-    table = np.array(sorted((part * 4 + edge, *first) for part, edge, *first in found), np.int64).reshape(-1, 4)
+    """Rows with a match: decided ones, and open ones of a run in ``found``, which has two rows a partition at most, with its first row."""
+    table = np.array([(-1, 0, 0, 0), *sorted((part * 4 + edge, *first) for part, edge, *first in found)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, edge = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "edge"))
-            at = np.minimum(np.searchsorted(table[:, 0], part * 4 + edge), len(table) - 1)
-            keep = np.flatnonzero(table[at, 0] == part * 4 + edge)
+            part, edge, *first = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "edge", *FIELDS[-3:]))
+            run_of = np.where(edge > 0, part.astype(np.int64) * 4 + edge, -1)
+            at = np.minimum(np.searchsorted(table[:, 0], run_of), len(table) - 1)
+            keep = np.flatnonzero(table[at, 0] == run_of)
+            named = [np.where(edge > 0, table[at, 1 + i], x)[keep] for i, x in enumerate(first)]
             kept = batch.take(pa.array(keep))
-            first = [pa.array(table[at[keep], 1 + i], t) for i, t in enumerate(KINDS[-3:])]
-            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in FIELDS[:-3]), *first], names=FIELDS)
+            columns = [*(kept.column(c) for c in FIELDS[:-3]), *(pa.array(x, t) for x, t in zip(named, KINDS[-3:], strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=FIELDS)
 
     return run
 
@@ -225,10 +227,7 @@ def repeated(rows: DataFrame, within: bool, label: str) -> DataFrame:
     order = ["k", "doc_id", "dup", "at"]
     seen = store.shelve(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(runs(within), MATCH), label)
     found = resolve(seen.where("edge >= 3").collect(), within)  # two rows a partition at most
-    decided = seen.where("edge = 0")
-    if found:
-        decided = decided.unionByName(seen.where("edge in (1, 2)").mapInArrow(decide(found), MATCH))
-    decided = decided.drop("part", "edge", "k")
+    decided = seen.where("edge < 3").mapInArrow(decide(found), MATCH).drop("part", "edge", "k")
     decided._shelf = seen._shelf  # noqa: SLF001
     return decided
 
