@@ -718,6 +718,9 @@ def test_suffix_spans_of_nested_and_repeated_passages(spark, partitions, within)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = with_partitions(spark, partitions, lambda: suffix_array.matches(df, within=within).collect())
     assert sorted(map(tuple, got)) == spans_by_force(rows, 50, within)
+    # What is not first is equal to an earlier place, so following first places ends at words that stay.
+    later = [r for r in got if not r.is_first and r.doc_id != 501]
+    assert later and all((r.first_doc_id, r.first_word) < (r.doc_id, r.word) for r in later)
 
 
 def test_open_runs_are_resolved_across_partitions():
