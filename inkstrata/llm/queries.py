@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    bpe,
     cdc_dedup,
     decontaminate,
+    divergence,
     language_id,
     mixing,
     prob_minhash,
@@ -31,6 +33,11 @@ def vocabulary_path() -> str:
     return os.environ.get("INKSTRATA_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file of the BPE query: the environment's, or the public tokenizers' folder."""
+    return os.environ.get("INKSTRATA_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -72,6 +79,14 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.matches(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def contract_op4_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op4 that its rules fix: sizes and targets."""
     return op4_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
@@ -101,6 +116,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_prob_minhash": op8_prob_minhash,
         "op9_cdc_dedup": op9_cdc_dedup,
         "op10_suffix_array": op10_suffix_array,
+        "op11_bpe": op11_bpe,
+        "op12_source_divergence": op12_source_divergence,
         "contract_op4_targets": contract_op4_targets,
         "contract_op5_base": contract_op5_base,
         "contract_op7_base": contract_op7_base,
@@ -111,6 +128,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filters": url_filters.ORACLE,
         "op6_decontaminate": decontaminate.ORACLE,
+        "op12_source_divergence": divergence.ORACLE,
         "contract_op4_targets": mixing.ORACLE_TARGETS,
         "contract_op5_base": secret_scan.ORACLE_BASE,
         "contract_op7_base": quality_rules.ORACLE_BASE,
