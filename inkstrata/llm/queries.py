@@ -15,6 +15,7 @@ from . import (
     divergence,
     language_id,
     mixing,
+    phrases,
     prob_minhash,
     quality_rules,
     secret_scan,
@@ -87,6 +88,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def contract_op4_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op4 that its rules fix: sizes and targets."""
     return op4_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
@@ -118,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_suffix_array": op10_suffix_array,
         "op11_bpe": op11_bpe,
         "op12_source_divergence": op12_source_divergence,
+        "op13_phrases": op13_phrases,
         "contract_op4_targets": contract_op4_targets,
         "contract_op5_base": contract_op5_base,
         "contract_op7_base": contract_op7_base,
@@ -129,6 +135,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filters": url_filters.ORACLE,
         "op6_decontaminate": decontaminate.ORACLE,
         "op12_source_divergence": divergence.ORACLE,
+        "op13_phrases": phrases.ORACLE,
         "contract_op4_targets": mixing.ORACLE_TARGETS,
         "contract_op5_base": secret_scan.ORACLE_BASE,
         "contract_op7_base": quality_rules.ORACLE_BASE,

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from inkstrata.llm import bpe, divergence
+from inkstrata.llm import bpe, divergence, phrases
 
 PATH = "/opt/tokenizers/byte_bpe_50k.json"
 DOCS = "doc_id long, text string, lang string, source string, ids string, term string, n long, place int"
@@ -186,3 +186,77 @@ def test_shares_of_large_counts_are_exact():
         count = rng.randrange(0, total - 1)
         assert int(divergence.shares(np.int64(count), np.int64(total))) == 1 + 10**9 * (count + 1) // total
     assert pa.array(divergence.term_codes(np.zeros(0, np.uint8), np.zeros(2, np.int64))[1]).to_pylist() == []
+
+
+# 13 ------------------------------------------------------------------------------------------
+
+
+def phrases_by_hand(rows, least=10, top=2000):
+    f, total = defaultdict(Counter), Counter()
+    for r in rows:
+        lang = "und" if r.lang is None else r.lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", "".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or "")):
+            words = re.findall("[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            for k in (1, 2, 3):
+                f[lang].update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    out = set()
+    for lang, count in f.items():
+        found = []
+        for phrase, a in count.items():
+            if len(phrase) == 1 or a < least:
+                continue
+            longer = [b for q, b in count.items() if len(q) == 3 and len(phrase) == 2 and b >= least and phrase in (q[:2], q[1:])]
+            if any(100 * b >= 50 * a for b in longer):
+                continue
+            cuts = [(10**6 * a * a // (count[phrase[:k]] * count[phrase[k:]]), k) for k in range(1, len(phrase))]
+            score, k = min(cuts)
+            found.append((-score, -a, " ".join(phrase).encode(), a, count[phrase[:k]], count[phrase[k:]], score))
+        for rank, (_, _, text, a, left, right, score) in enumerate(sorted(found)[:top], 1):
+            out.add((a, left, lang, total[lang], text.decode(), right, rank, score))
+    return out
+
+
+@pytest.fixture(scope="module")
+def chatter(spark, edges):
+    """Few words in many orders, so that counts tie, phrases nest and overlap."""
+    rng = random.Random(9)
+    words = ["new", "york", "city", "New", "of", "of", "é", "a", "x.", "b,", "c\tnew", "york\ncity"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))), rng.choice(["en", "en", "de", None]), None) for i in range(150)]
+    rows += [(1000 + i, "new york city " * 5 + "of of of of", "en", "s") for i in range(6)]
+    return spark.createDataFrame([(*r, "i", "t", 1, 2) for r in rows], DOCS).unionByName(edges)
+
+
+def test_phrases_by_hand_and_by_sql(spark, tiny, chatter, edges, monkeypatch):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    for df, batch in ((docs, 1 << 22), (docs, 1 << 14), (chatter, 1 << 22), (chatter, 300), (edges, 1 << 22)):
+        monkeypatch.setattr(phrases, "BATCH", batch)
+        names, got = rows_of(phrases.mine(df))
+        assert (names, got) == oracle(df, phrases.ORACLE)
+        assert set(got) == phrases_by_hand(df.collect())
+    assert phrases.mine(edges.limit(0)).count() == 0
+
+
+def test_phrases_are_ranked_in_rounds(spark, chatter, monkeypatch):
+    want = phrases_by_hand(chatter.collect(), top=5)
+    monkeypatch.setattr(phrases, "RANKED", 40)
+    monkeypatch.setattr(phrases, "BUCKET", 3)
+    assert set(rows_of(phrases.mine(chatter, top=5))[1]) == want
+
+
+def test_keys_and_large_dictionaries():
+    rng = np.random.default_rng(4)
+    ids = np.sort(rng.integers(1, 1 << 39, (500, 3)), axis=0)
+    keys = phrases.key_bytes(ids, 5)
+    assert [tuple(int.from_bytes(bytes(k[i : i + 5]), "big") for i in (0, 5, 10)) for k in keys] == [tuple(x) for x in ids.tolist()]
+    triple = rng.integers(1, 50, (3, 4000))
+    for base in (50, 1 << 21):  # packed in one number, and by way of pairs
+        grams, n = phrases._distinct(*triple, base)
+        assert Counter(map(tuple, triple.T.tolist())) == dict(zip(map(tuple, grams.tolist()), n.tolist(), strict=True))
+        assert [tuple(x) for x in grams.tolist()] == sorted(map(tuple, grams.tolist()))
+
+
+def test_scores_beyond_64_bits(spark):
+    a, left, right = 900_000_000_000_000, 900_000_000_000_001, 999_999_999_999_999
+    row = spark.createDataFrame([(a, left, right)], "a long, l long, r long").select(phrases._score("a", "l", "r").alias("s")).first()
+    assert row.s == 10**6 * a * a // (left * right)
