@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import exact_round
 from ..functions.unicode_data import SPACE
 
 
@@ -61,8 +62,8 @@ def select_top(token_scores: DataFrame, share: float, most: int = 96) -> DataFra
 def score_summary(token_scores: DataFrame, heavy: float = 8.0) -> DataFrame:
     return token_scores.groupBy("doc_id").agg(
         F.count("*").alias("n_tokens"),
-        F.bround(F.avg("surprisal_bits"), 3).alias("mean_bits"),
-        F.bround(F.avg((F.col("surprisal_bits") >= heavy).cast("double")), 3).alias("heavy_share"),
+        exact_round(F.avg("surprisal_bits"), 3).alias("mean_bits"),
+        exact_round(F.avg((F.col("surprisal_bits") >= heavy).cast("double")), 3).alias("heavy_share"),
     )
 
 

@@ -515,9 +515,105 @@ def quality_distinct_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.round(quality.distinct_ratio(F.col("text")), 6).alias("ratio"))
 
 
-@query()
+#: Ways to edit a text: what stands behind it before and after, and what a report must say of it. ``alone`` leaves the text out.
+REWRITES = (
+    ("zz plain", "zz plain", ""),
+    ("zz 5 of 12", "zz 5 of many", "numbers were dropped"),
+    ("zz 5 of many", "zz 5 of -1,200.50", "numbers were introduced"),
+    ("zz due June 3, 2024 ok", "zz due June 4, 2024 ok", "numbers were dropped;numbers were introduced;dates changed"),
+    ("zz On June 3 we met", "zz we met in June 3", ""),
+    ("zz Anna Bell 3/4/2024 ok", "zz Bela Bell 3/4/2024 ok", "protected entity-like spans changed"),
+    ("zz Old June rose", "zz old June rose", "protected entity-like spans changed"),
+    ("zz On May 5, Max Weg and On May 6 Eva Lo", "zz on May 5, Max Weg and ON May 6 Eva Lo", ""),
+    ("zz 5 kg", "zz 5 lb", "quantities or units changed"),
+    ("zz see https://a.example/x ok", "zz see the page ok", "URLs were dropped"),
+    ("zz see the page ok", "zz see www.a.example ok", "URLs were introduced"),
+    ("zz mail a.b@c.example ok", "zz mail them all ok", "email addresses were dropped"),
+    ("zz mail them all ok", "zz mail a.b@c.example ok", "email addresses were introduced"),
+    ('zz "so it" ok', "zz so it ok", "quoted text was dropped"),
+    ("zz so it ok", 'zz "so it" ok', "quoted text was introduced"),
+    ("zz it is not so", "zz it is ever so", "negation changed"),
+    ("zz you must go", "zz you may go", "modality changed"),
+    ("zz you must go", "zz you shall go", ""),
+    ("zz see [12] ok", "zz see [13] ok", "numbers were dropped;numbers were introduced;citations changed"),
+    ("zz\n\t- a\n- b", "zz\n    - a\n- b", ""),
+    ("zz\n  \t- a", "zz\n      - a", "document structure changed"),
+    ("zz\n- a", "zz\n+ a", ""),
+    ("zz\n- a", "zz\n1. a", "numbers were introduced;document structure changed"),
+    ("zz\n# head", "zz\n## head", "document structure changed"),
+    ("zz `x` ok", "zz `y` ok", "document structure changed"),
+    ("zz [a](b.example) ok", "zz [a](c.example) ok", "document structure changed"),
+    ("zz <b >x</b> ok", "zz <B>x</ b> ok", ""),
+    ("zz <b>x</b> ok", "zz <i>x</i> ok", "document structure changed"),
+    ("zz\n```py\nx\n```", "zz\n```js\nx\n```", "document structure changed"),
+    ("zz\n|---|---|", "zz\n|---|- -|", "document structure changed"),
+    ("zz a word", "zz a [MASK_1]", "unresolved mask placeholder"),
+    ("alone:zz one", "alone:", "empty candidate;length ratio outside configured bounds"),
+    ("alone:zz a b c d", "alone:zz zz zz zz zz", "degenerate repetition"),
+    ('alone:[1, 2, {"kk": "vv"}]', 'alone:[1, 2, {"kk": "ww"}]', "quoted text was dropped;quoted text was introduced"),
+    ("alone:[1, 2]", "alone:[1, 2.0]", "numbers were dropped;numbers were introduced;citations changed"),
+    ("alone:[1, 2]", "alone:[1, 2", "citations changed;document structure changed"),
+    ("alone:[1, true]", "alone:[1, false]", "document structure changed"),
+)
+
+
+def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and copies of them, each edited in one of the ways of REWRITES."""
+    docs = table(spark, sf_dir, "documents")
+
+    def side(i: int):
+        tail = F.get(F.array(*[F.lit(r[i]) for r in REWRITES]), F.pmod("doc_id", F.lit(len(REWRITES))).cast("int"))
+        return F.when(tail.startswith("alone:"), F.substring(tail, 7, 1000)).otherwise(F.concat("text", F.lit("\n"), tail))
+
+    return docs.select("doc_id", side(0).alias("source"), side(1).alias("candidate"))
+
+
+def sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
+
+
+SQL_BLANK = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SQL_REWRITES = "rewrites(k, a, b, said) AS (VALUES " + ", ".join(
+    f"({k}, {sql_text(a)}, {sql_text(b)}, {sql_text(said)})" for k, (a, b, said) in enumerate(REWRITES)
+) + f""" ), pairs AS (
+  SELECT doc_id, said, CASE WHEN a LIKE 'alone:%' THEN a[7:] ELSE text || chr(10) || a END AS source,
+    CASE WHEN b LIKE 'alone:%' THEN b[7:] ELSE text || chr(10) || b END AS candidate
+  FROM documents JOIN rewrites ON doc_id % {len(REWRITES)} = k)"""
+
+
+@query(rf"""WITH {SQL_REWRITES}, sizes AS (
+  SELECT doc_id, said, candidate, len(regexp_extract_all(candidate, '[^{SQL_BLANK}]+'))::DOUBLE / greatest(1, len(regexp_extract_all(source, '[^{SQL_BLANK}]+'))) AS ratio,
+    list_reverse(list_reverse(regexp_extract_all(lower(candidate), '[\p{{L}}\p{{N}}_]+'))[1:80]) AS w FROM pairs
+), judged AS (
+  SELECT *, CASE WHEN len(w) > 0 THEN len(list_distinct(w))::DOUBLE / len(w) ELSE 1.0 END AS varied FROM sizes
+), reasons AS (
+  SELECT *, list_concat(
+    CASE WHEN candidate = '' THEN ['empty candidate'] ELSE []::VARCHAR[] END,
+    CASE WHEN ratio NOT BETWEEN 0.70 AND 1.35 THEN ['length ratio outside configured bounds'] ELSE []::VARCHAR[] END,
+    CASE WHEN varied < 0.35 THEN ['degenerate repetition'] ELSE []::VARCHAR[] END,
+    list_filter(string_split(said, ';'), lambda r: r NOT IN ('', 'empty candidate', 'length ratio outside configured bounds', 'degenerate repetition'))) AS reasons
+  FROM judged
+) SELECT doc_id, len(reasons) = 0 AS passed, reasons, format('{{:.4f}}', ratio)::DOUBLE AS length_ratio, format('{{:.4f}}', varied)::DOUBLE AS distinct_1_ratio FROM reasons""")
 def quality_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.evaluate(pairs(spark, sf_dir)).select("doc_id", "passed", "reasons", "length_ratio", "distinct_1_ratio")
+    return quality.evaluate(rewritten(spark, sf_dir)).select("doc_id", "passed", "reasons", "length_ratio", "distinct_1_ratio")
+
+
+@query(r"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '[0-9]') AS d FROM documents),
+each AS (SELECT doc_id, unnest(d) AS item FROM p), counts AS (SELECT doc_id, item, count(*) AS n FROM each GROUP BY ALL),
+other AS (SELECT doc_id + 1 AS doc_id, item, n FROM counts),
+met AS (SELECT coalesce(c.doc_id, o.doc_id) AS doc_id, coalesce(c.item, o.item) AS item, coalesce(c.n, 0) AS a, coalesce(o.n, 0) AS b
+  FROM counts c FULL JOIN other o ON c.doc_id = o.doc_id AND c.item = o.item)
+SELECT doc_id, coalesce(string_agg(repeat(item, greatest(0, (a - b))::INT), '' ORDER BY item), '') AS missing,
+  coalesce(string_agg(repeat(item, greatest(0, (b - a))::INT), '' ORDER BY item), '') AS introduced
+FROM met SEMI JOIN documents USING (doc_id) WHERE a <> b GROUP BY doc_id""")
+def quality_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digits of each document against those of the one before it, as multisets."""
+    found = table(spark, sf_dir, "documents").select("doc_id", quality.items(F.col("text"), "[0-9]").alias("d"))
+    before = found.select((F.col("doc_id") + 1).alias("doc_id"), F.col("d").alias("o"))
+    none = F.array().cast("array<string>")
+    both = found.join(before, "doc_id", "left").select("doc_id", quality.deltas(F.col("d"), F.coalesce("o", none)).alias("x"))
+    both = both.select("doc_id", F.array_join("x.missing", "").alias("missing"), F.array_join("x.introduced", "").alias("introduced"))
+    return both.where("missing <> '' or introduced <> ''")
 
 
 @query(r"""WITH p AS (SELECT doc_id, text AS a, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '[0-9]', '', 'g') ELSE text END AS b FROM documents),
