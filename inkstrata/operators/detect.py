@@ -25,9 +25,13 @@ TOKEN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*|[^\p{L}\p{N}_\s\x1c-\x1f\x85\xa0
 
 
 def tokens(text: Column) -> Column:
-    """Case-folded words (with inner apostrophes) and single punctuation characters."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    return F.transform(found, folded)
+    """Case-folded words (with inner apostrophes) and single punctuation characters.
+
+    A text without a character that folds or lowers to more than one is lowered as a whole.
+    """
+    found = lambda t: F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(TOKEN), F.lit(0))
+    special = F.lit(r"[\x{80}-\x{10FFFF}&&[\x{130}" + U.fold_class() + "]]")
+    return F.when(F.rlike(text, special), F.transform(found(text), folded)).otherwise(found(F.lower(text)))
 
 
 def folded(word: Column) -> Column:
@@ -97,6 +101,68 @@ def score(texts: DataFrame, scheme: str, key: str = KEY, column: str = "text") -
     return out.withColumn("status", status).drop("tokens_", "values_", "counts_", "n_")
 
 
+EXPONENTIAL, LEAST_GAP = "exponential-word-v1", 1e-12
+
+
+def gamma_tail(n: float, t: float) -> float:
+    """Chance that n exponential draws of mean 1 sum to t or more: the upper incomplete gamma ratio.
+
+    A series below the mean, a continued fraction beyond it, both scaled by their first term in logarithms.
+    """
+    if not n > 0 or not t > 0:
+        return 1.0
+    lead = n * math.log(t) - t - math.lgamma(n)
+    if t < n + 1:
+        term = total = 1.0 / n
+        k = n
+        while term > total * 1e-17:
+            k += 1
+            term *= t / k
+            total += term
+        return max(0.0, 1.0 - math.exp(lead) * total)
+    tiny, b = 1e-300, t + 1 - n
+    c, d = 1 / tiny, 1 / b
+    out, i, step = d, 0, 0.0
+    while abs(step - 1) > 1e-16 and i < 100_000:
+        i += 1
+        a = -i * (i - n)
+        b += 2
+        d = 1 / (a * d + b or tiny)
+        c = b + a / c or tiny
+        step = c * d
+        out *= step
+    return math.exp(lead) * out
+
+
+@F.pandas_udf(T.DoubleType())
+def gamma_survival(n: pd.Series, t: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(a) or pd.isna(b) else gamma_tail(float(a), float(b)) for a, b in zip(n, t, strict=True)], dtype="float64")
+
+
+def exponential(texts: DataFrame, key: str = KEY, column: str = "text", alpha: float = 1e-4) -> DataFrame:
+    """Adds the exponential statistic of each text: score, effective_tokens, p_value and status.
+
+    A word's draw is the hash of it and the word before. Under no mark, -ln(1 - draw)
+    is exponential with mean 1, so the sum over n words has a gamma distribution, whose
+    tail is the p-value; the score is the mean's distance from 1 in standard deviations.
+    Texts under MIN_TOKENS words are ``insufficient_evidence``; those of under two have score 0 and p-value 1.
+    """
+
+    def cost(w: Column) -> Column:
+        def one(i: Column) -> Column:
+            draw = uniform(key, EXPONENTIAL, F.get(w, i - 1), F.get(w, i))
+            return -F.log(F.greatest(F.lit(LEAST_GAP), F.lit(1.0) - draw))
+
+        at = F.when(F.size(w) > 1, F.sequence(F.lit(1), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.struct(F.size(at).alias("n"), F.aggregate(at, F.lit(0.0), lambda s, i: s + one(i)).alias("t"))
+
+    n, t = F.col("cost_.n"), F.col("cost_.t")
+    status = F.when(n < MIN_TOKENS, "insufficient_evidence").when(F.col("p_value") <= alpha, "detected").otherwise("not_detected")
+    out = texts.withColumn("cost_", let(cost, tokens(F.col(column))))
+    out = out.withColumn("score", F.when(n > 0, (t / n - 1) * F.sqrt(n)).otherwise(0.0)).withColumn("effective_tokens", n)
+    return out.withColumn("p_value", gamma_survival(n, t)).withColumn("status", status).drop("cost_")
+
+
 @F.pandas_udf(T.DoubleType())
 def normal_survival(z: pd.Series) -> pd.Series:
     return z.map(lambda x: 0.5 * math.erfc(x / math.sqrt(2)), na_action="ignore")

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import unicode_data as U
 from ..operators import (
     closed_vocabulary,
     covert,
@@ -167,6 +168,78 @@ CONTEXTS = (
 SQL_CONTEXTS = ", ".join(f"({i}, '{c}', '{d}', {sum(1 for x in t if ord(x) in (0x200f, 0x202e, 0x200c, 0x200d, 0xfe0f, 0x430, 0xe0067, 0xe007f))})" for i, (t, c, d) in enumerate(CONTEXTS))
 
 
+#: Sequences whose grapheme borders are not plain: flags in even and odd runs, keycaps, skin tones, families, marks, tags, selectors.
+CLUSTERS = (
+    "\U0001f1e9\U0001f1ea\U0001f1eb\U0001f1f7", "\U0001f1e9\U0001f1ea\U0001f1eb", "x1\ufe0f\u20e3", "\U0001f44d\U0001f3fd",
+    "\U0001f469\u200d\U0001f469\u200d\U0001f467", "e\u0301\u0323\u200b", "\U0001f3f4\U000e0067\U000e0062\U000e007f", "\u200d\U0001f1e9\U0001f1ea",
+    "\U0001f1e9\u0301\U0001f1ea", "\u845b\U000e0100", "\u200cab\u200d", "\ufeff\u2060",
+)
+
+
+def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with two sequences, one at a place that goes with the id and one behind."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pick = lambda n: F.get(F.array(*map(F.lit, CLUSTERS)), F.pmod(F.col("doc_id") * n, F.lit(len(CLUSTERS))).cast("int"))
+    at = F.pmod(F.col("doc_id") * 7, F.length("text") + 1).cast("int")
+    text = F.concat(F.substring(F.col("text"), F.lit(1), at), pick(1), F.substring(F.col("text"), at + 1, F.length("text")), pick(5))
+    return docs.select("doc_id", text.alias("text"))
+
+
+SQL_CLUSTERS = f"""clusters AS (SELECT [{", ".join(f"'{c}'" for c in CLUSTERS)}] AS c), planted AS (
+  SELECT doc_id, text[:doc_id * 7 % (length(text) + 1)] || c[doc_id % {len(CLUSTERS)} + 1] || text[doc_id * 7 % (length(text) + 1) + 1:]
+    || c[doc_id * 5 % {len(CLUSTERS)} + 1] AS text FROM documents, clusters
+), chars AS (
+  SELECT doc_id, i, substr(text, i::BIGINT, 1) AS ch, unicode(substr(text, i::BIGINT, 1)) AS cp FROM planted, unnest(range(1, strlen(text) + 1)) AS t(i) WHERE i <= length(text)
+)"""
+SQL_MARK = f"regexp_full_match(ch, '[{U.marks()}]')"
+
+
+@query(rf"""WITH {SQL_CLUSTERS}, runs AS (
+  SELECT *, cp BETWEEN 127462 AND 127487 AS r, lag(cp) OVER w AS before,
+    sum(CASE WHEN cp BETWEEN 127462 AND 127487 THEN 0 ELSE 1 END) OVER w AS run FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), places AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run, r ORDER BY i) AS k FROM runs
+), begins AS (
+  SELECT *, CASE WHEN before IS NULL THEN 1 WHEN r THEN k % 2
+    WHEN cp > 767 AND ({SQL_MARK} OR cp IN (8204, 8205, 8419) OR cp BETWEEN 65024 AND 65039 OR cp BETWEEN 917760 AND 917999
+      OR cp BETWEEN 127995 AND 127999 OR cp BETWEEN 917504 AND 917631) OR before = 8205 THEN 0 ELSE 1 END AS b FROM places
+), numbered AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS g FROM begins
+), totals AS (SELECT doc_id, max(g)::INT + 1 AS n_graphemes FROM numbered GROUP BY doc_id
+), hits AS (SELECT doc_id, string_agg(i - 1 || ':' || g::INT, ' ' ORDER BY i) AS places FROM numbered
+  WHERE cp IN (8203, 8204, 8205, 8288, 65039, 65279, 917607, 917602, 917631, 917760) GROUP BY doc_id)
+SELECT doc_id, n_graphemes, coalesce(places, '') AS places FROM totals LEFT JOIN hits USING (doc_id)""")
+def inspect_grapheme_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphemes of each document, and the place and grapheme of each flagged character."""
+    texts = clustered(spark, sf_dir)
+    found = inspect.occurrences(texts, offsets=False, graphemes=True)
+    place = F.concat_ws(":", F.col("position").cast("string"), F.col("grapheme_index").cast("string"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("position", place.alias("p")))), lambda x: x["p"])
+    hits = found.groupBy("doc_id").agg(F.array_join(listed, " ").alias("places"))
+    total = inspect.report(texts, found).select("doc_id", F.col("grapheme_count").alias("n_graphemes"))
+    return total.join(hits, "doc_id", "left").na.fill("", ["places"])
+
+
+#: Foreign text, and tokens that mix scripts or hold signs, for skeletons.
+FOREIGN = "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440 "
+MIXED = "\u0440\u0430yp\u0430l \u0430\u0431\u0432 \u00c6on \u201cso\u201d \u03b1\u03c1\u03c4 m\u0153l\u2033 \u0661x\u2044\u0660 \u0531\u0585 w\u014d\u2019s"
+
+
+@query(rf"""WITH t AS (SELECT MAP {{{", ".join(f"'{k}': '{v.replace(chr(39), chr(39) * 2)}'" for k, v in U.confusables().items())}}} AS m),
+planted AS (
+  SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN repeat('{FOREIGN}', greatest(9, length(text) // 4)::INT) || '{MIXED}' ELSE text || ' {MIXED}' END AS source FROM documents
+), tokens AS (SELECT doc_id, doc_id % 2 = 0 AS latin, unnest(string_split(source, ' ')) AS tok, generate_subscripts(string_split(source, ' '), 1) AS j FROM planted
+), mapped AS (SELECT doc_id, j, CASE WHEN NOT regexp_matches(tok, '[^\x00-\x7F]') THEN tok
+    WHEN latin OR regexp_matches(tok, '[A-Za-z\x{{C0}}-\x{{24F}}]') THEN list_aggregate(list_transform(range(1, length(tok) + 1), lambda i: coalesce(m[substr(tok, i, 1)], substr(tok, i, 1))), 'string_agg', '')
+    ELSE tok END AS tok FROM tokens, t)
+SELECT doc_id, sha256(string_agg(tok, ' ' ORDER BY j)) AS skeleton_sha256 FROM mapped GROUP BY doc_id""")
+def sanitize_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ASCII skeletons of texts where Latin leads, and of foreign ones, where only tokens with a Latin letter change."""
+    docs = table(spark, sf_dir, "documents")
+    many = F.greatest(F.lit(9), F.floor(F.length("text") / 4)).cast("int")
+    foreign = F.concat(F.repeat(F.lit(FOREIGN), many), F.lit(MIXED))
+    source = F.when(F.col("doc_id") % 2 == 1, foreign).otherwise(F.concat("text", F.lit(" " + MIXED)))
+    return docs.select("doc_id", F.sha2(sanitize.skeleton(source).cast("binary"), 256).alias("skeleton_sha256"))
+
+
 @query(f"""SELECT doc_id, category, disposition, n::BIGINT AS n FROM documents JOIN (VALUES {SQL_CONTEXTS}) AS t(i, category, disposition, n)
   ON doc_id % {len(CONTEXTS)} = i""")
 def inspect_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,6 +455,18 @@ def detect_tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "effective_tokens", F.round("score", 6).alias("score"), "status")
 
 
+@query(f"""WITH {SQL_TOKENS}, v AS (
+  SELECT doc_id, -ln(greatest(1e-12, 1.0 - {SQL_U.format("'public-fixture-key' || chr(31) || 'exponential-word-v1' || chr(31) || w[i - 1] || chr(31) || w[i]")})) AS c
+  FROM toks, unnest(range(2, len(w) + 1)) AS t(i)
+), s AS (SELECT d.doc_id, count(c) AS n, coalesce(sum(c), 0.0) AS t FROM documents d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id
+), p AS (SELECT *, CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(n), lambda k: exp(k * ln(t) - t - lgamma(k + 1))))) END AS p FROM s)
+SELECT doc_id, n::INT AS effective_tokens, round(CASE WHEN n > 0 THEN (t / n - 1) * sqrt(n) ELSE 0.0 END, 6) AS score, round(p, 7) AS p_value,
+  CASE WHEN n < 32 THEN 'insufficient_evidence' WHEN p <= 1e-4 THEN 'detected' ELSE 'not_detected' END AS status FROM p""")
+def detect_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = detect.exponential(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "effective_tokens", F.round("score", 6).alias("score"), F.round("p_value", 7).alias("p_value"), "status")
+
+
 SQL_EVIDENCE = f"""{SQL_KGW}, uni AS (
   SELECT doc_id, len(w) AS n, list_sum(list_transform(w, lambda t: {SQL_GREEN.format("'public-fixture-key' || chr(31) || 'unigram-word-v1' || chr(31) || t")})) AS h FROM toks
 ), uz AS (SELECT doc_id, n, CASE WHEN n > 0 THEN (h - 0.25::DOUBLE * n) / sqrt(n * 0.1875::DOUBLE) ELSE 0.0 END AS z FROM uni
