@@ -11,9 +11,10 @@ The work is on numbers. Every block of texts is kept as its own words and their
 places (local codes). Words that reach MIN_COUNT in their language form a dictionary
 with dense ids; the ids come back to each block by a join, so no task and no
 broadcast holds the dictionary. Rarer words break pieces, as no candidate can hold
-them. Runs of two and three ids are packed into binary keys of a fixed width, counted
-within the block, range-partitioned and radix-sorted by Spark, and equal keys, now
-neighbours, are summed by run lengths.
+them. Runs of two and three ids are packed into binary keys of a fixed width and counted
+within a group of blocks. Sorted keys are cut at the bounds of ranges, a slice becomes one
+row, Spark shuffles the slices by range, and a range's keys are sorted together and
+summed by run lengths.
 
 Defined results: null text is empty, null lang is ``und``. Repeated rows count as often
 as they stand there. Scores tie on integers; rank goes by score, count and the phrase's
@@ -24,6 +25,7 @@ extra columns are not read. Scores are exact to counts of 10^15 (38-digit decima
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ TOP = 2000
 BATCH = 1 << 22
 #: Words of a bucket of the dictionary, about; candidates that one task ranks, about.
 BUCKET, RANKED = 1 << 16, 100_000
+#: Words of a group of blocks that is counted at once; keys of a range, and keys that set the bounds of ranges, about.
+GROUP, PART, SAMPLED = 2_000_000, 2_000_000, 1_000_000
 #: Bytes that end a piece, and those that part words within one.
 ENDS, BLANKS = b".,;:!?\n\v\f\r", b" \t"
 
@@ -102,61 +106,130 @@ def _distinct(first: np.ndarray, second: np.ndarray, third: np.ndarray, base: in
     return np.column_stack([lead // base, lead % base, whole % base]), n
 
 
-def packed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Keys of two ids and a zero, and of three ids, with their counts in the block."""
+def grams(batches: Iterator[pa.RecordBatch], width: int, part: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct sorted keys of two ids and a zero, then of three ids, with their counts, for groups of blocks.
+
+    ``part`` above 1 takes one in so many of a block's places, a run of them.
+    """
+
+    def group(held: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        named = np.unique(np.concatenate([ids for _, _, ids in held]))
+        here = [np.zeros(1, np.int64)]
+        for codes, places, ids in held:
+            known = np.zeros(int(codes.max(initial=-1)) + 2, np.int64)  # the last one is for -1
+            inside = places < len(known) - 1
+            known[places[inside]] = np.searchsorted(named, ids[inside]) + 1
+            here += [known[codes], np.zeros(1, np.int64)]
+        here = np.concatenate(here)
+        named = np.concatenate([[0], named])
+        pair = np.flatnonzero((here[:-1] > 0) & (here[1:] > 0))
+        found, n = _distinct(here[pair], here[pair + 1], np.zeros(len(pair), np.int64), len(named))
+        yield key_bytes(named[found], width), n
+        three = pair[:-1][np.diff(pair) == 1] if len(pair) else pair
+        found, n = _distinct(here[three], here[three + 1], here[three + 2], len(named))
+        yield key_bytes(named[found], width), n
+
+    held, size = [], 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            codes = np.frombuffer(batch.column("codes")[i].as_buffer(), np.int32)
+            if part > 1:
+                run = -(-len(codes) // part)
+                begin = int(batch.column("block")[i].as_py()) * 7919 % part * run
+                codes = codes[begin : begin + run]
+            held.append((codes, *(batch.column(c)[i].values.to_numpy() for c in ("places", "ids"))))
+            size += len(codes)
+            if size >= GROUP:
+                yield from group(held)
+                held, size = [], 0
+    if held:
+        yield from group(held)
+
+
+def sampled(width: int, step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every ``step``-th key of a sixteenth of each block, for the bounds of the ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                codes = np.frombuffer(batch.column("codes")[i].as_buffer(), np.int32)
-                places = batch.column("places")[i].values.to_numpy()
-                ids = batch.column("ids")[i].values.to_numpy()
-                known = np.zeros(int(codes.max(initial=-1)) + 2, np.int64)  # the last one is for -1
-                by_id = np.argsort(ids)  # local numbers in the order of ids, so that distinct runs come in the order of keys
-                known[places[by_id]] = np.arange(1, len(places) + 1)
-                named = np.concatenate([[0], ids[by_id]])
-                here = known[codes]
-                base = len(named)
-                pair = np.flatnonzero((here[:-1] > 0) & (here[1:] > 0))
-                three = pair[:-1][np.diff(pair) == 1] if len(pair) else pair
-                for first, second, third in (
-                    (here[pair], here[pair + 1], np.zeros(len(pair), np.int64)),
-                    (here[three], here[three + 1], here[three + 2]),
-                ):
-                    grams, n = _distinct(first, second, third, base)
-                    yield _keyed(key_bytes(named[grams], width), n)
+        for keys, _ in grams(batches, width, 16):
+            few = keys[step // 2 :: step]
+            yield pa.RecordBatch.from_arrays([_binary(few)], names=["key"])
 
     return run
 
 
-def _keyed(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def dealt(width: int, bounds: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keys and counts of a group of blocks, cut at the bounds: one row for each range that has any."""
+    kind = f"S{3 * width}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = np.frombuffer(bounds, kind)
+        for keys, n in grams(batches, width):
+            cuts = np.searchsorted(keys.view(kind).ravel(), ends) if len(keys) else np.zeros(len(ends), np.int64)
+            cuts = np.concatenate([[0], cuts, [len(keys)]])
+            parts = np.flatnonzero(np.diff(cuts))
+            rows = [(keys[cuts[p] : cuts[p + 1]].tobytes(), n[cuts[p] : cuts[p + 1]].astype("<u4").tobytes()) for p in parts]
+            made = [pa.array(parts, pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(made, names=["part", "keys", "counts"])
+
+    return run
+
+
+def _binary(keys: np.ndarray) -> pa.Array:
     ends = (np.arange(len(keys) + 1) * keys.shape[1]).astype(np.int32)
-    made = pa.BinaryArray.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(ends), pa.py_buffer(keys.tobytes())])
-    return pa.RecordBatch.from_arrays([made, pa.array(n, pa.int64())], names=["key", "n"])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(ends), pa.py_buffer(keys.tobytes())])
+
+
+def _keyed(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_binary(keys), pa.array(n, pa.int64())], names=["key", "n"])
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each, by sorting and run lengths."""
+    words = -(-keys.shape[1] // 8)
+    wide = np.zeros((len(keys), 8 * words), np.uint8)
+    wide[:, : keys.shape[1]] = keys
+    order = np.lexsort(wide.view(">u8").astype(np.uint64).T[::-1])
+    keys, n = keys[order], n[order]
+    begin = np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]).nonzero()[0]
+    return keys[begin], np.add.reduceat(n, begin)
 
 
 def run_lengths(width: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sums over runs of equal keys in sorted rows, from ``least`` on; the last run waits for the next batch."""
+    """Keys with their sums, from ``least`` on, one range after the other in rows sorted by range."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_keys, last_n = np.zeros((0, width), np.uint8), np.zeros(0, np.int64)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            raw, offsets = tb.utf8(batch.column("key").cast(pa.large_binary()).view(pa.large_string()))
-            keys = np.concatenate([last_keys, raw.reshape(len(offsets) - 1, width)])
-            n = np.concatenate([last_n, batch.column("n").to_numpy()])
-            begin = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1])
-            total = np.add.reduceat(n, begin)
-            last_keys, last_n = keys[begin[-1:]], total[-1:]
-            held = np.flatnonzero(total[:-1] >= least)
-            yield _keyed(keys[begin[held]], total[held])
-        held = np.flatnonzero(last_n >= least)
-        yield _keyed(last_keys[held], last_n[held])
+            parts = batch.column("part").to_pylist()
+            for i, part in enumerate(parts):
+                yield part, batch.column("keys")[i].as_py(), batch.column("counts")[i].as_py()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in groupby(rows(batches), lambda r: r[0]):
+            keys, counts = zip(*((k, c) for _, k, c in held), strict=True)
+            matrix = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 3 * width)
+            found, total = summed(matrix, np.frombuffer(b"".join(counts), "<u4").astype(np.int64))
+            often = np.flatnonzero(total >= least)
+            yield _keyed(found[often], total[often])
 
     return run
 
 
+def count_grams(coded: DataFrame, words: int, width: int, least: int) -> DataFrame:
+    """Keys that stand at least ``least`` times in coded blocks of about ``words`` words, with their counts.
+
+    Ranges are cut so that one holds about PART keys before equal ones are summed; a
+    key has one entry a group of blocks at most, so no key outweighs a range. Bounds come
+    from up to SAMPLED keys, as those of Spark's own range partitioning do.
+    """
+    spark = coded.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-2 * words // PART))
+    step = max(1, 2 * words // 16 // min(SAMPLED, 100 * parts))
+    few = sorted(bytes(r[0]) for r in coded.mapInArrow(sampled(width, step), "key binary").collect())
+    ends = [few[i * len(few) // parts] for i in range(1, parts)] if few else []
+    rows = coded.mapInArrow(dealt(width, b"".join(ends)), "part int, keys binary, counts binary")
+    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run_lengths(width, least), KEYS)
+
+
 def dictionary(kept: DataFrame) -> DataFrame:
     """``(lang, word, f)`` with dense ids from 1, by offsets of buckets; no task sees more than a bucket."""
     buckets = max(1, -(-kept.count() // BUCKET))
@@ -182,13 +255,12 @@ def mine(documents: DataFrame, least: int = MIN_COUNT, top: int = TOP) -> DataFr
 
     # The ids of a block's words, back to the block.
     back = each.join(ids, ["lang", "word"]).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("w"))
-    coded = held.select("block", "codes").join(back, "block").select("codes", F.col("w.place").alias("places"), F.col("w.id").alias("ids"))
+    coded = held.select("block", "codes").join(back, "block").select("block", "codes", F.col("w.place").alias("places"), F.col("w.id").alias("ids"))
     coded = store.shelve(coded, "coded")
     size = ids.count()
     width = max(1, (size.bit_length() + 7) // 8)
-    counted = coded.mapInArrow(packed(width), KEYS)
-    parts = max(documents.sparkSession.sparkContext.defaultParallelism, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sums = counted.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(run_lengths(3 * width, least), KEYS)
+    words = ids.agg(F.sum("f")).first()[0] or 0
+    sums = count_grams(coded, words, width, least)
     found = store.shelve(sums, "phrases")
     store.discard(held, coded)
     return _ranked(found, ids, total, width, top)

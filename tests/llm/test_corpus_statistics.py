@@ -229,7 +229,7 @@ def chatter(spark, edges):
 
 def test_phrases_by_hand_and_by_sql(spark, tiny, chatter, edges, monkeypatch):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
-    for df, batch in ((docs, 1 << 22), (docs, 1 << 14), (chatter, 1 << 22), (chatter, 300), (edges, 1 << 22)):
+    for df, batch in ((docs, 1 << 22), (docs, 1 << 17), (chatter, 1 << 22), (chatter, 2000), (edges, 1 << 22)):
         monkeypatch.setattr(phrases, "BATCH", batch)
         names, got = rows_of(phrases.mine(df))
         assert (names, got) == oracle(df, phrases.ORACLE)
@@ -260,3 +260,23 @@ def test_scores_beyond_64_bits(spark):
     a, left, right = 900_000_000_000_000, 900_000_000_000_001, 999_999_999_999_999
     row = spark.createDataFrame([(a, left, right)], "a long, l long, r long").select(phrases._score("a", "l", "r").alias("s")).first()
     assert row.s == 10**6 * a * a // (left * right)
+
+
+def test_ranges_and_groups_of_any_size(spark, chatter, monkeypatch):
+    want = phrases_by_hand(chatter.collect())
+    monkeypatch.setattr(phrases, "BATCH", 3000)
+    for group, part in ((1, 4000), (700, 1500), (10**9, 10**9)):
+        monkeypatch.setattr(phrases, "GROUP", group)
+        monkeypatch.setattr(phrases, "PART", part)
+        assert set(rows_of(phrases.mine(chatter))[1]) == want
+
+
+def test_sums_of_equal_keys():
+    rng = np.random.default_rng(2)
+    for width in (1, 9, 15, 16):
+        keys, n = rng.integers(0, 3, (3000, width)).astype(np.uint8), rng.integers(1, 9, 3000)
+        want = Counter()
+        for k, c in zip(keys, n, strict=True):
+            want[bytes(k)] += int(c)
+        found, total = phrases.summed(keys, n)
+        assert [(bytes(k), int(c)) for k, c in zip(found, total, strict=True)] == sorted(want.items())
