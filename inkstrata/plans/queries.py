@@ -1065,6 +1065,57 @@ def review_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.interval_alpha(rated).withColumn("alpha", F.round("alpha", 9))
 
 
+SQL_REVIEWS = """reviews AS (SELECT doc_id::VARCHAR AS unit, 'r' || k AS reviewer, d.dimension,
+    (n_chars // (j + 1) + k * (doc_id % (j + 2))) % 5 + 1 AS rating
+  FROM documents, (VALUES (0), (1), (2)) AS t(k), (VALUES ('semantic', 0), ('factual', 1), ('fluency', 2), ('formatting', 3)) AS d(dimension, j)
+  WHERE k < 2 OR doc_id % 3 = 0)"""
+SQL_ALPHA = """CASE WHEN sum(w * n * (n - 1)) > 0 THEN CASE WHEN sum(w * n) * sum(w * q) = sum(w * s) * sum(w * s)
+    THEN CASE WHEN sum(w * (n * q - s * s)) = 0 THEN 1.0 END
+    ELSE greatest(-1.0, least(1.0, 1 - (sum(w * (n * q - s * s))::DOUBLE / (sum(w * n * (n - 1)) / 2.0::DOUBLE))
+      / ((sum(w * n) * sum(w * q) - sum(w * s) * sum(w * s))::DOUBLE / (sum(w * n) * (sum(w * n) - 1) / 2.0::DOUBLE)))) END END"""
+
+
+@query(f"""WITH {SQL_REVIEWS}, units AS (SELECT dimension, unit, count(*)::HUGEINT AS n, sum(rating)::HUGEINT AS s, sum(rating * rating)::HUGEINT AS q FROM reviews GROUP BY ALL),
+plain AS (SELECT dimension, {SQL_ALPHA} AS alpha FROM (SELECT *, 1::HUGEINT AS w FROM units) GROUP BY dimension),
+again AS (SELECT dimension, replicate, {SQL_ALPHA} AS alpha FROM (
+  SELECT *, {sql_weight("unit")} AS w FROM units, range(1, {REPLICATES + 1}) AS t(replicate)) WHERE w > 0 GROUP BY ALL),
+means AS (SELECT replicate, avg(alpha) AS value FROM again GROUP BY replicate)
+SELECT 'all' AS dimension, round((SELECT avg(alpha) FROM plain), 9) AS alpha, (SELECT round(quantile_disc(value, 0.025), 9) FROM means) AS ci_low,
+  (SELECT round(quantile_disc(value, 0.975), 9) FROM means) AS ci_high, count(DISTINCT unit) AS assignments, count(DISTINCT reviewer) AS reviewers,
+  count(DISTINCT unit || reviewer) AS responses FROM reviews
+UNION ALL SELECT dimension, round(alpha, 9), NULL, NULL, NULL, NULL, NULL FROM plain""")
+def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings of two or three reviewers a document: agreement by dimension and in all, with its interval over assignments."""
+    docs = table(spark, sf_dir, "documents").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).where("k < 2 or doc_id % 3 = 0")
+    rating = lambda j: (F.floor(F.col("n_chars") / (j + 1)) + F.col("k") * (F.col("doc_id") % (j + 2))) % 5 + 1
+    reviews = docs.select(
+        F.col("doc_id").cast("string").alias("assignment_id"), F.concat(F.lit("r"), F.col("k").cast("string")).alias("reviewer_id"),
+        *[rating(j).alias(d) for j, d in enumerate(evaluation.DIMENSIONS)],
+    )
+    by_dimension, whole = evaluation.review_summary(reviews, REPLICATES)
+    rows = whole.select(F.lit("all").alias("dimension"), F.col("agreement").alias("alpha"), "ci_low", "ci_high", "assignments", "reviewers", "responses")
+    rows = rows.unionByName(by_dimension, allowMissingColumns=True)
+    return rows.withColumns({c: F.round(c, 9) for c in ("alpha", "ci_low", "ci_high")})
+
+
+#: Rules of ratings that review_faults plants breaches of, by id.
+@query("""SELECT doc_id::VARCHAR AS assignment_id, CASE doc_id % 7 WHEN 1 THEN 'unknown assignment or reviewer' WHEN 2 THEN 'rating outside 1 to 5'
+  WHEN 3 THEN 'rated more than once' ELSE 'fewer than two ratings' END AS error
+FROM documents WHERE doc_id % 7 BETWEEN 1 AND 4
+UNION ALL SELECT doc_id::VARCHAR, 'fewer than two ratings' FROM documents WHERE doc_id % 7 = 3""")
+def review_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breaches of the rules of ratings: an empty reviewer, a rating of 6, the same reviewer twice, a single rating."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 7).alias("m"))
+    each = docs.withColumn("k", F.explode(F.when(F.col("m") == 4, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    who = F.when((F.col("m") == 1) & (F.col("k") == 1), "").when(F.col("m") == 3, "r0").otherwise(F.concat(F.lit("r"), F.col("k").cast("string")))
+    score = lambda j: F.when((F.col("m") == 2) & (F.col("k") == 1) & F.lit(j == 1), 6).otherwise(3)
+    reviews = each.select(
+        F.col("doc_id").cast("string").alias("assignment_id"), who.alias("reviewer_id"), *[score(j).alias(d) for j, d in enumerate(evaluation.DIMENSIONS)]
+    )
+    found = evaluation.review_errors(reviews, docs.select(F.col("doc_id").cast("string").alias("assignment_id")))
+    return found.select("assignment_id", "error").distinct()
+
+
 @query("SELECT doc_id, substr(sha256('seed-1' || chr(31) || doc_id), 1, 1) < '8' AS first_is_source FROM documents")
 def review_blinded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"))
