@@ -26,6 +26,7 @@ from ..operators import (
     protocol,
     quality,
     records,
+    registry,
     sanitize,
     scan,
     session,
@@ -1205,6 +1206,136 @@ def protocol_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protocol.pending(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
+REGISTRY = registry.Registry(
+    ("calibration", "final_test"), {"qa": ("exact",), "summary": ("facts", "length")}, ("de", "en", "es"),
+    {
+        "watermarked_positive": ("generator_id", "decoding_config_sha256"),
+        "matched_generator_null": ("generator_id", "decoding_config_sha256", "paired_sample_id"),
+        "human_control": ("generator_exposed", "rewriter_exposed", "source_date"),
+    },
+)
+
+
+def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as samples, even ids positives, odd ones their nulls, each ninth a human control; breaches go with the id."""
+    d, docs = F.col("doc_id"), table(spark, sf_dir, "documents")
+    pair, n = F.floor(d / 2), F.size(quality.words(F.col("text")))
+    human, odd = d % 9 == 4, d % 2 == 1
+    cohort = F.when(d % 41 == 7, "stranger").when(human, "human_control").when(odd, "matched_generator_null").otherwise("watermarked_positive")
+    entries = lambda *kv: F.map_from_arrays(F.array(*[F.lit(k) for k, _ in kv]), F.array(*[v for _, v in kv]))
+    decoding = ("decoding_config_sha256", F.sha2(F.concat(F.lit("d"), pair.cast("string")).cast("binary"), 256))
+    generator = ("generator_id", F.when(d % 31 == 5, F.lit("other")).otherwise(F.lit("g1")))
+    metadata = (
+        F.when(human, entries(("generator_exposed", F.when(d % 5 == 0, "true").otherwise("false")), ("rewriter_exposed", F.lit("false")),
+            ("source_date", F.when(d % 7 == 0, "May 2020").otherwise("2020-05-01"))))
+        .when(odd, entries(generator, decoding, ("paired_sample_id", F.concat(F.lit("s"), (d - F.when(d % 29 == 3, 2).otherwise(1)).cast("string")))))
+        .otherwise(F.when(d % 37 == 6, entries(generator)).otherwise(entries(generator, decoding)))
+    )
+    split = F.when((d % 23 == 9) | (pair % 3 != 0), "final_test").otherwise("calibration")
+    rows = docs.select(
+        F.concat(F.when(d % 43 == 11, "?").otherwise("s"), d.cast("string")).alias("sample_id"), F.concat(F.lit("c"), pair.cast("string")).alias("cluster_id"),
+        split.alias("split"), F.when(pair % 2 == 0, "qa").otherwise("summary").alias("task"), F.col("lang").alias("language"), cohort.alias("cohort"),
+        F.when(d % 19 == 8, F.lit("abc")).otherwise(F.sha2(F.col("text").cast("binary"), 256)).alias("input_sha256"),
+        n.alias("effective_detector_tokens"), F.when(d % 17 == 2, "512_up").otherwise(protocol.length_bin(n)).alias("length_bin"),
+        F.when(human & (d % 2 == 0), None).when(d % 13 == 12, "k-lost").when(pair % 3 != 0, "k-final").otherwise("k-tune").alias("key_fingerprint"),
+        F.when(d % 11 == 10, F.array(F.lit("facts"))).otherwise(F.array(F.lit("facts"), F.lit("exact"), F.lit("length"))).alias("task_checkers"),
+        metadata.alias("metadata"),
+    )
+    return rows.unionByName(rows.where(F.col("sample_id").endswith("77")))
+
+
+SQL_REGISTERED = r"""base AS (
+  SELECT doc_id AS d, doc_id // 2 AS pair, doc_id % 9 = 4 AS human, doc_id % 2 = 1 AS odd, lang,
+    len(list_filter(regexp_split_to_array(text, '[\t-\r\x1c-\x20]+'), lambda w: w <> '')) AS n FROM documents
+), reg AS (
+  SELECT d, pair, human, CASE WHEN d % 43 = 11 THEN '?' ELSE 's' END || d AS sample_id, lang AS language, odd,
+    CASE WHEN d % 23 = 9 OR pair % 3 <> 0 THEN 'final_test' ELSE 'calibration' END AS split,
+    CASE WHEN d % 41 = 7 THEN 'stranger' WHEN human THEN 'human_control' WHEN odd THEN 'matched_generator_null' ELSE 'watermarked_positive' END AS cohort,
+    CASE WHEN n < 64 THEN 'under_64' WHEN n < 128 THEN '64_127' WHEN n < 256 THEN '128_255' WHEN n < 512 THEN '256_511' ELSE '512_up' END AS bin,
+    CASE WHEN human AND d % 2 = 0 THEN NULL WHEN d % 13 = 12 THEN 'k-lost' WHEN pair % 3 <> 0 THEN 'k-final' ELSE 'k-tune' END AS key,
+    CASE WHEN human THEN NULL WHEN d % 31 = 5 THEN 'other' ELSE 'g1' END AS generator,
+    CASE WHEN human OR (NOT odd AND d % 37 = 6) THEN NULL ELSE 'd' || pair END AS decoding,
+    CASE WHEN odd AND NOT human THEN 's' || (d - CASE WHEN d % 29 = 3 THEN 2 ELSE 1 END) END AS partner FROM base
+), listed AS (SELECT *, CASE WHEN d % 17 = 2 THEN '512_up' ELSE bin END AS length_bin FROM reg
+), twice AS (SELECT *, sample_id LIKE '%77' AS dup FROM listed UNION ALL SELECT *, true FROM listed WHERE sample_id LIKE '%77'
+), crossed AS (SELECT pair FROM listed GROUP BY pair HAVING count(DISTINCT split) > 1
+), joined AS (SELECT a.*, b.sample_id AS b_id, b.cohort AS b_cohort,
+    a.split IS DISTINCT FROM b.split OR a.pair IS DISTINCT FROM b.pair OR a.pair % 2 IS DISTINCT FROM b.pair % 2 OR a.language IS DISTINCT FROM b.language
+    OR a.length_bin IS DISTINCT FROM b.length_bin OR a.generator IS DISTINCT FROM b.generator OR a.decoding IS DISTINCT FROM b.decoding AS differs
+  FROM twice a LEFT JOIN listed b ON a.partner = b.sample_id)"""
+
+
+@query(f"""WITH {SQL_REGISTERED}
+SELECT sample_id, 'malformed id' AS rule FROM twice WHERE d % 43 = 11
+UNION ALL SELECT sample_id, 'duplicate' FROM twice WHERE dup
+UNION ALL SELECT sample_id, 'unknown language' FROM twice WHERE language NOT IN ('de', 'en', 'es')
+UNION ALL SELECT sample_id, 'unknown cohort' FROM twice WHERE cohort = 'stranger'
+UNION ALL SELECT sample_id, 'metadata fields are not the cohort''s' FROM twice WHERE cohort = 'watermarked_positive' AND d % 37 = 6
+UNION ALL SELECT sample_id, 'malformed digest' FROM twice WHERE d % 19 = 8
+UNION ALL SELECT sample_id, 'wrong length bin' FROM twice WHERE length_bin <> bin
+UNION ALL SELECT sample_id, 'unregistered key' FROM twice WHERE key = 'k-lost'
+UNION ALL SELECT sample_id, 'key of another split' FROM twice WHERE (key = 'k-final' AND split <> 'final_test') OR (key = 'k-tune' AND split <> 'calibration')
+UNION ALL SELECT sample_id, 'human control with a key' FROM twice WHERE cohort = 'human_control' AND key IS NOT NULL
+UNION ALL SELECT sample_id, 'human control was exposed' FROM twice WHERE cohort = 'human_control' AND d % 5 = 0
+UNION ALL SELECT sample_id, 'human control without a date' FROM twice WHERE cohort = 'human_control' AND d % 7 = 0
+UNION ALL SELECT sample_id, 'task checkers are missing' FROM twice WHERE d % 11 = 10
+UNION ALL SELECT sample_id, 'cluster crosses splits' FROM twice SEMI JOIN crossed USING (pair)
+UNION ALL SELECT sample_id, 'null without its positive' FROM joined WHERE cohort = 'matched_generator_null' AND b_cohort IS DISTINCT FROM 'watermarked_positive'
+UNION ALL SELECT sample_id, 'null differs from its positive' FROM joined WHERE cohort = 'matched_generator_null' AND b_cohort = 'watermarked_positive' AND differs""")
+def protocol_sample_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = spark.createDataFrame([("k-final", "final_test"), ("k-tune", "calibration")], "key_fingerprint string, split string")
+    return registry.sample_breaches(registered(spark, sf_dir), keys, REGISTRY)
+
+
+RUN = registry.Run({"d1": "primary", "d2": "cross"}, ("plain", "edited"))
+
+
+@query(r"""WITH words AS (SELECT doc_id AS d, len(list_filter(regexp_split_to_array(text, '[\t-\r\x1c-\x20]+'), lambda w: w <> '')) AS n FROM documents),
+obs AS (SELECT d, n, 's' || d AS sample_id, det AS detector_id, con AS condition_id, det = 'd1' AND con = 'plain' AS here
+  FROM words, (VALUES ('d1'), ('d2')) AS a(det), (VALUES ('plain'), ('edited')) AS b(con) WHERE NOT (d % 29 = 1 AND det = 'd2' AND con = 'edited'))
+SELECT sample_id, detector_id, condition_id, rule FROM obs JOIN (VALUES
+  (2, 'score is not finite'), (3, 'tokens are negative'), (3, 'tokens differ from registration'), (4, 'tokens differ from registration'), (5, 'unknown state'),
+  (6, 'accepted without outcomes'), (7, 'outcomes without acceptance'), (8, 'malformed error'), (9, 'failed without an error'), (10, 'empty history'),
+  (11, 'attempts are not in order'), (12, 'unknown state of an attempt'), (13, 'failed attempt without an error'), (14, 'complete telemetry with gaps'),
+  (15, 'history ends otherwise'), (16, 'malformed error of an attempt'), (5, 'outcomes without acceptance'), (5, 'history ends otherwise'),
+  (9, 'failed attempt without an error'), (8, 'malformed error of an attempt'))
+  AS r(m, rule) ON d % 29 = m WHERE here
+UNION ALL SELECT sample_id, detector_id, condition_id, 'duplicate' FROM obs, range(2) WHERE here AND d % 29 = 17
+UNION ALL SELECT sample_id, 'd9', condition_id, 'unknown detector' FROM obs WHERE here AND d % 29 = 18
+UNION ALL SELECT sample_id, detector_id, 'odd', 'unknown condition' FROM obs WHERE here AND d % 29 = 19
+UNION ALL SELECT 'x' || d, detector_id, condition_id, 'unknown sample' FROM obs WHERE here AND d % 29 = 20
+UNION ALL SELECT DISTINCT sample_id, NULL, NULL, 'observations are missing' FROM obs WHERE d % 29 IN (1, 18, 19, 20)""")
+def protocol_observation_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two detectors and two conditions for each document; the first row of a document breaks a rule that goes with its id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(quality.words(F.col("text"))).alias("n"))
+    m, sample = F.col("doc_id") % 29, F.concat(F.lit("s"), F.col("doc_id").cast("string"))
+    known = docs.select(sample.alias("sample_id"), F.col("n").alias("effective_detector_tokens"))
+    each = docs.withColumn("detector_id", F.explode(F.array(F.lit("d1"), F.lit("d2")))).withColumn("condition_id", F.explode(F.array(F.lit("plain"), F.lit("edited"))))
+    each = each.where(~((m == 1) & (F.col("detector_id") == "d2") & (F.col("condition_id") == "edited")))
+    here = (F.col("detector_id") == "d1") & (F.col("condition_id") == "plain")
+    on = lambda *numbers: here & m.isin(*numbers)
+    state = F.when(on(5), "lost").when(on(7), "abstained").when(on(8, 9, 13, 16), "failed").otherwise("accepted")
+    error = F.when(on(8), "not a name").when(on(13, 16), "timeout")
+    gate = F.when(on(6, 8, 9, 13, 16), None).otherwise(F.lit(True))
+    costs = lambda gap: F.struct(F.lit(1).cast("long").alias("remote_queries"), F.when(gap, None).otherwise(F.lit(5).cast("long")).alias("generated_tokens"),
+        F.lit(0.5).alias("estimated_cost_usd"))
+    attempt = lambda i, s, e, gap, full: F.struct(i.alias("attempt_index"), s.alias("state"), e.alias("error_class"), costs(gap).alias("telemetry"), full.alias("telemetry_complete"))
+    no, yes = F.lit(False), F.lit(True)
+    early = attempt(F.lit(1), F.when(on(12), "lost").when(on(13), "failed").when(on(16), "failed").otherwise("abstained"),
+        F.when(on(16), F.lit("no name!")).otherwise(F.lit(None).cast("string")), on(14), on(14))
+    final = attempt(F.when(on(11), 3).otherwise(2), F.when(on(5), "accepted").otherwise(state), F.when(on(15), "late").otherwise(error), no, yes)
+    rows = each.select(
+        F.when(on(20), F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(sample).alias("sample_id"),
+        F.when(on(18), "d9").otherwise(F.col("detector_id")).alias("detector_id"), F.when(on(19), "odd").otherwise(F.col("condition_id")).alias("condition_id"),
+        F.when(on(2), float("nan")).otherwise(1.0).alias("source_score"), F.lit(0.5).alias("candidate_score"),
+        F.when(on(3), -1).when(on(4), F.col("n") + 1).otherwise(F.col("n")).alias("source_effective_tokens"), F.lit(3).alias("candidate_effective_tokens"),
+        state.alias("transformation_state"), gate.alias("quality_gate_passed"), gate.alias("task_check_passed"), error.alias("error_class"),
+        costs(no).alias("telemetry"), F.when(on(10), F.slice(F.array(early), 1, 0)).otherwise(F.array(early, final)).alias("attempt_history"), on(17).alias("again"),
+    )
+    rows = rows.unionByName(rows.where("again")).drop("again")
+    return registry.observation_breaches(rows, known, RUN)
+
+
 @query()
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
