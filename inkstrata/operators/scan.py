@@ -74,21 +74,42 @@ def on_changed_lines(findings: DataFrame, changed: DataFrame) -> DataFrame:
     return findings.join(changed.select("path", "line").distinct(), ["path", "line"], "left_semi")
 
 
+# The head of a hunk, with the first new line.
+HUNK = r"^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)(?:,[0-9]+)? @@"
+
+
 def changed_lines(diffs: DataFrame) -> DataFrame:
-    """Added lines of unified diffs(diff_id, text): diff_id, path, line."""
-    rows = diffs.select("diff_id", F.posexplode(F.split("text", "\n")).alias("i", "row"))
-    order = Window.partitionBy("diff_id").orderBy("i")
-    path = F.when(F.col("row").startswith("+++ "), F.regexp_replace("row", r"^\+\+\+ (?:b/)?", ""))
-    hunk = F.when(F.col("row").startswith("@@"), F.col("i"))
-    first = F.when(F.col("row").startswith("@@"), F.regexp_extract("row", r"^@@ -\S+ \+(\d+)", 1).cast("int"))
-    marked = (
-        rows.withColumn("path", F.last(path, ignorenulls=True).over(order))
-        .withColumn("hunk", F.last(hunk, ignorenulls=True).over(order))
-        .withColumn("first", F.last(first, ignorenulls=True).over(order))
+    """Added lines of unified diffs(diff_id, text), of any number of files and hunks: diff_id, path, line.
+
+    A line of a diff belongs to the nearest head above it: of a file (``+++``) or of a
+    hunk. New lines are counted from a hunk's first one over added and kept lines. A line
+    that is neither added, removed, kept nor a note ends its hunk; empty ones are passed
+    over. Files that are gone (/dev/null) have no lines. Heads carry down by running
+    windows within a diff, so a diff is sorted once.
+    """
+    rows = diffs.select("diff_id", F.posexplode(F.split("text", LINE_ENDS)).alias("i", "row"))
+    row = F.col("row")
+    file, hunk = row.startswith("+++ "), row.rlike(HUNK)
+    name = F.substring_index(F.substring(row, 5, 1 << 20), "\t", 1)
+    path = F.when(file, F.when(name.startswith("b/"), F.substring(name, 3, 1 << 20)).otherwise(name))
+    above = Window.partitionBy("diff_id").orderBy("i")
+    heads = rows.withColumns(
+        {
+            "path": F.last(path, ignorenulls=True).over(above),
+            "head": F.last(F.when(file | hunk, F.struct("i", hunk.alias("hunk"), F.regexp_extract(row, HUNK, 1).try_cast("long").alias("first"))), ignorenulls=True).over(above),
+        }
+    )
+    body = heads.where(F.col("head.hunk") & (F.col("i") > F.col("head.i")) & (F.col("path") != "/dev/null") & (row != ""))
+    marker = F.substring(row, 1, 1)
+    within = Window.partitionBy("diff_id", "head.i").orderBy("i")
+    counted = body.withColumns(
+        {
+            "ended": F.count_if(~marker.isin("+", "-", " ", "\\")).over(within),
+            "passed": F.count_if(marker.isin("+", " ")).over(within),
+        }
     )
-    body = marked.where(F.col("hunk").isNotNull() & (F.col("i") > F.col("hunk")) & F.col("row").rlike(r"^[+ ]") & ~F.col("row").startswith("+++ "))
-    at = F.row_number().over(Window.partitionBy("diff_id", "hunk").orderBy("i"))
-    return body.withColumn("line", F.col("first") + at - 1).where(F.col("row").startswith("+")).select("diff_id", "path", "line")
+    added = counted.where((F.col("ended") == 0) & (marker == "+"))
+    return added.select("diff_id", "path", (F.col("head.first") + F.col("passed") - 1).cast("int").alias("line"))
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:

@@ -384,6 +384,28 @@ def scan_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.changed_lines(diffs).groupBy("path").agg(F.count("*").alias("n"), F.min("line").alias("first"))
 
 
+@query("""WITH lines AS (SELECT doc_id AS d, len(string_split(text, chr(10))) AS n FROM documents), each AS (SELECT d, i FROM lines, unnest(range(1, n + 1)) AS t(i)),
+marked AS (SELECT d, i, i % 3 AS a, (i + d) % 3 AS b FROM each),
+counted AS (SELECT d, 'docs/' || d || '.txt' AS path, 5 + (i - 1) - (i - 1 + 1) // 3 AS line FROM marked WHERE a = 0
+  UNION ALL SELECT d, 'docs/' || d || '.txt', line FROM (
+    SELECT d, b, 9000 + sum(CASE WHEN b IN (0, 1) THEN 1 ELSE 0 END) OVER (PARTITION BY d ORDER BY i) - 1 AS line FROM marked) WHERE b = 0
+  UNION ALL SELECT d, 'more/' || d || '.md', 41 FROM lines UNION ALL SELECT d, 'more/' || d || '.md', 43 FROM lines)
+SELECT d AS diff_id, path, count(*) AS n, sum(line)::BIGINT AS total, max(line)::INT AS last FROM counted GROUP BY ALL""")
+def scan_diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diffs of three files, one of them gone, with several hunks: lines of a document are added, kept or removed in turn."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    mark = lambda n: F.when(n % 3 == 0, "+").when(n % 3 == 1, " ").otherwise("-")
+    hunk = lambda shift: F.array_join(F.transform("lines", lambda x, i: F.concat(mark(i + 1 + shift), x)), "\n")
+    name = F.col("doc_id").cast("string")
+    text = F.concat(
+        F.lit("diff --git a/x b/x\nindex 1..2\n--- a/x\n+++ b/docs/"), name, F.lit(".txt\n@@ -1,9 +5,9 @@ part\n"), hunk(0), F.lit("\n\\ No newline at end of file\n"),
+        F.lit("@@ -80 +9000 @@\n"), hunk(F.col("doc_id")), F.lit("\ndiff --git a/y b/y\n+not in a hunk\n--- a/y\n+++ /dev/null\n@@ -1,2 +1,2 @@\n+gone\n"),
+        F.lit("--- a/z\n+++ b/more/"), name, F.lit(".md\t2020-01-01\n+before a hunk\n@@ -3,2 +41,3 @@\n+one\n two\n\n-old\n+three\nend\n+after the end\n"),
+    )
+    found = scan.changed_lines(docs.select(F.col("doc_id").alias("diff_id"), text.alias("text")))
+    return found.groupBy("diff_id", "path").agg(F.count("*").alias("n"), F.sum("line").alias("total"), F.max("line").alias("last"))
+
+
 @query(f"""WITH {SQL_SCAN} SELECT path, count(*) AS n_results, 1::BIGINT AS n_rules FROM marked GROUP BY path""")
 def scan_sarif_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = jobs.sarif_logs(scan.scan(files(spark, sf_dir)))
