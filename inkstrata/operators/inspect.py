@@ -162,7 +162,9 @@ def occurrences(
         cp = F.ascii(ch)
         before = F.substring(text, F.lit(1), at)
         after = F.substring(text, at + 2, F.length(text))
-        left = F.reverse(cut(F.greatest(F.lit(1), at - LOOK_THROUGH + 1), F.least(at, F.lit(LOOK_THROUGH))))
+        # Single places: a slice of an array takes time with the whole text, for every hit.
+        near = lambda *places: F.concat(*[F.coalesce(F.get("chars_", at + k), F.lit("")) for k in places])
+        left, right = near(*range(-1, -LOOK_THROUGH - 1, -1)), near(*range(1, LOOK_THROUGH + 1))
         letter = in_class(ch, r"\x{80}-\x{10FFFF}&&[" + U.confusable_class() + "]")
         word = F.concat(
             F.reverse(F.regexp_extract(F.reverse(before), f"^{parts}", 0)), ch, F.regexp_extract(after, f"^{parts}", 0)
@@ -175,7 +177,7 @@ def occurrences(
             at.alias("position"),
             ch.alias("ch"),
             F.when(at > 0, nearest(left)).otherwise("").alias("left_"),
-            nearest(cut(at + 2, F.lit(LOOK_THROUGH))).alias("right_"),
+            nearest(right).alias("right_"),
             F.coalesce(F.get("chars_", at + 1), F.lit("")).alias("after_"),
             F.when(in_class(ch, BIDI), around).otherwise("").alias("around_"),
             F.when(letter, word).otherwise("").alias("word_"),

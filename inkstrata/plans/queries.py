@@ -34,6 +34,9 @@ from ..operators import (
     strategies,
 )
 
+from ..sources import files as file_sources
+from ..sources import shared
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -406,6 +409,35 @@ def scan_diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("diff_id", "path").agg(F.count("*").alias("n"), F.sum("line").alias("total"), F.max("line").alias("last"))
 
 
+#: Documents of a file, and the largest file that is read, in scans of files.
+IN_FILE, MOST_BYTES = 50, 150_000
+
+
+@query(f"""WITH {SQL_SCAN}, sizes AS (
+  SELECT doc_id, doc_id // {IN_FILE} AS file, strlen(text) + 1 AS bytes, len(string_split(text, chr(10))) AS n_lines FROM planted
+), whole AS (SELECT file, sum(bytes) > {MOST_BYTES} AS big FROM sizes GROUP BY file
+), placed AS (SELECT doc_id, file, sum(n_lines) OVER (PARTITION BY file ORDER BY doc_id) - n_lines AS before FROM sizes
+), found AS (
+  SELECT file, count(*) AS n, sum(m.line + before)::BIGINT AS lines, sum(m."column")::BIGINT AS columns
+  FROM marked m JOIN placed p ON m.path = 'docs/' || p.doc_id || '.txt' GROUP BY file)
+SELECT w.file, CASE WHEN big THEN 'over the size limit' END AS error, CASE WHEN big THEN 0 ELSE coalesce(n, 0) END AS n_findings,
+  CASE WHEN big THEN 0 ELSE coalesce(lines, 0) END AS lines, CASE WHEN big THEN 0 ELSE coalesce(columns, 0) END AS columns,
+  CASE WHEN big THEN 0 ELSE coalesce(n, 0) END AS n_edits, CASE WHEN big THEN 0 ELSE coalesce(lines, 0) END AS edit_lines
+FROM whole w LEFT JOIN found f ON w.file = f.file""")
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted documents written as files, scanned from there: findings, located edits, and errors of files over the limit."""
+    texts = planted(spark, sf_dir, "zero_width").select(F.floor(F.col("doc_id") / IN_FILE).alias("file"), "doc_id", "text")
+    root = shared.scratch(spark, "files")
+    file_sources.write_texts(texts, root, "file", "doc_id")
+    report = jobs.run(spark, root, jobs.Policy(extensions=(".txt",), max_file_bytes=MOST_BYTES), fix=True)
+    of = F.regexp_extract("path", "/file=([0-9]+)/", 1).cast("long").alias("file")
+    read = file_sources.text_files(spark, root, (".txt",), (), MOST_BYTES)
+    edits = jobs.located_edits(read.where("error is null").select("path", "text"), report.fixes)
+    total = lambda df, n, *sums: df.groupBy(of).agg(F.count("*").alias(n), *[F.sum(c).alias(name) for c, name in sums])
+    out = read.select(of, "error").join(total(report.findings, "n_findings", ("line", "lines"), ("column", "columns")), "file", "left")
+    return out.join(total(edits, "n_edits", ("line", "edit_lines")), "file", "left").na.fill(0)
+
+
 @query(f"""WITH {SQL_SCAN} SELECT path, count(*) AS n_results, 1::BIGINT AS n_rules FROM marked GROUP BY path""")
 def scan_sarif_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = jobs.sarif_logs(scan.scan(files(spark, sf_dir)))

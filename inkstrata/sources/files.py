@@ -32,6 +32,15 @@ def text_files(
     return read.unionByName(large)
 
 
+def write_texts(texts: DataFrame, folder: str, bucket: str, order: str) -> None:
+    """texts(bucket, order, text) as files, one for each bucket, its texts in order with a newline behind each.
+
+    A bucket's rows pass through one writer, so buckets should be of bounded size.
+    """
+    rows = texts.repartition(bucket).sortWithinPartitions(bucket, order)
+    rows.select(bucket, "text").write.partitionBy(bucket).text(folder)
+
+
 def json_lines(spark: SparkSession, path: str, schema: str = "doc_id long, text string") -> DataFrame:
     """JSON records; a bad line keeps its neighbours and is returned with ``error``."""
     rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
