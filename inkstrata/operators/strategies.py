@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import shared
 from . import quality, spans
 
 # Words and their plain replacements.
@@ -161,33 +163,47 @@ def mitigate(texts: DataFrame, detector: Detector, strategies: list[Strategy], v
     """A search for the least edit that clears the detector: doc_id, outcome, text, n_rounds, edit_characters.
 
     ``detector`` adds status and margin; a strategy turns (doc_id, text) into
-    candidates (doc_id, text, candidate). In each round, the candidates of the
-    ``beam`` best nodes of a document that pass the quality checks against its
-    source are scored. The best cleared one is checked by ``verifier``; without
+    candidates (doc_id, text, candidate), where doc_id names a node of the search. The
+    frontier is a table of nodes, the ``beam`` best of each document. In each round
+    their candidates, less all that the document has seen in any round, are checked for
+    quality against the source and scored; the round is then a table of its own, so
+    nothing is computed twice and no plan grows with the rounds. A round without new
+    nodes is the last. The best cleared candidate is checked by ``verifier``; without
     one that holds, the outcome is ``rolled_back`` and the text is the source.
-    Rounds are few and fixed, so the plan is too; each is one pass.
     """
-    scored = detector(texts.select("doc_id", "text"), "text").select("doc_id", "text", "status")
+    if rounds < 1 or beam < 1 or not strategies:
+        raise ValueError("a search takes a round, a place in the beam and a strategy at least")
+    mark = F.sha2(F.col("candidate").cast("binary"), 256)
+    scored = shared.kept(detector(texts.select("doc_id", "text"), "text").select("doc_id", "text", "status"), "scored")
     marked = scored.where("status = 'detected'").select("doc_id", F.col("text").alias("source"))
-    nodes, seen = marked.select("doc_id", F.col("source").alias("text")), None
+    nodes = marked.select("doc_id", F.col("source").alias("text"))
+    seen = marked.select("doc_id", F.sha2(F.col("source").cast("binary"), 256).alias("mark"))
+    levels = []
     for turn in range(1, rounds + 1):
+        node = F.concat_ws(":", F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), F.sha2(F.col("text").cast("binary"), 256))
+        front = nodes.withColumn("node", node)
         made = None
         for strategy in strategies:
-            part = strategy(nodes).select("doc_id", "candidate")
+            part = strategy(front.select(F.col("node").alias("doc_id"), "text")).select(F.col("doc_id").alias("node"), "candidate")
             made = part if made is None else made.unionByName(part)
-        pairs = made.dropDuplicates(["doc_id", "candidate"]).join(marked, "doc_id").where("candidate <> source")
-        good = quality.evaluate(pairs).where("passed").select("doc_id", "source", "candidate")
+        made = made.join(front.select("node", "doc_id"), "node").select("doc_id", "candidate").where("candidate is not null")
+        fresh = made.withColumn("mark", mark).dropDuplicates(["doc_id", "mark"]).join(seen, ["doc_id", "mark"], "left_anti")
+        fresh = shared.kept(fresh, "candidates")
+        good = quality.evaluate(fresh.drop("mark").join(marked, "doc_id")).where("passed").select("doc_id", "source", "candidate")
         rated = detector(good, "candidate").select("doc_id", "source", "candidate", "status", "margin")
         rated = rated.withColumn("edit_characters", edit_characters("source", "candidate"))
         best = F.row_number().over(Window.partitionBy("doc_id").orderBy(*node_order()))
-        kept = rated.withColumn("place", best).where(F.col("place") <= beam).withColumn("n_rounds", F.lit(turn))
-        seen = kept if seen is None else seen.unionByName(kept)
-        nodes = kept.where("status <> 'not_detected'").select("doc_id", F.col("candidate").alias("text"))
-    cleared = seen.where("status = 'not_detected'")
+        level = shared.kept(rated.withColumn("place", best).where(F.col("place") <= beam).withColumn("n_rounds", F.lit(turn)), "level")
+        levels.append(level)
+        nodes = level.where("status <> 'not_detected'").select("doc_id", F.col("candidate").alias("text"))
+        seen = seen.unionByName(fresh.select("doc_id", "mark"))
+        if nodes.isEmpty():
+            break
+    cleared = reduce(DataFrame.unionByName, levels).where("status = 'not_detected'")
     if verifier is not None:
         checked = verifier(cleared.drop("status", "margin"), "candidate")
         cleared = checked.where("status = 'not_detected'")
-    least = Window.partitionBy("doc_id").orderBy("n_rounds", "edit_characters", F.sha2(F.col("candidate").cast("binary"), 256))
+    least = Window.partitionBy("doc_id").orderBy("n_rounds", "edit_characters", mark)
     won = cleared.withColumn("first", F.row_number().over(least)).where("first = 1").select("doc_id", "candidate", "n_rounds", "edit_characters")
     out = scored.join(won, "doc_id", "left")
     outcome = F.when(F.col("status") != "detected", "not_detected").when(F.col("candidate").isNull(), "rolled_back").otherwise("cleared")

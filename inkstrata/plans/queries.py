@@ -1450,6 +1450,43 @@ def span_green_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strategies.estimate_green(token_scores(spark, sf_dir), 0.9)
 
 
+#: Words of the lexicon that the search below plants, as many as go with the id, and how many may stay.
+SEARCHED, ALLOWED = ("however", "numerous", "perhaps", "therefore", "typically", "regarding", "frequently", "primarily"), 1
+
+
+def wordy(rows: DataFrame, column: str) -> DataFrame:
+    """A detector of texts with more than ALLOWED of the searched words."""
+    words = F.filter(F.split(column, "[^a-z]+"), lambda w: w.isin(*SEARCHED))
+    margin = (F.size(words) - ALLOWED).cast("double")
+    return rows.withColumn("margin", margin).withColumn("status", F.when(margin > 0, "detected").otherwise("not_detected"))
+
+
+def near_searched(rows: DataFrame) -> DataFrame:
+    """Candidates of edits at the searched words of each node."""
+    found = strategies.plain_words(rows).where(F.col("word").isin(*SEARCHED))
+    signal = found.select("doc_id", "start", "end", F.lit(5.0).alias("score"), F.lit(0.01).alias("p_value"), F.lit(4.0).alias("threshold"))
+    return strategies.candidates(rows, signal, reach=0)
+
+
+@query(rf"""WITH planted AS (
+  SELECT item_id AS doc_id, item_id % 9 AS m, text || ' ' || array_to_string([{", ".join(f"'{w}'" for w in SEARCHED)}][1:item_id % 9], ' zz ') AS text FROM benchmark
+), words AS (
+  SELECT *, list_reverse(list_reverse(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'))[1:80]) AS w FROM planted
+), judged AS (SELECT *, len(w) > 0 AND len(list_distinct(w))::DOUBLE / len(w) < 0.35 AS repeats, regexp_matches(text, '(?i)\[(?:BLANK|MASK)(?:_\d+)?\]|<mask>') AS masked FROM words)
+SELECT doc_id, CASE WHEN m <= {ALLOWED} THEN 'not_detected' WHEN repeats OR masked OR m > 6 + {ALLOWED} THEN 'rolled_back' ELSE 'cleared' END AS outcome,
+  CASE WHEN m > {ALLOWED} AND m <= 6 + {ALLOWED} AND NOT repeats AND NOT masked THEN CASE WHEN m <= 3 + {ALLOWED} THEN 1 ELSE 2 END END AS n_rounds,
+  CASE WHEN m <= {ALLOWED} OR repeats OR masked OR m > 6 + {ALLOWED} THEN m ELSE NULL END AS left_as_is FROM judged""")
+def strategy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search on benchmark items with up to eight words to replace: three a round, so that some clear at once, some later, and some never."""
+    docs = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
+    tail = F.array_join(F.slice(F.array(*map(F.lit, SEARCHED)), F.lit(1), (F.col("doc_id") % 9).cast("int")), " zz ")
+    texts = docs.select("doc_id", F.concat("text", F.lit(" "), tail).alias("text"))
+    found = strategies.mitigate(texts, wordy, [near_searched]).select("doc_id", "outcome", F.col("text").alias("after"), "n_rounds")
+    same = found.join(texts, "doc_id").withColumn("same", F.col("after") == F.col("text"))
+    kept = F.when(F.col("same"), F.col("doc_id") % 9)
+    return same.select("doc_id", "outcome", "n_rounds", kept.alias("left_as_is"))
+
+
 @query(f"""WITH {SQL_TOP}, isl AS (SELECT doc_id, token_id, start, "end", token_id - row_number() OVER (PARTITION BY doc_id ORDER BY token_id) AS g FROM top),
 m AS (SELECT doc_id, max("end") - min(start) AS n FROM isl GROUP BY doc_id, g), c AS (SELECT doc_id, count(*) AS k, sum(n) AS n FROM m GROUP BY doc_id)
 SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_blanks, (length(text) - coalesce(n, 0) + 7 * coalesce(k, 0))::BIGINT AS n_chars FROM documents d LEFT JOIN c USING (doc_id)""")
