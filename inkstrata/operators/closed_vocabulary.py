@@ -98,14 +98,18 @@ def g_values(hashes: np.ndarray, key: int) -> np.ndarray:
     return (value >> np.int64(30)) & np.int64(1)
 
 
+def start_value(keys: Sequence[int]) -> int:
+    """Where the fold begins under a set of keys."""
+    return int.from_bytes(hashlib.sha256(struct.pack(f"<{len(keys)}q", *keys)).digest(), "big") % ((1 << 63) - 1)
+
+
 def ngram_mean(ids: Sequence[int], keys: Sequence[int], ngram: int, history: int, eos: int) -> tuple[int, float | None]:
     """Effective tokens and mean bit of one id sequence; repeated contexts and what follows the end are masked."""
     ids = np.asarray(ids, np.int64)
     n = len(ids) - ngram + 1
     if n <= 0:
         return 0, None
-    digest = hashlib.sha256(struct.pack(f"<{len(keys)}q", *keys)).digest()
-    start = np.full(n, int.from_bytes(digest, "big") % ((1 << 63) - 1), np.int64)
+    start = np.full(n, start_value(keys), np.int64)
     columns = [ids[j : j + n] for j in range(ngram)]
     context = fold(start, columns[:-1])
     hashes = fold(context, columns[-1:])

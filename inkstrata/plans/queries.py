@@ -1390,7 +1390,21 @@ def protocol_observation_breaches(spark: SparkSession, sf_dir: str) -> DataFrame
     return registry.observation_breaches(rows, known, RUN)
 
 
-@query()
+SQL_CHUNKED = rf"""marked AS (
+  SELECT doc_id, text, replace(regexp_replace(regexp_replace(text, '(\n[{SQL_BLANK}]*\n)', chr(2) || '\1' || chr(1), 'g'),
+    '([.!?])([{SQL_BLANK}])', '\1' || chr(1) || '\2', 'g'), chr(2), '') AS m FROM documents
+), parts AS (SELECT doc_id, p, length(part) AS n FROM (
+    SELECT doc_id, unnest(string_split(m, chr(1))) AS part, generate_subscripts(string_split(m, chr(1)), 1) AS p FROM marked WHERE length(text) > 512) WHERE part <> ''
+), pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p, j) AS k, least(512, n - 512 * j) AS n
+  FROM parts, unnest(range((n - 1) // 512 + 1)) AS t(j)
+), packed(doc_id, k, i, now) AS (
+  SELECT doc_id, k, 0, n FROM pieces WHERE k = 1
+  UNION ALL SELECT a.doc_id, b.k, CASE WHEN a.now + b.n <= 512 THEN a.i ELSE a.i + 1 END, CASE WHEN a.now + b.n <= 512 THEN a.now + b.n ELSE b.n END
+  FROM packed a JOIN pieces b ON b.doc_id = a.doc_id AND b.k = a.k + 1)"""
+
+
+@query(f"""WITH RECURSIVE {SQL_CHUNKED} SELECT doc_id, i::INT AS i, max(now)::INT AS n FROM packed GROUP BY ALL
+UNION ALL SELECT doc_id, 0, length(text)::INT FROM documents WHERE length(text) <= 512""")
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cut = docs.select("doc_id", F.posexplode(spans.chunk(F.col("text"), 512)).alias("i", "chunk"))
@@ -1565,10 +1579,36 @@ def detect_closed_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "effective_tokens", F.round("score", 9).alias("score"), "status")
 
 
-@query()
+NGRAM_KEYS = (11, 29, 47)
+HALF, WHOLE = "9223372036854775808::HUGEINT", "18446744073709551616::HUGEINT"
+
+
+def sql_fold(value: str, *columns: object) -> str:
+    """The wrapping 64-bit fold as 128-bit arithmetic modulo 2^64."""
+    for c in columns:
+        value = f"((((({value}) + {c}::HUGEINT) * {closed_vocabulary.MULTIPLIER}::HUGEINT + 1 + {HALF}) % {WHOLE} + {WHOLE}) % {WHOLE} - {HALF})"
+    return value
+
+
+def sql_bit(key: int) -> str:
+    value = sql_fold("h", key)
+    for _ in range(12):
+        value = f"(({sql_fold(value, 1)} + {HALF}) // 32 - 288230376151711744::HUGEINT)"
+    return f"((({value}) + {HALF}) // 1073741824) % 2"
+
+
+SQL_NGRAMS = f"""WITH seqs AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[a-z]'), lambda c: ascii(c)::HUGEINT) AS w FROM documents
+), contexts AS (SELECT doc_id, i, w[i + 4] AS last, {sql_fold(str(closed_vocabulary.start_value(NGRAM_KEYS)) + "::HUGEINT", "w[i]", "w[i + 1]", "w[i + 2]", "w[i + 3]")} AS c
+  FROM seqs, unnest(range(1, len(w) - 3)) AS t(i)
+), kept AS (SELECT doc_id, {sql_fold("c", "last")} AS h FROM contexts QUALIFY coalesce(i - lag(i) OVER (PARTITION BY doc_id, c ORDER BY i) > 1024, true)
+), bits AS (SELECT doc_id, count(*) AS n, sum({" + ".join(sql_bit(k) for k in NGRAM_KEYS)}) AS ones FROM kept GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS effective_tokens, ones::DOUBLE / (n * {len(NGRAM_KEYS)}) AS mean_g FROM documents d LEFT JOIN bits USING (doc_id)"""
+
+
+@query(SQL_NGRAMS)
 def detect_ngram_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = letters(spark, sf_dir).select("doc_id", F.transform("w", lambda c: F.ascii(c).cast("long")).alias("ids"))
-    return closed_vocabulary.with_ngram_mean(ids, "ids", [11, 29, 47]).drop("ids")
+    return closed_vocabulary.with_ngram_mean(ids, "ids", NGRAM_KEYS).drop("ids")
 
 
 @query("""SELECT doc_id, '{"id":' || doc_id || ',"lang":"' || lang || '"}' AS canonical FROM documents""")
