@@ -7,7 +7,7 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,12 +46,30 @@ def canonical_json(text: pd.Series) -> pd.Series:
     def one(x: str | None) -> str | None:
         try:
             return json.dumps(finite(strict(x)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, RecursionError):
             return None
 
     return text.map(one)
 
 
+#: Text in which JVM and Python may print a value in different ways: fractions and exponents, long numbers, escaped or
+#: astral characters.
+UNLIKE = r"[0-9][.eE]|[0-9]{18}|\\\\u|[\x{10000}-\x{10FFFF}]"
+
+
+def canonical(text: Column) -> Column:
+    """``canonical_json`` in the JVM, by way of a variant, which sorts keys and refuses repeated ones and NaN.
+
+    The parser stops at the end of the first value; inside an array and inside an object,
+    nothing else can follow it. Only texts like UNLIKE go to Python.
+    """
+    inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.try_parse_json(F.concat(F.lit('{"k":'), text, F.lit("}"))).isNotNull()
+    listed = F.to_json(F.when(alone, inside))
+    plain = F.substring(listed, F.lit(2), F.length(listed) - 2)
+    return F.when(text.rlike(UNLIKE), canonical_json(F.when(text.rlike(UNLIKE), text))).otherwise(plain)
+
+
 Detector = Callable[[DataFrame], DataFrame]
 _registry: dict[str, tuple[Detector, dict[str, str]]] = {}
 

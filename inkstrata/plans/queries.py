@@ -1611,6 +1611,23 @@ def detect_ngram_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closed_vocabulary.with_ngram_mean(ids, "ids", NGRAM_KEYS).drop("ids")
 
 
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE sha256('{"a":{"k":"' || lang || '"},' ||
+  CASE WHEN doc_id % 6 = 4 THEN '"n":[1.5,1e+20,"😀"],' ELSE '' END || '"t":' || to_json(text) || ',"z":[' || doc_id || ',{"b":[true],"y":null}]}') END AS canonical FROM documents""")
+def records_strict_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts inside nested records: sorted and compact; a repeated key, NaN and what follows a value are refused."""
+    d = F.col("doc_id")
+    quoted = F.to_json(F.struct(F.col("text").alias("t")))
+    more = (
+        F.when(d % 6 == 1, ', "a": 1}').when(d % 6 == 2, ', "n": NaN}').when(d % 6 == 3, "} 1")
+        .when(d % 6 == 4, ', "n" :[1.50, 1E20, "\\ud83d\\ude00"]}').otherwise(" }")
+    )
+    text = F.concat(
+        F.lit(' {"z": ['), d.cast("string"), F.lit(', {"y": null,\n"b":[true ]}], "t" :'), F.substring(quoted, F.lit(6), F.length(quoted) - 6),
+        F.lit(', "a":{"k": "'), F.col("lang"), F.lit('"}'), more,
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(records.canonical(text).cast("binary"), 256).alias("canonical"))
+
+
 @query("""SELECT doc_id, '{"id":' || doc_id || ',"lang":"' || lang || '"}' AS canonical FROM documents""")
 def records_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
