@@ -189,7 +189,9 @@ def mitigate(texts: DataFrame, detector: Detector, strategies: list[Strategy], v
         made = made.join(front.select("node", "doc_id"), "node").select("doc_id", "candidate").where("candidate is not null")
         fresh = made.withColumn("mark", mark).dropDuplicates(["doc_id", "mark"]).join(seen, ["doc_id", "mark"], "left_anti")
         fresh = shared.kept(fresh, "candidates")
-        good = quality.evaluate(fresh.drop("mark").join(marked, "doc_id")).where("passed").select("doc_id", "source", "candidate")
+        # A filter on a report itself would be pushed below it, with all its expressions written out again for each use.
+        judged = quality.evaluate(fresh.drop("mark").join(marked, "doc_id")).select("doc_id", "source", "candidate", "passed")
+        good = shared.kept(judged, "judged").where("passed").drop("passed")
         rated = detector(good, "candidate").select("doc_id", "source", "candidate", "status", "margin")
         rated = rated.withColumn("edit_characters", edit_characters("source", "candidate"))
         best = F.row_number().over(Window.partitionBy("doc_id").orderBy(*node_order()))
