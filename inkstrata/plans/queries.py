@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from ..operators import (
     covert,
     detect,
     evaluation,
+    gates,
     inspect,
     intervals,
     jobs,
@@ -27,6 +29,7 @@ from ..operators import (
     quality,
     records,
     registry,
+    removal,
     sanitize,
     scan,
     session,
@@ -1501,6 +1504,54 @@ def strategy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same.select("doc_id", "outcome", "n_rounds", kept.alias("left_as_is"))
 
 
+#: The answers of the rewriter below by the id's remainder: a line that is hidden, a number, none, a plain line, an empty text.
+ANSWERS = ("\n\u200b", "\n7041", None, "\nindeed", "")
+
+
+def answered(rows: DataFrame) -> DataFrame:
+    """A rewriter that adds a line by id, or gives nothing, or an empty text."""
+    turn = F.col("doc_id") % len(ANSWERS)
+    line = F.get(F.array(*map(F.lit, ANSWERS)), turn.cast("int"))
+    return rows.select("doc_id", F.when(turn == 4, "").otherwise(F.concat("text", line)).alias("candidate"))
+
+
+def uneven(batch: pd.DataFrame) -> pd.DataFrame:
+    """A check that fails candidates whose length is a multiple of seven."""
+    return pd.DataFrame({"score": (batch["candidate"].str.len() % 7 != 0).astype("float64"), "items": 1})
+
+
+def hinted(rows: DataFrame, column: str) -> DataFrame:
+    """A detector of texts with a hidden character or the rewriter's word."""
+    return rows.withColumn("status", F.when(F.col(column).rlike("[\u200b\u200c]|indeed"), "detected").otherwise("not_detected"))
+
+
+@query(rf"""WITH {SQL_ZERO}, asked AS (
+  SELECT doc_id, cover, doc_id % 11 = 10 AS missing, CASE WHEN doc_id % 11 <> 10 THEN text END AS text,
+    CASE doc_id % 5 WHEN 0 THEN cover || chr(10) || chr(8203) WHEN 1 THEN cover || chr(10) || '7041' WHEN 3 THEN cover || chr(10) || 'indeed' WHEN 4 THEN '' END AS candidate
+  FROM planted
+), sizes AS (
+  SELECT *, len(regexp_extract_all(candidate, '[^{SQL_BLANK}]+'))::DOUBLE / greatest(1, len(regexp_extract_all(cover, '[^{SQL_BLANK}]+'))) AS ratio,
+    list_reverse(list_reverse(regexp_extract_all(lower(candidate), '[\p{{L}}\p{{N}}_]+'))[1:80]) AS w,
+    regexp_matches(candidate, '(?i)\[(?:BLANK|MASK)(?:_\d+)?\]|<mask>') AS masked FROM asked
+), judged AS (
+  SELECT *, CASE WHEN missing THEN 'refused' WHEN candidate IS NULL THEN 'rewrite_missing'
+    WHEN doc_id % 5 IN (1, 4) OR ratio NOT BETWEEN 0.70 AND 1.35 OR masked OR length(candidate) % 7 = 0
+      OR (len(w) > 0 AND len(list_distinct(w))::DOUBLE / len(w) < 0.35) THEN 'rewrite_rejected' ELSE 'rewritten' END AS outcome FROM sizes
+), ended AS (
+  SELECT *, CASE WHEN outcome = 'rewritten' THEN replace(candidate, chr(8203), '') WHEN NOT missing THEN cover END AS after FROM judged
+)
+SELECT doc_id, outcome, CASE WHEN missing THEN 'no text' END AS error, length(after) AS n_chars, CASE WHEN NOT missing THEN length(text) - length(cover) END AS n_edits,
+  sha256(text) AS input_sha256, sha256(after) AS output_sha256,
+  CASE WHEN missing THEN NULL WHEN regexp_matches(text, '[\x{{200B}}\x{{200C}}]|indeed') THEN 'detected' ELSE 'not_detected' END AS detector_before,
+  CASE WHEN missing THEN NULL WHEN regexp_matches(after, '[\x{{200B}}\x{{200C}}]|indeed') THEN 'detected' ELSE 'not_detected' END AS detector_after FROM ended""")
+def removal_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way of documents with hidden characters, some of them without a text: cleaned, rewritten, judged, verified."""
+    texts = planted(spark, sf_dir, "zero_width").select("doc_id", F.when(F.col("doc_id") % 11 != 10, F.col("text")).alias("text"))
+    out = removal.remove(texts, "safe", answered, [gates.Gate("uneven", uneven, 0.5)], hinted)
+    fields = ("n_edits", "input_sha256", "output_sha256", "detector_before", "detector_after")
+    return out.select("doc_id", "outcome", "error", F.length("text").alias("n_chars"), *[F.col(f"receipt.{c}").alias(c) for c in fields])
+
+
 @query(f"""WITH {SQL_TOP}, isl AS (SELECT doc_id, token_id, start, "end", token_id - row_number() OVER (PARTITION BY doc_id ORDER BY token_id) AS g FROM top),
 m AS (SELECT doc_id, max("end") - min(start) AS n FROM isl GROUP BY doc_id, g), c AS (SELECT doc_id, count(*) AS k, sum(n) AS n FROM m GROUP BY doc_id)
 SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_blanks, (length(text) - coalesce(n, 0) + 7 * coalesce(k, 0))::BIGINT AS n_chars FROM documents d LEFT JOIN c USING (doc_id)""")
