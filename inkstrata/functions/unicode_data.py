@@ -184,9 +184,10 @@ def name_of(ch: str) -> str:
 
 
 @cache
-def flagged_class() -> str:
-    """All characters that inspection looks at; ASCII is ruled out first, as most text is."""
-    return r"\x{80}-\x{10FFFF}&&[" + char_class((a, b) for a, b, *_ in POLICY) + confusable_class() + "]"
+def flagged_class(letters: bool = True) -> str:
+    """All characters that inspection looks at, or those of the policy alone; ASCII is ruled out first, as most text is."""
+    held = char_class((a, b) for a, b, *_ in POLICY) + (confusable_class() if letters else "")
+    return r"\x{80}-\x{10FFFF}&&[" + held + "]"
 
 
 @cache

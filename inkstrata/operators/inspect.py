@@ -120,7 +120,13 @@ BEGINS = "\uffff\ufffe"
 
 
 def occurrences(
-    texts: DataFrame, key: str = "doc_id", column: str = "text", offsets: bool = True, graphemes: bool = False, lines: bool = False
+    texts: DataFrame,
+    key: str = "doc_id",
+    column: str = "text",
+    offsets: bool = True,
+    graphemes: bool = False,
+    lines: bool = False,
+    letters: bool = True,
 ) -> DataFrame:
     """One row for each flagged character of each text, with its context and disposition.
 
@@ -129,9 +135,10 @@ def occurrences(
     Byte offsets, grapheme indices and lines are running sums over what stands
     between the flagged characters of a text, so they cost one pass and a shuffle
     of the hits; they are null without ``offsets``, ``graphemes`` and ``lines``.
-    A key names one text.
+    Without ``letters``, look-alikes are left out: they are no policy edits, and each
+    needs the word around it. A key names one text.
     """
-    flagged = f"[{U.flagged_class()}]"
+    flagged = f"[{U.flagged_class(letters)}]"
     base = texts.where(F.col(column).rlike(flagged)).select(F.col(key).alias("key_"), F.col(column).alias("text_"))
     chars = base.withColumn("chars_", F.filter(F.split("text_", ""), lambda c: c != ""))
     placed = F.filter(
