@@ -1,15 +1,20 @@
 """Statistical text-mark detectors on word tokens, evidence and verification.
 
-Tokens, bigrams and hashes stay in arrays inside the row, so scoring a corpus is
-one pass without a shuffle. The hash key is a parameter: scores only mean
+Tokens stay in arrays inside the row and are hashed in Arrow batches, so scoring a
+corpus is one pass without a shuffle. The hash key is a parameter: scores only mean
 something for text that was generated under the same key.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,57 +53,111 @@ def uniform(key: str, scheme: str, *parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)").cast("double") + 0.5) / F.lit(2.0**64)
 
 
-def green_counts(words: Column, scheme: str, key: str) -> Column:
-    """Struct (hits, total): distinct bigrams for kgw, every token for unigram."""
-    if scheme == "unigram-word-v1":
-        hits = F.filter(words, lambda t: uniform(key, scheme, t) < GAMMA)
-        return F.struct(F.size(hits).alias("hits"), F.size(words).alias("total"))
+MEASURES = T.ArrayType(T.StructType([T.StructField("value", T.DoubleType()), T.StructField("n", T.IntegerType())]))
+#: Drawn n-grams that a worker remembers.
+REMEMBERED = 1 << 17
 
-    def counted(pairs: Column) -> Column:
-        hits = F.filter(pairs, lambda p: uniform(key, scheme, p["a"], p["b"]) < GAMMA)
-        return F.struct(F.size(hits).alias("hits"), F.size(pairs).alias("total"))
 
-    pairs = F.zip_with(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-    )
-    return let(counted, F.array_distinct(pairs))
+def first_bits(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big")
 
 
-def tournament_values(words: Column, key: str) -> Column:
-    """Mean of four hash layers for each token from the fifth on."""
+def by_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return np.diff(np.r_[0, np.cumsum(values)][bounds])
 
-    def values(w: Column) -> Column:
-        def one(i: Column) -> Column:
-            layers = [
-                uniform(key, "tournament-word-v1", F.lit(str(d)), *[F.get(w, i - j) for j in range(d + 1, 0, -1)], F.get(w, i))
-                for d in range(4)
-            ]
-            return sum(layers[1:], layers[0]) / 4
 
-        at = F.when(F.size(w) > 4, F.sequence(F.lit(4), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, one)
+def green_words(codes: np.ndarray, words: list[bytes], bounds: np.ndarray, prefix: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Green words and all words of each text; each different word is hashed once."""
+    green = np.array([first_bits(hashlib.sha256(prefix + w).digest()) < GAMMA * 2**64 for w in words], bool)
+    return by_text(green[codes] if len(codes) else np.zeros(0, bool), bounds), np.diff(bounds)
+
+
+def green_bigrams(codes: np.ndarray, words: list[bytes], bounds: np.ndarray, prefix: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Green and all distinct bigrams of each text; each different one is hashed once."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    inside = row[1:] == row[:-1]
+    size = max(len(words), 1)
+    row, pair = row[1:][inside], codes[:-1][inside] * size + codes[1:][inside]
+    order = np.lexsort((pair, row))
+    row, pair = row[order], pair[order]
+    fresh = np.r_[True, (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])][: len(row)]
+    row, pair = row[fresh], pair[fresh]
+    known, at = np.unique(pair, return_inverse=True)
+    draws = (hashlib.sha256(prefix + words[p // size] + b"\x1f" + words[p % size]).digest() for p in known.tolist())
+    green = np.array([first_bits(d) < GAMMA * 2**64 for d in draws], bool)
+    n = len(bounds) - 1
+    return np.bincount(row, weights=green[at], minlength=n), np.bincount(row, minlength=n)
+
+
+def tournament_sums(codes: np.ndarray, words: list[bytes], bounds: np.ndarray, prefix: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the mean of four hash layers over the tokens from the fifth on of each text, and how many those are.
+
+    A layer's n-gram is a stretch of the joined words.
+    """
+    bases = [hashlib.sha256(prefix + str(d).encode() + b"\x1f") for d in range(4)]
+    seen: list[dict[bytes, int]] = [{} for _ in range(4)]
+    sums = np.zeros(len(bounds) - 1)
+    for k, (a, b) in enumerate(itertools.pairwise(bounds.tolist())):
+        if b - a <= 4:
+            continue
+        own = [words[c] for c in codes[a:b].tolist()]
+        line = b"\x1f".join(own)
+        ends = np.cumsum([len(w) + 1 for w in own])
+        begins, ends = np.r_[0, ends[:-1]].tolist(), (ends - 1)[4:].tolist()
+        mean = np.zeros(len(own) - 4)
+        for d in range(4):
+            base, known, draws = bases[d], seen[d], []
+            for x, y in zip(begins[3 - d :], ends):
+                gram = line[x:y]
+                draw = known.get(gram)
+                if draw is None:
+                    h = base.copy()
+                    h.update(gram)
+                    draw = known[gram] = int.from_bytes(h.digest()[:8], "big")
+                draws.append(draw)
+            if len(known) > REMEMBERED:
+                known.clear()
+            mean += (np.array(draws, np.uint64).astype(np.float64) + 0.5) / 2.0**64
+        sums[k] = np.cumsum(mean / 4)[-1]
+    return sums, np.maximum(np.diff(bounds) - 4, 0)
+
+
+def measures(schemes: tuple[str, ...], key: str):
+    """An Arrow UDF from the words of a text to (value, n) for each scheme: green hits or summed layers, and tokens that count."""
+    of = {"kgw-word-v1": green_bigrams, "unigram-word-v1": green_words, "tournament-word-v1": tournament_sums}
+    wanted = [(of[scheme], f"{key}\x1f{scheme}\x1f".encode()) for scheme in schemes]
+
+    @F.arrow_udf(MEASURES)
+    def run(tokens: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        bounds = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+        held = pa.array(tokens.flatten()).dictionary_encode()
+        words, codes = [w.encode() for w in held.dictionary.to_pylist()], held.indices.to_numpy().astype(np.int64)
+        found = [f(codes, words, bounds, prefix) for f, prefix in wanted]
+        values = np.stack([v for v, _ in found], axis=1).ravel().astype(np.float64)
+        counts = np.stack([n for _, n in found], axis=1).ravel().astype(np.int32)
+        rows = pa.StructArray.from_arrays([pa.array(values), pa.array(counts)], names=["value", "n"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) + 1, len(wanted), dtype=np.int32)), rows)
+
+    return run
+
+
+def z_score(scheme: str, value: Column, n: Column) -> Column:
+    """Distance of a measure from its mean without a mark, in standard deviations."""
+    if scheme == "tournament-word-v1":
+        return F.when(n > 0, (value / n - 0.5) * F.sqrt(48.0 * n)).otherwise(0.0)
+    return F.when(n > 0, (value - GAMMA * n) / F.sqrt(n * GAMMA * (1 - GAMMA))).otherwise(0.0)
+
 
-    return let(values, words)
+def status_of(score: Column, n: Column) -> Column:
+    return F.when(n < MIN_TOKENS, "insufficient_evidence").when(score >= THRESHOLD, "detected").otherwise("not_detected")
 
 
 def score(texts: DataFrame, scheme: str, key: str = KEY, column: str = "text") -> DataFrame:
     """Adds score (z), effective_tokens and status to each text."""
-    worded = texts.withColumn("tokens_", tokens(F.col(column)))
-    if scheme == "tournament-word-v1":
-        out = worded.withColumn("values_", tournament_values(F.col("tokens_"), key)).withColumn("n_", F.size("values_"))
-        total = F.aggregate("values_", F.lit(0.0), lambda a, x: a + x)
-        z = F.when(F.col("n_") > 0, (total / F.col("n_") - 0.5) * F.sqrt(48.0 * F.col("n_"))).otherwise(0.0)
-    else:
-        out = worded.withColumn("counts_", green_counts(F.col("tokens_"), scheme, key)).withColumn("n_", F.col("counts_.total"))
-        spread = F.sqrt(F.col("n_") * GAMMA * (1 - GAMMA))
-        z = F.when(F.col("n_") > 0, (F.col("counts_.hits") - GAMMA * F.col("n_")) / spread).otherwise(0.0)
-    out = out.withColumn("score", z).withColumn("effective_tokens", F.col("n_"))
-    status = F.when(F.col("n_") < MIN_TOKENS, "insufficient_evidence").when(F.col("score") >= THRESHOLD, "detected").otherwise(
-        "not_detected"
-    )
-    return out.withColumn("status", status).drop("tokens_", "values_", "counts_", "n_")
+    out = texts.withColumn("measure_", F.get(measures((scheme,), key)(tokens(F.col(column))), F.lit(0)))
+    out = out.withColumn("score", z_score(scheme, F.col("measure_.value"), F.col("measure_.n"))).withColumn("effective_tokens", F.col("measure_.n"))
+    return out.withColumn("status", status_of(F.col("score"), F.col("effective_tokens"))).drop("measure_")
 
 
 EXPONENTIAL, LEAST_GAP = "exponential-word-v1", 1e-12
@@ -170,28 +229,22 @@ def normal_survival(z: pd.Series) -> pd.Series:
 
 def evidence(texts: DataFrame, key: str = KEY, column: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row for each text and scheme, with ``unsupported`` rows for vendor names: never a score for those."""
-    parts = [
-        score(texts.select(*keys, column), scheme, key, column).select(
-            *keys, F.lit(scheme).alias("scheme"), "status", "score", F.lit(THRESHOLD).alias("threshold"), "effective_tokens"
-        )
-        for scheme in SCHEMES
-    ]
-    for name in UNSUPPORTED:
-        blank = F.lit(None)
-        parts.append(
-            texts.select(
-                *keys,
-                F.lit(name).alias("scheme"),
-                F.lit("unsupported").alias("status"),
-                blank.cast("double").alias("score"),
-                blank.cast("double").alias("threshold"),
-                blank.cast("int").alias("effective_tokens"),
-            )
+    read = texts.select(*keys, measures(SCHEMES, key)(tokens(F.col(column))).alias("measures_"))
+
+    def row(i: int, scheme: str) -> Column:
+        value, n = (F.get("measures_", F.lit(i))[c] for c in ("value", "n"))
+        z = z_score(scheme, value, n)
+        return F.struct(
+            F.lit(scheme).alias("scheme"), status_of(z, n).alias("status"), z.alias("score"), F.lit(THRESHOLD).alias("threshold"), n.alias("effective_tokens")
         )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def unsupported(name: str) -> Column:
+        empty = {"score": "double", "threshold": "double", "effective_tokens": "int"}
+        blanks = [F.lit(None).cast(kind).alias(c) for c, kind in empty.items()]
+        return F.struct(F.lit(name).alias("scheme"), F.lit("unsupported").alias("status"), *blanks)
+
+    rows = F.array(*[row(i, scheme) for i, scheme in enumerate(SCHEMES)], *map(unsupported, UNSUPPORTED))
+    return read.select(*keys, F.explode(rows).alias("row_")).select(*keys, "row_.*")
 
 
 def decision_mismatch() -> Column:
