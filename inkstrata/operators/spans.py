@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import places
 from ..functions.rounding import exact_round
 from ..functions.unicode_data import SPACE
 
@@ -53,10 +57,12 @@ def select_top(token_scores: DataFrame, share: float, most: int = 96) -> DataFra
     """
     usable = token_scores.where(unprotected(F.col("token_str")) & (F.col("end") > F.col("start")))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("surprisal_bits"), "start"))
-    n = F.count("*").over(Window.partitionBy("doc_id"))
-    k = F.least(F.lit(most), F.greatest(F.lit(1), F.bround(n * share).cast("int")))
-    ranked = usable.withColumn("rank", rank).withColumn("k", k)
-    return ranked.where("rank <= k").select("doc_id", "token_id", "start", "end", "surprisal_bits")
+    # With this bound alone beside the rank, Spark drops the rest before it shuffles; counts are made ahead of it, too.
+    ranked = usable.withColumn("rank", rank).where(F.col("rank") <= most)
+    k = F.least(F.lit(most), F.greatest(F.lit(1), F.bround(F.count("*") * share).cast("int")))
+    counts = usable.groupBy("doc_id").agg(k.alias("k"))
+    met = ranked.join(counts, "doc_id")
+    return met.where("rank <= k").select("doc_id", "token_id", "start", "end", "surprisal_bits")
 
 
 def score_summary(token_scores: DataFrame, heavy: float = 8.0) -> DataFrame:
@@ -67,14 +73,27 @@ def score_summary(token_scores: DataFrame, heavy: float = 8.0) -> DataFrame:
     )
 
 
+def pieces_of(text: Column) -> Column:
+    """Blank-separated words, each with the white space before it."""
+    return F.regexp_extract_all(text, F.lit(f"{SPACE}*[^{SPACE[1:-1]}]+"), F.lit(0))
+
+
+def word_places(texts: DataFrame) -> DataFrame:
+    """The words of each text with their places as arrays in its row: doc_id, words, starts, ends."""
+    found = texts.select("doc_id", pieces_of(F.col("text")).alias("pieces_"))
+    found = found.select(
+        "doc_id",
+        F.transform("pieces_", lambda p: F.regexp_replace(p, f"^{SPACE}+", "")).alias("words"),
+        places.running(F.transform("pieces_", F.length)).alias("ends"),
+    )
+    return found.select("doc_id", "words", F.zip_with("words", "ends", lambda w, e: e - F.length(w)).alias("starts"), "ends")
+
+
 def word_spans(texts: DataFrame) -> DataFrame:
     """Blank-separated words with their places: doc_id, word_index, word, start, end."""
-    found = F.regexp_extract_all("text", F.lit(f"{SPACE}*[^{SPACE[1:-1]}]+"), F.lit(0))
-    placed = texts.select("doc_id", F.posexplode(found).alias("word_index", "piece"))
-    order = Window.partitionBy("doc_id").orderBy("word_index")
-    end = F.sum(F.length("piece")).over(order)
-    word = F.regexp_replace("piece", f"^{SPACE}+", "")
-    return placed.select("doc_id", "word_index", word.alias("word"), (end - F.length(word)).alias("start"), end.alias("end"))
+    held = word_places(texts).select("doc_id", F.posexplode(F.arrays_zip("words", "starts", "ends")).alias("word_index", "w"))
+    place = lambda c: F.col(f"w.{c}s").cast("long").alias(c)
+    return held.select("doc_id", "word_index", F.col("w.words").alias("word"), place("start"), place("end"))
 
 
 def touched(spans: DataFrame, words: DataFrame, keep: bool = False) -> DataFrame:
@@ -118,13 +137,41 @@ def snap(spans: DataFrame, words: DataFrame) -> DataFrame:
     return placed(touched(spans, words), words).distinct()
 
 
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+
+
+@F.arrow_udf(SPANS)
+def islands(starts: pa.Array, ends: pa.Array, begins: pa.Array, stops: pa.Array) -> pa.Array:
+    """Spans (begins, stops) of a text snapped to its words (starts, ends) and merged, in order."""
+    firsts, lasts, sizes = [], [], [0]
+    for row in zip(starts, ends, begins, stops, strict=True):
+        a, z, b, e = (np.array(x.as_py() or [], np.int64) for x in row)
+        first, last = np.searchsorted(z, b, "right"), np.searchsorted(a, e, "left") - 1
+        held = first <= last
+        order = np.lexsort((last[held], first[held]))
+        first, last = first[held][order], last[held][order]
+        reach = np.maximum.accumulate(last)
+        fresh = np.flatnonzero(np.r_[True, first[1:] > reach[:-1] + 1][: len(first)])
+        firsts.append(a[first[fresh]])
+        lasts.append(z[reach[np.r_[fresh[1:] - 1, len(first) - 1][: len(fresh)]]])
+        sizes.append(len(fresh))
+    flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (firsts, lasts)]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.StructArray.from_arrays(flat, names=["start", "end"]))
+
+
 def merge(spans: DataFrame, words: DataFrame) -> DataFrame:
-    """Word-snapped spans, merged over overlaps and over gaps of white space."""
-    order = Window.partitionBy("doc_id").orderBy("from", "to")
-    reach = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.coalesce(F.col("from") > reach + 1, F.lit(True)).cast("int")).over(order)
-    runs = touched(spans, words).withColumn("island", island).groupBy("doc_id", "island")
-    return placed(runs.agg(F.min("from").alias("from"), F.max("to").alias("to")).drop("island"), words)
+    """Word-snapped spans, merged over overlaps and over gaps of white space.
+
+    ``words`` are those of ``word_spans``, or of ``word_places``, which spares grouping
+    them. A text's spans meet the places of its words in one row.
+    """
+    if "starts" not in words.columns:
+        listed = F.sort_array(F.collect_list(F.struct("start", "end")))
+        words = words.groupBy("doc_id").agg(listed.alias("w_")).select("doc_id", F.col("w_.start").alias("starts"), F.col("w_.end").alias("ends"))
+    given = spans.where("start < end").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("s_"))
+    met = given.join(words.select("doc_id", "starts", "ends"), "doc_id")
+    found = met.select("doc_id", islands(F.col("starts"), F.col("ends"), F.col("s_.start"), F.col("s_.end")).alias("found_"))
+    return found.select("doc_id", F.explode("found_").alias("f_")).select("doc_id", "f_.start", "f_.end")
 
 
 def template(texts: DataFrame, spans: DataFrame, blank: str = "[BLANK]") -> DataFrame:
