@@ -9,7 +9,6 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
-from collections import Counter, deque
 from collections.abc import Sequence
 
 import numpy as np
@@ -113,12 +112,11 @@ def ngram_mean(ids: Sequence[int], keys: Sequence[int], ngram: int, history: int
     columns = [ids[j : j + n] for j in range(ngram)]
     context = fold(start, columns[:-1])
     hashes = fold(context, columns[-1:])
-    ring, inside, keep = deque([0] * history), Counter({0: history}), np.ones(n, bool)
-    for i, c in enumerate(context.tolist()):
-        keep[i] = inside[c] == 0
-        ring.append(c)
-        inside[c] += 1
-        inside[ring.popleft()] -= 1
+    # A context counts unless it is among the ``history`` ones before it; the first of these are zeros.
+    order = np.argsort(context, kind="stable")
+    again = np.flatnonzero(context[order[1:]] == context[order[:-1]])
+    keep = (context != 0) | (np.arange(n) >= history)
+    keep[order[again + 1]] &= order[again + 1] - order[again] > history
     ends = np.flatnonzero(ids == eos)
     if len(ends):
         keep &= np.arange(n) + ngram - 1 < ends[0]

@@ -145,7 +145,7 @@ def islands(starts: pa.Array, ends: pa.Array, begins: pa.Array, stops: pa.Array)
     """Spans (begins, stops) of a text snapped to its words (starts, ends) and merged, in order."""
     firsts, lasts, sizes = [], [], [0]
     for row in zip(starts, ends, begins, stops, strict=True):
-        a, z, b, e = (np.array(x.as_py() or [], np.int64) for x in row)
+        a, z, b, e = (np.asarray(x.values if x.is_valid else [], np.int64) for x in row)
         first, last = np.searchsorted(z, b, "right"), np.searchsorted(a, e, "left") - 1
         held = first <= last
         order = np.lexsort((last[held], first[held]))
