@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import places
+from ..functions import unicode_data as U
 from ..functions.rounding import exact_round
 from ..functions.unicode_data import SPACE
 
@@ -189,3 +192,81 @@ def template(texts: DataFrame, spans: DataFrame, blank: str = "[BLANK]") -> Data
     return texts.join(listed, "doc_id", "left").select(
         "doc_id", F.coalesce(whole, F.col("text")).alias("template"), F.coalesce(F.size("spans_"), F.lit(0)).alias("n_blanks")
     )
+
+
+LETTER, DIGIT, BLANK = 1, 2, 4
+BLANKED = "struct<template:string,n:int>"
+
+
+def cut(cps: np.ndarray, stop: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts that end at ``stop``: where each begins and ends, and in which text."""
+    begin = np.r_[0, stop][:-1]
+    full = stop > begin
+    first, last = ~blank, ~blank
+    first[1:] &= blank[:-1]
+    last[:-1] &= blank[1:]
+    first[begin[full]], last[stop[full] - 1] = ~blank[begin[full]], ~blank[stop[full] - 1]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(stop, starts, "right")
+
+
+def best(row: np.ndarray, score: np.ndarray, texts: int, share: float, most: int) -> np.ndarray:
+    """The words (texts ``row``, in order) that ``select_top`` takes, in order."""
+    n = np.bincount(row, minlength=texts)
+    k = np.minimum(most, np.maximum(1, np.rint(n * share))).astype(np.int64)
+    order = np.lexsort((-score, row))
+    rank = np.arange(len(row)) - np.r_[0, np.cumsum(n)][row]
+    return np.sort(order[rank < k[row]])
+
+
+def blanker(score: Callable[[np.ndarray], np.ndarray], share: float, most: int, blank: str):
+    """An Arrow UDF of texts to templates and how many blanks they have."""
+    kinds = {LETTER: U.ranges_of(lambda cp, category: category[0] == "L"), DIGIT: U.ranges_of(lambda cp, category: category == "Nd"), BLANK: places.BLANKS}
+    known = [(bit, a, b) for bit, runs in kinds.items() for a, b in runs]
+    signs = [ord(c) for c in blank]
+    # By name, as the module itself cannot go to a worker.
+    classes, slices, split_up, joined = places.classes, places.slices, places.split_up, places.joined
+
+    @F.arrow_udf(BLANKED)
+    def blanked(texts: pa.Array) -> pa.Array:
+        of = classes(known)
+        parts, counts = [pa.array([], pa.string())], [np.zeros(0, np.int64)]
+        for data, ends in slices(texts):
+            cps, _, stop = split_up(data, ends)
+            held = of[cps]
+            a, z, row = cut(cps, stop, held & BLANK != 0)
+            has = lambda bit: np.r_[0, np.cumsum(held & bit != 0)]
+            letters, digits = has(LETTER), has(DIGIT)
+            free = np.flatnonzero((letters[z] > letters[a]) & (digits[z] == digits[a]))
+            number = free - np.searchsorted(row, row[free])
+            word = free[best(row[free], score(number), len(ends), share, most)]
+            fresh = np.r_[True, (np.diff(word) > 1) | (np.diff(row[word]) > 0)][: len(word)]
+            first, last = a[word[fresh]], z[word[np.r_[fresh[1:], True][: len(word)]]]
+            steps = np.zeros(len(cps) + 1, np.int64)
+            steps[first] += 1
+            steps[last] -= 1
+            many = (np.cumsum(steps[:-1]) == 0).astype(np.int64)
+            many[first] = len(signs)
+            passed = np.r_[0, np.cumsum(many)]
+            out = np.repeat(cps, many)
+            for i, sign in enumerate(signs):
+                out[passed[first] + i] = sign
+            parts.append(joined(out, passed[stop]))
+            counts.append(np.bincount(row[word[fresh]], minlength=len(ends)))
+        columns = [pa.concat_arrays(parts), pa.array(np.concatenate(counts).astype(np.int32))]
+        return pa.StructArray.from_arrays(columns, names=["template", "n"], mask=texts.is_null())
+
+    return blanked
+
+
+def top_templates(
+    texts: DataFrame, score: Callable[[np.ndarray], np.ndarray], share: float, most: int = 96, blank: str = "[BLANK]"
+) -> DataFrame:
+    """``template`` of the merged top words (``select_top``) of each text, in its row: nothing is shuffled.
+
+    ``score`` gives words their scores by their numbers in their texts, as arrays; scores that come
+    as a table go through ``select_top``. A key names one text; one without a key stays as it is.
+    """
+    told = blanker(score, share, most, blank)(F.when(F.col("doc_id").isNotNull(), F.col("text")))
+    held = texts.select("doc_id", "text", told.alias("told_"))
+    return held.select("doc_id", F.coalesce("told_.template", "text").alias("template"), F.coalesce("told_.n", F.lit(0)).alias("n_blanks"))
